@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
     """The same rows in batches of about ``limit`` text bytes, so that memory is bounded by bytes, not by rows."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
         part = np.cumsum(size) // limit if len(size) else size
         for rows in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1) if len(size) else []:
             yield batch.slice(int(rows[0]), len(rows))

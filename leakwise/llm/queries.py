@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakwise.llm.common import documents
+from leakwise.llm.chat import ChatTemplate, format_chats, read_back, unescaped
+from leakwise.llm.common import documents, remainder
+from leakwise.llm.context_tree import lm_scores
 from leakwise.llm.exact_dedup import exact_dedup
 from leakwise.llm.packing import pack
 from leakwise.llm.simhash_dedup import simhash_dedup
@@ -19,6 +21,46 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
+    said = format_chats(rows).withColumn("turns", read_back("formatted"))
+    learned = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"]))
+    return said.withColumn("learned", F.array_join(learned, "")).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+def _op1_sql() -> str:
+    t = ChatTemplate()
+    escape = f"regexp_replace(replace({{}}, '\\', '\\\\'), '{t.control_pattern}', '\\1\\\\\\2', 'g')"
+    marks = len(t.start + t.text_mark + t.end + t.after_end)
+    return f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+         string_agg(role || ',', '' ORDER BY turn NULLS FIRST, role, text) AS roles,
+         sum({marks} + length({escape.format('role')}) + length({escape.format('text')})) AS formatted_chars
+  FROM r GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars,
+       regexp_full_match(roles, '(system,)?(user,assistant,)*(user,)?') AND roles <> '' AS valid
+FROM g
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -38,14 +80,19 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores(documents(spark, sf_dir), remainder("doc_id", 7) != 2)
+    return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_exact_dedup, op5_simhash_dedup, op10_packing]
+    found = [op1_chat_formatting, op3_exact_dedup, op5_simhash_dedup, op7_lm_scoring, op10_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL}
