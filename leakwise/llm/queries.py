@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakwise.llm.chat import ChatTemplate, format_chats, read_back, unescaped
 from leakwise.llm.common import documents, remainder
 from leakwise.llm.context_tree import lm_scores
 from leakwise.llm.exact_dedup import exact_dedup
+from leakwise.llm.language_id import predict_languages
+from leakwise.llm.mixing import Targets, mix, word_count
 from leakwise.llm.packing import pack
+from leakwise.llm.quality import quality_scores
+from leakwise.llm.quality_rules import RULES, apply_rules
 from leakwise.llm.simhash_dedup import simhash_dedup
 
 
@@ -61,6 +65,11 @@ FROM g
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = predict_languages(documents(spark, sf_dir), remainder("doc_id", 4) != 2)
+    return found.withColumn("held_out", remainder("doc_id", 4) == 2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -80,19 +89,87 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(documents(spark, sf_dir), labels(spark, sf_dir), remainder("doc_id", 5) != 0)
+    return scored.withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scores(documents(spark, sf_dir), remainder("doc_id", 7) != 2)
     return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
 
 
+#: The production tree: four domains of sources (by the number in their name), four languages, equal sources.
+TARGETS = Targets(
+    weights=({"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}, {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, {}), other=(0.05, 0.05, 1.0)
+)
+
+
+def tree_columns() -> dict[str, Column]:
+    number = F.coalesce(F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
+    return {"domain": F.concat(F.lit("d"), (number % 4).cast("string")), "language": F.col("lang"), "source": F.col("source")}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir), tree_columns(), word_count("text"), TARGETS)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+    return judged.withColumn("rejected_by", F.array_join("rejected_by", ","))
+
+
+def _op9_sql(max_rate: float = 0.04, error: float = 0.05) -> str:
+    """The counts, the exact binomial tests and the verdicts."""
+    tests = " UNION ALL ".join(
+        f"SELECT '{r.name}' AS rule, CAST({c} AS DOUBLE) AS cutoff, rid, stratum, {r.denominator} > 0 AND {r.numerator} > CAST({c} AS DOUBLE) * {r.denominator} AS fires FROM c"
+        for r in RULES
+        for c in r.cutoffs
+    )
+    number = sum(len(r.cutoffs) for r in RULES)
+    order = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {i}" for i, r in enumerate(RULES)) + " END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM d),
+r AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS run FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+again AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, run) AS n FROM r),
+covered AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM again, range(8) AS t(o) WHERE n > 1 GROUP BY rid),
+c AS (SELECT w.rid, doc_id, stratum, len(words) AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines
+      FROM w LEFT JOIN covered USING (rid)),
+fired AS ({tests}),
+good AS (SELECT c.rid FROM c JOIN labels l ON c.doc_id = l.doc_id WHERE l.quality = 1),
+k AS (SELECT rule, cutoff, stratum, count(*) AS n, count(*) FILTER (fires) AS k FROM fired JOIN good USING (rid) GROUP BY ALL),
+strata AS (SELECT count(DISTINCT stratum) AS s FROM k),
+tail AS (SELECT rule, cutoff, stratum, n, k, sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END
+                + i * ln({max_rate} / {len(RULES)}) + (n - i) * ln(1 - {max_rate} / {len(RULES)}))) AS p
+         FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM k) GROUP BY ALL),
+chosen AS (SELECT rule, stratum, min(cutoff) AS cutoff FROM tail, strata WHERE k <= n * {max_rate} / {len(RULES)} AND p <= {error} / ({number} * s) GROUP BY ALL),
+verdict AS (SELECT rid, string_agg(rule, ',' ORDER BY {order}) AS rejected_by FROM fired JOIN chosen USING (rule, stratum, cutoff) WHERE fires GROUP BY rid),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+       NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM b LEFT JOIN verdict USING (rid)
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op3_exact_dedup, op5_simhash_dedup, op7_lm_scoring, op10_packing]
+    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL}
+    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "op9_quality_rules": _op9_sql()}
