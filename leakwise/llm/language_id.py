@@ -1,7 +1,7 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
 Texts are cut into windows of ``STRIDE`` bytes, each read with ``MARGIN`` bytes of context on either side (byte 0 outside
-the text), so memory is bounded for texts of any length and all windows of a batch advance together. One network reads
+the text, where the state is zero), so memory is bounded for texts of any length and all windows of a batch advance together. One network reads
 forwards, one backwards; from both hidden states every position gets a probability for each language. A document's
 probabilities are the means over its positions.
 
@@ -66,6 +66,8 @@ class Gru:
             if keep is not None:
                 keep.append((z.copy(), r.copy(), candidate.copy(), inner[2 * n :].copy(), h))
             h = candidate + z * (h - candidate)
+            if not x[t].all():  # outside the text the state is zero, however long the padding is
+                h *= x[t] > 0
             out[t] = h
         return out
 
@@ -76,7 +78,7 @@ class Gru:
         d_h = np.zeros((n, x.shape[1]), F32)
         for t in range(len(x) - 1, -1, -1):
             z, r, c, q, before = kept[t]
-            d_h = d_h + d_out[t]
+            d_h = (d_h + d_out[t]) * (x[t] > 0)
             d_c = d_h * (1 - z) * (1 - c * c)
             d_z = d_h * (before - c) * z * (1 - z)
             d_r = d_c * q * r * (1 - r)

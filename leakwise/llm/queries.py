@@ -12,6 +12,7 @@ from leakwise.llm.common import documents, remainder
 from leakwise.llm.context_tree import lm_scores
 from leakwise.llm.exact_dedup import exact_dedup
 from leakwise.llm.language_id import predict_languages
+from leakwise.llm.license_scan import license_scan
 from leakwise.llm.mixing import Targets, mix, word_count
 from leakwise.llm.packing import pack
 from leakwise.llm.quality import quality_scores
@@ -85,6 +86,10 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
@@ -167,7 +172,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing]
+    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing]
     return {f.__name__: f for f in found}
 
 
