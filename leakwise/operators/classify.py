@@ -1,0 +1,55 @@
+"""Classification of a value as a secret: the evidence for or against.
+
+The profile ("golden21") is reconstructed from known findings: vendor rules first (in order, first match wins, over the
+lower-cased value), then values that are no secrets, common credentials, values that mix cases and digits, encoded
+values, and suspicious ones. Where the known findings say nothing it is a documented choice, not a parity claim.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+from functools import cache
+
+from leakwise.rules import patterns as p
+from leakwise.schema import CRITICAL, HIGH, INFO, LOW, MEDIUM
+
+_COMMON = re.compile("|".join(p.COMMON), re.I)
+_ENCODED = re.compile(f"{p.BASE64}|{p.HEX}")
+_SPACE = re.compile(p.WS)
+
+
+@cache
+def connectors() -> list[tuple[re.Pattern, str]]:
+    """Longest key first, then by name."""
+    keys = sorted(p.CONNECTORS, key=lambda k: (-len(k), k))
+    return [(re.compile(k), p.CONNECTORS[k]) for k in keys]
+
+
+def connection_name(value: str) -> str:
+    for pattern, name in connectors():
+        if pattern.search(value):
+            return f"{name} {p.CONNECTION}"
+    return p.CONNECTION
+
+
+def classify(value: str, rules: Iterable[p.VendorRule]) -> tuple[str, int]:
+    """(description, confidence) of the evidence for a value."""
+    low = value.lower()
+    for rule in rules:
+        if rule.regex.search(low):
+            if rule.id == p.CONNECTION:
+                return connection_name(low), HIGH
+            return rule.id, CRITICAL if rule.id in p.VENDOR_CRITICAL else HIGH
+    if not value or _SPACE.search(value) or value.isdigit() or low in ("true", "false", "null", "none") or value[0] in p.UNUSUAL_START:
+        return p.NOT_SECRET, HIGH
+    if _COMMON.search(value):
+        return p.COMMON_CREDENTIAL, MEDIUM
+    upper, lower, digit = (any(map(f, value)) for f in (str.isupper, str.islower, str.isdigit))
+    if upper and lower and digit and len(value) >= p.MIN_LENGTH:
+        return p.HIGH_ENTROPY, MEDIUM
+    if _ENCODED.search(value):
+        return p.ENCODED, HIGH
+    if digit and (upper or lower) and len(value) >= p.MIN_LENGTH:
+        return p.SUSPICIOUS, INFO
+    return p.NOT_SECRET, LOW
