@@ -125,7 +125,7 @@ class Finder:
         if file_class == "xml":
             found += self._xml(t)
         else:
-            named = bool(prefilter.NAME_SEEDS.search(folded))
+            named = prefilter.may_name_secret(folded)
             for key in p.CLASSES[file_class]:
                 if key not in p.ASSIGNMENTS:
                     found += self._strings(t, text, 0, self.patterns[key], p.PROVIDERS[key])

@@ -6,12 +6,11 @@ match; an empty set means that none could be derived (then the rule always runs)
 
 from __future__ import annotations
 
-import re
 from functools import cache
 from re import _constants as sre  # the parser that re itself uses
 from re import _parser
 
-MIN_SEED, MAX_ALTERNATIVES = 4, 32
+MIN_SEED, MAX_ALTERNATIVES = 3, 32
 
 
 def _best(*options: frozenset[str]) -> frozenset[str]:
@@ -95,4 +94,8 @@ def may_match(pattern: str, folded_text: str) -> bool:
 
 
 #: No name pattern matches without one of these (in the folded text).
-NAME_SEEDS = re.compile("secret|private|sensitive|confidential|c[yi]pher|crypt|signature|nonce|credential|cert|key|token|salt|auth|pass|ps?wd")
+NAME_SEEDS = ("secret", "private", "sensitive", "confidential", "cypher", "cipher", "crypt", "signature", "nonce", "credential", "cert", "key", "token", "salt", "auth", "pass", "pwd", "pswd")
+
+
+def may_name_secret(folded_text: str) -> bool:
+    return any(s in folded_text for s in NAME_SEEDS)
