@@ -125,11 +125,12 @@ class Finder:
         if file_class == "xml":
             found += self._xml(t)
         else:
-            named = prefilter.may_name_secret(folded)
+            named, quotes = prefilter.may_name_secret(folded), any(q in text for q in "\"'`")
             for key in p.CLASSES[file_class]:
                 if key not in p.ASSIGNMENTS:
-                    found += self._strings(t, text, 0, self.patterns[key], p.PROVIDERS[key])
-                elif named or not self.o.prefilter:
+                    if quotes or not self.o.prefilter:
+                        found += self._strings(t, text, 0, self.patterns[key], p.PROVIDERS[key])
+                elif not self.o.prefilter or named and p.NEEDS.get(key, "") in text:
                     found += self._assignments(t, text, 0, self.patterns[key], p.PROVIDERS[key])
         if self.o.fused:
             found = overlap.subsume_rows(overlap.drop_contained(found))
@@ -204,9 +205,12 @@ class Finder:
 
     def _xml_strings(self, t: Text, text: str, base: int) -> Iterator[dict]:
         if text.strip():
+            named = not self.o.prefilter or prefilter.may_name_secret(prefilter.folded(text))
             for key, provider in p.XML_STRINGS:
-                step = self._assignments if key in p.ASSIGNMENTS else self._strings
-                yield from step(t, text, base, self.patterns[key], provider)
+                if key not in p.ASSIGNMENTS:
+                    yield from self._strings(t, text, base, self.patterns[key], provider)
+                elif not self.o.prefilter or named and p.NEEDS.get(key, "") in text:
+                    yield from self._assignments(t, text, base, self.patterns[key], provider)
 
     def _xml_assignment(self, t: Text, name: str, raw: str, at: int, element: bool) -> Iterator[dict]:
         value = trim_quotes(raw)[0].strip()

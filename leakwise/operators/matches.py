@@ -20,6 +20,8 @@ class PatternRule:
     id: str
     pattern: str
     confidence: int
+    #: A literal that every match holds; looked for first.
+    needs: str = ""
 
 
 def _octets(texts: Column) -> Column:
@@ -30,7 +32,7 @@ def pattern_findings(files: DataFrame, rules: tuple[PatternRule, ...], keep: tup
     """A row per match: the ``keep`` columns, rule, confidence, value, raw_start, raw_end and the start's position."""
     frames = []
     for r in rules:
-        hit = files.where(F.col(text).rlike(r.pattern)).select(
+        hit = (files.where(F.col(text).contains(r.needs)) if r.needs else files).where(F.col(text).rlike(r.pattern)).select(
             *keep, F.col(text).alias("_text"), F.split(text, r.pattern, -1).alias("_between"), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias("_hits")
         )
         frames.append(hit.select("*", F.posexplode("_hits").alias("_k", "value"), F.lit(r.id).alias("rule"), F.lit(r.confidence).alias("confidence")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,14 +105,25 @@ def canonical_order() -> list[Column]:
     return [F.coalesce(F.col("location"), F.lit("")), F.col("repo_index"), *file_order()]
 
 
-def subsume(findings: DataFrame, group: str = "location") -> DataFrame:
-    """:func:`subsume_rows` for stored findings, file by file (a file's findings fit in memory: contained ones are
-    removed first, which leaves few)."""
+#: What the rules of subsumption read.
+_READ = ("raw_start", "raw_end", "start_line", "end_line", "start_char", "end_char", "confidence", "provider_id", "headline", "source")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
-        for i, r in enumerate(rows):
-            r["_at"] = i
-        return frame.iloc[[r["_at"] for r in subsume_rows(rows)]]
 
-    return findings.groupBy(group).applyInPandas(run, findings.schema)
+def subsume(findings: DataFrame, group: str = "location") -> DataFrame:
+    """:func:`subsume_rows` for stored findings, file by file. A file's findings come together in one row (contained ones
+    are best removed first, which leaves few); Python sees only the columns that decide and returns places."""
+
+    @F.arrow_udf("array<int>")
+    def kept(groups: pa.Array) -> pa.Array:
+        out = []
+        for rows in groups.to_pylist():
+            for i, r in enumerate(rows):
+                r["_at"] = i
+            out.append([r["_at"] for r in subsume_rows(rows)])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    rows = F.collect_list(F.struct(*findings.columns)).alias("rows")
+    gathered = findings.groupBy(F.col(group).alias("_group")).agg(rows)
+    narrow = F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in _READ]))
+    one = gathered.withColumn("kept", kept(narrow))
+    return one.select(F.inline(F.transform("kept", lambda i: F.get("rows", i))))

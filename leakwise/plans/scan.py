@@ -90,8 +90,8 @@ def scan_paths(spark: SparkSession, roots: list[str], options: ScanOptions | Non
 
 
 def scan_strings(requests: DataFrame, options: FinderOptions | None = None) -> DataFrame:
-    """Findings of (repo_index, path, text) strings: no gate, no prefilter, no checksum."""
-    o = options or FinderOptions(checksum=False, prefilter=False)
+    """Findings of (repo_index, path, text) strings: no gate and no checksum."""
+    o = options or FinderOptions(checksum=False)
     return find_secrets(requests, o)
 
 

@@ -22,7 +22,7 @@ from leakwise.plans.scan import scan_files, scan_strings
 from leakwise.rules.extensions import ExtensionTables
 from leakwise.schema import EXCEPTION, confidence_name, confidence_number
 from leakwise.sinks import reports
-from leakwise.sources.files import documents_as_files
+from leakwise.sources.files import documents_as_files, spread
 from leakwise.sources.tables import string_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,12 +43,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # -- shared parts ---------------------------------------------------------------------------------------------------------
 
 RULES = (
-    PatternRule("token-assignment", 'token = "[0-9a-f]{40}"', 4),
+    PatternRule("token-assignment", 'token = "[0-9a-f]{40}"', 4, 'token = "'),
     PatternRule("hex-token", "[0-9a-f]{40}", 3),
     PatternRule("ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 2),
-    PatternRule("address", "[a-z0-9.]+@[a-z0-9.]+", 2),
+    PatternRule("address", "[a-z0-9.]+@[a-z0-9.]+", 2, "@"),
     PatternRule("digits", "[0-9]{4,16}", 1),
-    PatternRule("licence", "Licen[sc]e", 0),
+    PatternRule("licence", "Licen[sc]e", 0, "Licen"),
 )
 NAMES = "['Info','Low','Medium','High','Critical']"
 
@@ -86,7 +86,7 @@ f AS (SELECT doc_id, lang, source, path AS location, rule, rule AS headline, con
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    return documents_as_files(docs, ("lang", "source"))
+    return spread(documents_as_files(docs, ("lang", "source")))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -630,7 +630,7 @@ def scan_findings(spark, sf_dir):
 @query()
 def page_scan(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit(0).alias("repo_index"), F.col("url").alias("path"), F.col("html").alias("text"), F.lit("xml").alias("kind"))
-    return find_secrets(pages, file_class="kind").select("location", "provider_id", "headline", "confidence", "raw_start", "raw_end", "sha256")
+    return find_secrets(spread(pages), file_class="kind").select("location", "provider_id", "headline", "confidence", "raw_start", "raw_end", "sha256")
 
 
 @query()
@@ -638,7 +638,7 @@ def string_scan(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
     even = F.col("doc_id") % 2 == 0
     requests = rows.select(F.when(even, F.base64(F.encode("text", "utf-8"))).otherwise(F.col("text")).alias("source"), F.lit(".conf").alias("source_type"), even.alias("base64"))
-    return scan_strings(string_requests(requests)).select("location", "provider_id", "headline", "confidence", "raw_start", "raw_end")
+    return scan_strings(string_requests(spread(requests))).select("location", "provider_id", "headline", "confidence", "raw_start", "raw_end")
 
 
 def queries() -> dict[str, Query]:

@@ -95,7 +95,7 @@ def finder_patterns() -> dict[str, re.Pattern]:
         "json_string": rf"{QUOTE}{wl}{ng}{wl}{QUOTE}{wl}:{wl}({qg}){tail}",
         "yaml": rf"{RUN}{QUOTE}??{wl}{ng}{wl}{QUOTE}??{wl}:{wl}({qg}|[^\n,]*?\n),??",
         "arrow_quoted": rf"{QUOTE}{wl}{ng}{wl}{QUOTE}{wl}=>{wl}({qg}|{tail})",
-        "arrow_bare": rf"{wl}{ng}{wl}=>{wl}({qg}|{tail})",
+        "arrow_bare": rf"{RUN}{ng}{wl}=>{wl}({qg}|{tail})",
         "tags": rf"<{w}{n}{w}>([^<]*)<",
         "long_strings": rf"((?:{q}){{{MIN_LENGTH},}})",
         "secret_strings": rf"({QUOTE}{NOT_QUOTE}(?i:{INDICATORS}){NOT_QUOTE}{QUOTE})",
@@ -114,6 +114,8 @@ PROVIDERS = {
     "arrow_quoted": "ArrowSecretAssignment", "arrow_bare": "ArrowSecretAssignment", "tags": "ElementSecretAssignment",
     "long_strings": "LongOrSuspiciousSecretString", "secret_strings": "SuspiciousOrCommonSecretString",
 }
+#: What a text must hold for an assignment pattern to match at all.
+NEEDS = {"assignment": "=", "cpp": "=", "define": "#", "json_literal": ":", "json_string": ":", "yaml": ":", "arrow_quoted": "=>", "arrow_bare": "=>", "tags": "<"}
 ASSIGNMENTS = {"assignment", "conf", "cpp", "define", "json_literal", "json_string", "yaml", "arrow_quoted", "arrow_bare", "tags"}
 #: Pattern and provider of the rules for XML texts, in order.
 XML_STRINGS = (

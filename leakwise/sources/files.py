@@ -40,6 +40,13 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.col("content").cast("string"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores if they come in fewer splits than there are cores (a small file in one row group);
+    tables with at least as many splits, so all large ones, stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents_as_files(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a documents table as files: the path is made of source, folder, id and extension."""
     kinds = [".java", ".cpp", ".xml", ".yaml", ".rb", ".erb", ".conf", ""]
