@@ -15,7 +15,7 @@ from leakwise.rules import patterns as p
 from leakwise.schema import CRITICAL, HIGH, INFO, LOW, MEDIUM
 
 _COMMON = re.compile("|".join(p.COMMON), re.I)
-_ENCODED = re.compile(f"{p.BASE64}|{p.HEX}")
+_HEX = re.compile(p.HEX)
 _SPACE = re.compile(p.WS)
 
 
@@ -48,7 +48,7 @@ def classify(value: str, rules: Iterable[p.VendorRule]) -> tuple[str, int]:
     upper, lower, digit = (any(map(f, value)) for f in (str.isupper, str.islower, str.isdigit))
     if upper and lower and digit and len(value) >= p.MIN_LENGTH:
         return p.HIGH_ENTROPY, MEDIUM
-    if _ENCODED.search(value):
+    if _HEX.search(value) or p.has_base64(value):
         return p.ENCODED, HIGH
     if digit and (upper or lower) and len(value) >= p.MIN_LENGTH:
         return p.SUSPICIOUS, INFO

@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -121,7 +121,7 @@ class Finder:
         folded = prefilter.folded(text)
         for rule in self.o.rules:
             if rule.emits and not (self.o.prefilter and not prefilter.may_match(rule.pattern, folded)):
-                found += self._strings(t, text, 0, rule.regex, rule.id)
+                found += self._strings(t, text, 0, (m.span() for m in rule.regex.finditer(text)), rule.id)
         if file_class == "xml":
             found += self._xml(t)
         else:
@@ -129,7 +129,7 @@ class Finder:
             for key in p.CLASSES[file_class]:
                 if key not in p.ASSIGNMENTS:
                     if quotes or not self.o.prefilter:
-                        found += self._strings(t, text, 0, self.patterns[key], p.PROVIDERS[key])
+                        found += self._strings(t, text, 0, p.spans(key, text), p.PROVIDERS[key])
                 elif not self.o.prefilter or named and p.NEEDS.get(key, "") in text:
                     found += self._assignments(t, text, 0, self.patterns[key], p.PROVIDERS[key])
         if self.o.fused:
@@ -182,9 +182,9 @@ class Finder:
                 (t.byte(mark) - 1, t.byte(mark + len(value)) - 1), source, value,
             )
 
-    def _strings(self, t: Text, text: str, base: int, pattern: re.Pattern, provider: str) -> Iterator[dict]:
-        for m in pattern.finditer(text):
-            source = m[0]
+    def _strings(self, t: Text, text: str, base: int, spans: Iterable[tuple[int, int]], provider: str) -> Iterator[dict]:
+        for start, end in spans:
+            source = text[start:end]
             if _SPACE.search(source) or self.o.exclusions.value_excluded(source):
                 continue
             value, trimmed = trim_quotes(source)
@@ -195,9 +195,9 @@ class Finder:
             headline = reasons[0]
             if headline[0] == p.UNBROKEN and evidence[1] < MEDIUM:
                 headline = (p.UNBROKEN, evidence[1])
-            mark = base + m.start() + trimmed
+            mark = base + start + trimmed
             yield from self._row(
-                t, provider, headline, reasons, (t.byte(base + m.start()), t.byte(base + m.end())),
+                t, provider, headline, reasons, (t.byte(base + start), t.byte(base + end)),
                 (t.byte(mark) - 1, t.byte(mark + len(value)) - 1), source, value,
             )
 
@@ -208,7 +208,7 @@ class Finder:
             named = not self.o.prefilter or prefilter.may_name_secret(prefilter.folded(text))
             for key, provider in p.XML_STRINGS:
                 if key not in p.ASSIGNMENTS:
-                    yield from self._strings(t, text, base, self.patterns[key], provider)
+                    yield from self._strings(t, text, base, p.spans(key, text), provider)
                 elif not self.o.prefilter or named and p.NEEDS.get(key, "") in text:
                     yield from self._assignments(t, text, base, self.patterns[key], provider)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
@@ -98,15 +99,53 @@ def finder_patterns() -> dict[str, re.Pattern]:
         "arrow_bare": rf"{RUN}{ng}{wl}=>{wl}({qg}|{tail})",
         "tags": rf"<{w}{n}{w}>([^<]*)<",
         "long_strings": rf"((?:{q}){{{MIN_LENGTH},}})",
-        "secret_strings": rf"({QUOTE}{NOT_QUOTE}(?i:{INDICATORS}){NOT_QUOTE}{QUOTE})",
         "secret_tag_values": rf">{w}((?i:{INDICATORS}[^<]*))<",
         "long_tag_values": rf">([^\t\n\f\r <]{{{MIN_LENGTH},}})<",
         "secret_unquoted": rf"{w}((?i:{INDICATORS}[^\t\n\f\r ]*)){w}",
+        "secret_unquoted_plain": rf"{w}((?i:{'|'.join((*COMMON, HEX))}[^\t\n\f\r ]*)){w}",
         "long_unquoted": rf"([^\t\n\f\r ]{{{MIN_LENGTH},}}){w}",
     }
     return {k: re.compile(v) for k, v in text.items()}
 
 
+_QUOTES = re.compile(QUOTE)
+_PLAIN_INDICATOR = re.compile("|".join((*COMMON, HEX)), re.I)
+#: A run of base64 characters up to an equals sign. The indicator's own pattern would try every start of a run, which is
+#: quadratic in a long one; it matches somewhere if and only if such a run has a digit with eight characters after it.
+_BASE64_RUN = re.compile(r"(?<![a-zA-Z0-9+/])[a-zA-Z0-9+/]{9,}(?==)")
+
+
+def has_base64(text: str) -> bool:
+    return "=" in text and any(any(c in "0123456789" for c in m[0][:-8]) for m in _BASE64_RUN.finditer(text))
+
+
+def has_indicator(text: str) -> bool:
+    return bool(_PLAIN_INDICATOR.search(text)) or has_base64(text)
+
+
+def quoted_indicators(text: str) -> Iterator[tuple[int, int]]:
+    """Spans from a quote to the next one with an indicator between; a span that isn't one leaves its end as a start.
+
+    This is the pattern ``quote not-quote* indicator not-quote* quote`` in linear time: no indicator holds a quote.
+    """
+    at = -1
+    for m in _QUOTES.finditer(text):
+        if at >= 0 and has_indicator(text[at + 1 : m.start()]):
+            yield at, m.end()
+            at = -1
+        else:
+            at = m.start()
+
+
+def spans(key: str, text: str) -> Iterator[tuple[int, int]]:
+    """Where the string pattern ``key`` matches."""
+    if key == "secret_strings":
+        return quoted_indicators(text)
+    if key == "secret_unquoted" and not has_base64(text):
+        key = "secret_unquoted_plain"
+    return (m.span() for m in finder_patterns()[key].finditer(text))
+
+
 #: Provider name of each pattern.
 PROVIDERS = {
     "assignment": "SecretAssignment", "conf": "ConfSecretAssignment", "cpp": "CPPSecretAssignment", "define": "DefineSecretAssignment",

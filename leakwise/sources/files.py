@@ -31,7 +31,8 @@ def read_roots(spark: SparkSession, roots: list[str], prune: tuple[str, ...] = (
 
 def stream_roots(spark: SparkSession, root: str, index: int = 0, prune: tuple[str, ...] = (), per_trigger: int = 1000) -> DataFrame:
     """The same rows as a stream of files that arrive below a root."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(shape).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
     return _below(files, index, root, prune)
 
 
