@@ -21,10 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, so a lost executor costs no recomputation."""
+    """``df`` written to the shared folder and read back: lineage ends here, so a lost executor costs no recomputation.
+
+    The table goes when the driver's JVM ends in order, or before by :func:`forget`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leakwise-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._leakwise_path = path
     return out
