@@ -3,7 +3,7 @@
 Each pair is a document labelled 1 preferred over one labelled 0; the logistic loss on the difference of their features
 gives the weights. The latent score is linear in the features. The cut-off is the quantile of the latent scores of the
 training rows at the share of rejected labels; the reported score is a logistic curve that passes through
-``cut_score`` there. The fit uses at most ``max_rows`` labelled rows (those with the smallest hash of their id).
+``cut_score`` there. The fit uses about ``max_rows`` labelled rows: those whose id has a hash below the share wanted.
 """
 
 from __future__ import annotations
@@ -104,9 +104,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: i
     Null ids and labels other than 0 and 1 are left out; an id with several labels counts once per label.
     """
     seen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label in (0, 1)").where(learn)
-    sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    # a hash below the share of rows wanted, so that no task has to sort or gather the labels
+    share = min(1.0, max_rows / max(1, seen.count()))
+    sample = seen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(int(share * (1 << 31))))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # at most max_rows rows of two numbers
+    # about max_rows rows of two numbers
     got = texts.join(F.broadcast(sample), "doc_id").select(feature_column("text").alias("x"), "label").toPandas()
     x = np.array(got.x.tolist(), float).reshape(-1, N_FEATURES)
     order = np.lexsort([*x.T, got.label.to_numpy(float)])  # the fit doesn't depend on the order of arrival
