@@ -25,8 +25,8 @@ def is_test_path(path: Column) -> Column:
 def git_to_https(address: Column) -> Column:
     """``git@host:owner/repo.git`` as an https address; other addresses as they are, trimmed."""
     t = F.trim(address)
-    host = F.regexp_replace(F.regexp_replace(t, "^git@", ""), "^([^:]*):", "$1/")
-    return F.when(t.startswith("git@"), F.concat(F.lit("https://"), host)).otherwise(t)
+    host = F.regexp_replace(F.regexp_replace(t, "^(?i:git@)", ""), "^([^:]*):", "$1/")
+    return F.when(F.lower(t).startswith("git@"), F.concat(F.lit("https://"), host)).otherwise(t)
 
 
 def checkout_location(base: Column, repository: Column) -> Column:
@@ -47,5 +47,11 @@ def under_pruned_folder(path: Column, names: list[str]) -> Column:
 
 
 def short_location(location: Column, limit: int = 50) -> Column:
-    """Locations over ``limit`` characters lose their front, marked by three dots."""
-    return F.when(F.length(location) > limit, F.concat(F.lit("..."), F.substring(location, F.length(location) - (limit - 4), F.lit(limit)))).otherwise(location)
+    """Locations over ``limit`` characters as their first and last two names; as both ends around three dots where that
+    is still too long or there are four names at most."""
+    half = (limit - 3) // 2
+    ends = lambda c: F.concat(F.substring(c, 1, half), F.lit("..."), F.substring(c, F.length(c) - (half - 1), F.lit(half)))
+    parts = F.split(location, "/")
+    outer = F.concat(F.array_join(F.slice(parts, 1, 2), "/"), F.lit("/.../"), F.array_join(F.slice(parts, -2, 2), "/"))
+    few = F.size(parts) <= 4
+    return F.when(F.length(location) <= limit, location).when(few, ends(location)).when(F.length(outer) > limit, ends(outer)).otherwise(outer)

@@ -40,13 +40,18 @@ def character_of(text: Column, offset: Column) -> Column:
     return F.length(F.substring_index(before, "\n", -1)).cast("long")
 
 
-def redacted(value: Column, fixed: str = "********") -> Column:
-    """Short values as stars; else 60 % of the characters (four at least) in the middle are starred."""
+#: What stands for values under eight characters (a fixed value).
+REDACTED = "***REDACTED***"
+
+
+def redacted(value: Column) -> Column:
+    """Trimmed; short values as a fixed text, else 60 % of the characters (four at least) in the middle are starred."""
+    value = F.btrim(value, F.lit(TRIM))
     n = F.length(value)
     hidden = F.greatest(F.lit(4), F.floor(n * 0.6)).cast("int")
     head = F.floor((n - hidden) / 2).cast("int")
     masked = F.concat(F.substring(value, F.lit(1), head), F.repeat(F.lit("*"), hidden), F.substring(value, head + hidden + 1, n))
-    return F.when(n < 8, F.lit(fixed)).otherwise(masked)
+    return F.when(n < 8, F.lit(REDACTED)).otherwise(masked)
 
 
 def dash_if_blank(text: Column) -> Column:
@@ -62,14 +67,14 @@ def finding_id(rule: Column, path: Column, line: Column, character: Column, chec
 
 #: Part of the upper-cased rule name -> secret type, in order; and what is left.
 SECRET_TYPES = (
-    ("AWS_ACCESS", "AWS_ACCESS_KEY"),
-    ("AWS_SECRET", "AWS_SECRET_KEY"),
-    ("GITHUB", "GITHUB_PAT"),
-    ("RSA", "RSA_PRIVATE_KEY"),
-    ("PASSWORD", "PASSWORD"),
-    ("JWT", "JWT"),
+    ("AWS_ACCESS", "aws.access_key"),
+    ("AWS_SECRET", "aws.secret_key"),
+    ("GITHUB", "github.personal_access_token"),
+    ("RSA", "crypto.rsa_private_key"),
+    ("PASSWORD", "generic.password"),
+    ("JWT", "generic.jwt"),
 )
-OTHER_SECRET = "HIGH_ENTROPY"
+OTHER_SECRET = "generic.high_entropy"
 
 
 def secret_type(rule: Column) -> Column:

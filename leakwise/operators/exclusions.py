@@ -12,10 +12,14 @@ from leakwise.operators.finders import Exclusions
 from leakwise.operators.gate import any_match
 
 #: Paths that hold no secrets as a rule.
-DEFAULT_PATHS = (r".*[.](?i:html?|css)", r".*/(?i:package-lock|npm-shrinkwrap)[.]json", r".*[.](?i:lock)")
+DEFAULT_PATHS = (r".*/(package-lock|npm-shrinkwrap|composer)[.]json", r".*[.](html?|s?css|sass|less)")
 COMMON_PATHS = (r".*[.](?i:html?|css)", r".*/[.]git/.*", r".*/(?i:package-lock|npm-shrinkwrap)[.]json", r".*/node_modules/.*", r".*[.]md", r".*[.](?i:lock|xib|storyboard)")
 
 
+def default_exclusions() -> Exclusions:
+    return Exclusions(paths=DEFAULT_PATHS)
+
+
 def common_exclusions() -> Exclusions:
     return Exclusions(paths=COMMON_PATHS)
 

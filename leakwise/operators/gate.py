@@ -6,8 +6,6 @@ same frame. Extension tables have a few thousand rows at most and become ``isin`
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +74,22 @@ def gate(files: DataFrame, exclusions: Exclusions = Exclusions(), tables: ext.Ex
 
 
 def ignored_rows(gated: DataFrame) -> DataFrame:
-    """A row of High confidence for each file that isn't scanned; only those without a known extension are not marked
-    as excluded."""
-    why = reduce(
-        lambda acc, kv: F.when(F.col("gate_status") == kv[0], kv[1]).otherwise(acc),
-        {TEST: "Test file ignored", EXCLUDED: "File excluded by path", EXTENSION: "File extension not scanned", SIZE: "File too large", BINARY: "File is not plain text"}.items(),
-        F.lit(None).cast("string"),
+    """A row of High confidence for each file that isn't scanned for its test path, an exclusion, its size or its
+    extension; only those without a known extension are not marked as excluded. A confidential file that is left out
+    as a test or excluded has a second row, of the finder of confidential files. (A file that is no text is not
+    reported.)"""
+    path, status = F.col("path"), F.col("gate_status")
+    why = (
+        F.when(status == TEST, F.concat(F.lit("Skipped: Suspected test file "), path))
+        .when(status == EXCLUDED, F.concat(F.lit("Skipped: An exclusion matches path "), path))
+        .when(status == SIZE, F.concat(F.lit("Skipped: File "), path, F.lit(f" exceeds {ext.SIZE_LIMIT} bytes in size")))
+        .otherwise(F.concat(F.lit("Skipped: File extension "), F.col("extension"), F.lit(" is ignored")))
     )
-    return gated.where(F.col("gate_status") != SCAN).select(
-        "repo_index", F.col("path").alias("location"), why.alias("headline"), F.lit(HIGH).alias("confidence"), (F.col("gate_status") != EXTENSION).alias("excluded")
+    both = F.col("why_confidential").isNotNull() & status.isin(TEST, EXCLUDED)
+    providers = F.when(both, F.array(F.lit(ext.PATH_PROVIDER), F.lit(ext.CONFIDENTIAL_PROVIDER))).otherwise(F.array(F.lit(ext.PATH_PROVIDER)))
+    tags = F.when(F.col("is_test"), F.array(F.lit("test"))).otherwise(F.array().cast("array<string>"))
+    return gated.where(~status.isin(SCAN, BINARY)).select(
+        "repo_index", path.alias("location"), F.explode(providers).alias("provider_id"), why.alias("headline"), F.lit(HIGH).alias("confidence"), (status != EXTENSION).alias("excluded"), tags.alias("tags")
     )
 
 
@@ -119,7 +124,7 @@ def confidential_findings(gated: DataFrame, content: str = "content", checksum:
     zero = F.lit(0).cast("long")
     shown = gated.where(F.col("why_confidential").isNotNull() & ~F.col("gate_status").isin(TEST, EXCLUDED))
     return shown.withColumns({"_what": headline, "_level": confidence.cast("int")}).select(
-        "repo_index", path.alias("location"), F.lit("ConfidentialFiles").alias("provider_id"), F.col("_what").alias("headline"), F.col("_level").alias("confidence"),
+        "repo_index", path.alias("location"), F.lit(ext.CONFIDENTIAL_PROVIDER).alias("provider_id"), F.col("_what").alias("headline"), F.col("_level").alias("confidence"),
         F.array(F.struct(F.col("_what").alias("description"), F.col("_level").alias("confidence"))).alias("reasons"),
         *[zero.alias(c) for c in ("start_line", "start_char", "end_line", "end_char", "highlight_start_line", "highlight_start_char", "highlight_end_line", "highlight_end_char", "raw_start", "raw_end")],
         F.lit("").alias("source"), F.lit(None).cast("string").alias("value"),

@@ -17,11 +17,11 @@ def latest_by(rows: DataFrame, by: list[str], newest: list[Column]) -> DataFrame
 
 def carry_forward(new: DataFrame, old: DataFrame, columns: tuple[str, ...] = ("ai_annotation", "verification_status")) -> DataFrame:
     """New findings with the triage of the latest earlier row of the same project and finding that has any."""
-    triaged = old.where("ai_annotation is not null or coalesce(verification_status, 'unverified') <> 'unverified'")
+    triaged = old.where("ai_annotation is not null or coalesce(verification_status, 'NOT_CHECKED') <> 'NOT_CHECKED'")
     last = latest_by(triaged, ["project_id", "finding_id"], [F.col("row_id").desc()])
     kept = last.select("project_id", "finding_id", *[F.col(c).alias(f"_{c}") for c in columns])
     out = new.drop(*columns).join(kept, ["project_id", "finding_id"], "left")
-    defaults = {"verification_status": F.lit("unverified")}
+    defaults = {"verification_status": F.lit("NOT_CHECKED")}
     return out.withColumns({c: F.coalesce(F.col(f"_{c}"), defaults.get(c, F.lit(None))).cast("string") for c in columns}).drop(*[f"_{c}" for c in columns])
 
 

@@ -24,7 +24,7 @@ def update_policy(policy: Exclusions, what: str, location: str, value: str | Non
         HASH_HERE: lambda: Exclusions(path_hashes={location: (checksum,)}) if checksum else Exclusions(),
         EVERYWHERE: lambda: Exclusions(values=(value,)) if value else Exclusions(),
         HASH_EVERYWHERE: lambda: Exclusions(hashes=(checksum,)) if checksum else Exclusions(),
-        FILE: lambda: Exclusions(paths=(f"^{_quoted(location)}$",)),
+        FILE: lambda: Exclusions(paths=(f".*{_quoted(location)}",)),
     }.get(what)
     return merge_exclusions(policy, add()) if add else policy
 

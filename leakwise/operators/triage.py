@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from ipaddress import ip_address
 from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leakwise.functions.text import redacted
-from pyspark.sql import functions as F
+
+
+#: Names of hosts on this machine (fixed values).
+LOCAL_NAMES = ("localhost", "host.docker.internal", "ollama")
 
 
 def is_local(endpoint: str) -> bool:
-    host = (urlparse(endpoint if "//" in endpoint else f"//{endpoint}").hostname or "").lower()
-    return host in ("localhost", "::1", "0.0.0.0", "host.docker.internal") or host.startswith("127.")
+    """Whether a URL points to a local name or a loopback, private or link-local address."""
+    host = urlparse(endpoint).hostname or ""
+    try:
+        address = ip_address(host)
+    except ValueError:
+        return host in LOCAL_NAMES
+    return address.is_loopback or address.is_private or address.is_link_local
 
 
 def triage_input(findings: DataFrame, endpoint: str, allow_raw: bool = False) -> DataFrame:
@@ -23,7 +33,7 @@ def triage_input(findings: DataFrame, endpoint: str, allow_raw: bool = False) ->
     this machine, else the redacted one."""
     raw = allow_raw and is_local(endpoint)
     shown = F.col("value") if raw else redacted(F.col("value"))
-    return findings.withColumns({"shown": shown, "prompt_mode": F.lit("raw" if raw else "redacted")})
+    return findings.withColumns({"shown": shown, "prompt_mode": F.lit("RAW_VALUE" if raw else "REDACTED")})
 
 
 def triage(findings: DataFrame, ask: Callable[[dict], dict], columns: list[str], key: str = "finding_id") -> DataFrame:

@@ -155,14 +155,14 @@ def finding_positions(spark, sf_dir):
 @query(
     FINDINGS_SQL
     + """, n AS (SELECT *, length(value) AS n, CAST(greatest(4, floor(length(value) * 0.6)) AS INT) AS h FROM f)
-SELECT doc_id, rule, raw_start, CASE WHEN n < 8 THEN '********'
+SELECT doc_id, rule, raw_start, CASE WHEN n < 8 THEN '***REDACTED***'
   ELSE substr(value, 1, CAST(floor((n - h) / 2) AS INT)) || repeat('*', h) || substr(value, CAST(floor((n - h) / 2) AS INT) + h + 1) END AS shown FROM n"""
 )
 def redacted_sources(spark, sf_dir):
     return findings(spark, sf_dir).select("doc_id", "rule", "raw_start", tx.redacted(F.col("value")).alias("shown"))
 
 
-@query(FINDINGS_SQL + "SELECT DISTINCT rule, CASE WHEN contains(upper(rule), 'RSA') THEN 'RSA_PRIVATE_KEY' ELSE 'HIGH_ENTROPY' END AS secret_type FROM f")
+@query(FINDINGS_SQL + "SELECT DISTINCT rule, CASE WHEN contains(upper(rule), 'RSA') THEN 'crypto.rsa_private_key' ELSE 'generic.high_entropy' END AS secret_type FROM f")
 def secret_types(spark, sf_dir):
     return findings(spark, sf_dir).select("rule", tx.secret_type(F.col("rule")).alias("secret_type")).distinct()
 
@@ -226,11 +226,12 @@ def path_gate(spark, sf_dir):
 
 @query(
     GATE_SQL
-    + """SELECT path AS location, CASE gate_status WHEN 'test' THEN 'Test file ignored' WHEN 'excluded' THEN 'File excluded by path' WHEN 'extension' THEN 'File extension not scanned' ELSE 'File too large' END AS headline,
-  3 AS confidence, gate_status <> 'extension' AS excluded FROM s WHERE gate_status <> 'scan'"""
+    + """SELECT path AS location, unnest(CASE WHEN why_confidential IS NOT NULL AND gate_status IN ('test', 'excluded') THEN ['PathBasedSecretsFinder', 'ConfidentialFiles'] ELSE ['PathBasedSecretsFinder'] END) AS provider_id,
+  CASE gate_status WHEN 'test' THEN 'Skipped: Suspected test file ' || path WHEN 'excluded' THEN 'Skipped: An exclusion matches path ' || path WHEN 'size' THEN 'Skipped: File ' || path || ' exceeds 10240000 bytes in size'
+    ELSE 'Skipped: File extension ' || extension || ' is ignored' END AS headline, 3 AS confidence, gate_status <> 'extension' AS excluded, CASE WHEN is_test THEN 'test' ELSE '' END AS tags FROM s WHERE gate_status <> 'scan'"""
 )
 def ignored_rows(spark, sf_dir):
-    return g.ignored_rows(gated(spark, sf_dir)).select("location", "headline", "confidence", "excluded")
+    return g.ignored_rows(gated(spark, sf_dir)).select("location", "provider_id", "headline", "confidence", "excluded", F.array_join("tags", " ").alias("tags"))
 
 
 @query(GATE_SQL + "SELECT path, why_confidential AS headline, 2 AS confidence, sha256(text) AS sha256 FROM s WHERE why_confidential IS NOT NULL AND gate_status NOT IN ('test', 'excluded')")
@@ -373,19 +374,19 @@ def commits_since_last_seen(spark, sf_dir):
 
 @query(
     """WITH o AS (SELECT l_suppkey AS project_id, l_partkey AS finding_id, l_orderkey * 10 + l_linenumber AS row_id,
-  CASE WHEN l_linenumber % 3 = 0 THEN 'note ' || l_orderkey END AS ai_annotation, CASE WHEN l_linenumber % 4 = 0 THEN 'true_positive' ELSE 'unverified' END AS verification_status FROM lineitem),
-t AS (SELECT * FROM o WHERE ai_annotation IS NOT NULL OR verification_status <> 'unverified' QUALIFY row_number() OVER (PARTITION BY project_id, finding_id ORDER BY row_id DESC) = 1),
+  CASE WHEN l_linenumber % 3 = 0 THEN 'note ' || l_orderkey END AS ai_annotation, CASE WHEN l_linenumber % 4 = 0 THEN 'ACTIVE' ELSE 'NOT_CHECKED' END AS verification_status FROM lineitem),
+t AS (SELECT * FROM o WHERE ai_annotation IS NOT NULL OR verification_status <> 'NOT_CHECKED' QUALIFY row_number() OVER (PARTITION BY project_id, finding_id ORDER BY row_id DESC) = 1),
 n AS (SELECT DISTINCT project_id, finding_id FROM o)
-SELECT n.project_id, n.finding_id, t.ai_annotation, coalesce(t.verification_status, 'unverified') AS verification_status FROM n LEFT JOIN t USING (project_id, finding_id)"""
+SELECT n.project_id, n.finding_id, t.ai_annotation, coalesce(t.verification_status, 'NOT_CHECKED') AS verification_status FROM n LEFT JOIN t USING (project_id, finding_id)"""
 )
 def carry_forward(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     old = rows.select(
         F.col("l_suppkey").alias("project_id"), F.col("l_partkey").alias("finding_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
         F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("note "), F.col("l_orderkey").cast("string"))).alias("ai_annotation"),
-        F.when(F.col("l_linenumber") % 4 == 0, "true_positive").otherwise("unverified").alias("verification_status"),
+        F.when(F.col("l_linenumber") % 4 == 0, "ACTIVE").otherwise("NOT_CHECKED").alias("verification_status"),
     )
-    new = old.select("project_id", "finding_id").distinct().withColumns({"ai_annotation": F.lit(None).cast("string"), "verification_status": F.lit("unverified")})
+    new = old.select("project_id", "finding_id").distinct().withColumns({"ai_annotation": F.lit(None).cast("string"), "verification_status": F.lit("NOT_CHECKED")})
     return history.carry_forward(new, old).select("project_id", "finding_id", "ai_annotation", "verification_status")
 
 

@@ -15,22 +15,25 @@ TEXT = (
     ".java .scala .groovy .jsp .do .jad .c .cc .cxx .cpp .cp .c++ .bcc .php2 .php .c-- .hc .hpp .hxx .m .swift .h .cs .c# .vb .vba .vbs .aspx .py .pyt "
     ".rb .erb .lua .asmx .f .f95 .ash .tcl .ml .pl .cbl .go .kt .hh .h++ .xml .yaml .yml .json .conf .txt .log .sql .sh .bat .ps1 .js .ts .csv .md .html .htm .css"
 ).split()
-DANGEROUS_NAMES = {"id_rsa": "Private SSH key", "id_dsa": "Private SSH key", "keystore": "Key store"}
+DANGEROUS_NAMES = {"id_rsa": "SSH private key", "id_dsa": "SSH private key", "keystore": "Java key store"}
 CERTIFICATES = {
-    ".cer": "Certificate", ".crt": "Certificate", ".der": "Certificate", ".p7b": "Certificate", ".p7c": "Certificate", ".p12": "Key store",
-    ".pfx": "Key store", ".jks": "Key store", ".keystore": "Key store", ".pem": "Certificate or key", ".key": "Private key", ".csr": "Certificate request",
-    ".crl": "Revocation list", ".spc": "Certificate", ".sst": "Certificate store", ".stl": "Trust list", ".ppk": "Private SSH key",
+    ".pem": "Certificate file", ".crt": "Certificate file", ".cer": "Certificate file", ".der": "Certificate file", ".p7b": "Certificate file",
+    ".p7r": "Certificate file", ".spc": "Certificate file", ".pfx": "Certificate file", ".p12": "Certificate file", ".jks": "Java key store",
+    ".ks": "Java key store", ".keystore": "Java key store", ".jceks": "Java key store", ".ubr": "Java key store", ".bks": "Java key store",
+    ".sst": "Microsoft certificate store", ".sto": "Microsoft certificate store",
 }
 FINANCIAL = {".qif": "Quicken interchange file", ".ofx": "Open financial exchange", ".qbw": "QuickBooks data", ".gnucash": "GnuCash data", ".mny": "Money data"}
 DANGEROUS = {".gpg": "Encrypted file", ".pgp": "Encrypted file", ".asc": "Armoured file", ".kdb": "Password database", ".kdbx": "Password database", ".enc": "Encoded file", ".aes": "Encrypted file"}
 #: Always scanned, however large.
 RECOGNISED = (".java", ".scala", ".kt", ".go", ".c", ".cpp", ".cc", ".c++", ".h++", ".hh", ".hpp", ".xml", ".json", ".yaml", ".yml", ".rb", ".erb", ".conf")
 PRUNED_FOLDERS = (
-    "node_modules", "vendor", ".git", ".hg", ".svn", "dist", "build", "target", "out", "bin", "obj", ".idea", ".vscode", "__pycache__", ".venv", "venv",
-    ".gradle", ".terraform",
+    ".git", ".hg", ".svn", "node_modules", "vendor", ".venv", "venv", "__pycache__", "target", "build", "dist", ".gradle", ".terraform",
+    ".next", ".nuxt", ".cache", ".idea", ".vscode",
 )
 SIZE_LIMIT = 10_240_000
 SNIFFED_BYTES = 512
+#: Names of the two finders that report files rather than values.
+CONFIDENTIAL_PROVIDER, PATH_PROVIDER = "ConfidentialFiles", "PathBasedSecretsFinder"
 # ---- End of the fixed values. ----
 
 

@@ -100,11 +100,14 @@ def editor_diagnostics(findings: DataFrame) -> DataFrame:
 
 
 def project_rows(projects: DataFrame, latest_scores: DataFrame) -> DataFrame:
-    """A row per project for the workspace report: the whole part of the metric, dashes where it was never scanned."""
+    """A row per project for the workspace report: the whole part of the metric and the counts, dashes where it was
+    never scanned; repositories are joined."""
     joined = projects.join(latest_scores, "project_id", "left")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(DASH))
-    metric = F.when(F.isnan("metric"), F.lit(None)).otherwise(F.floor("metric")).cast("string")
-    return joined.select("workspace", "name", F.coalesce(metric, F.lit(DASH)).alias("metric"), text("grade").alias("grade"), *[text(f"{n}_count").alias(n) for n in ("critical", "high", "medium", "low", "info")])
+    metric = F.when(~F.isnan("metric"), F.floor("metric")).cast("string")
+    counts = [text(f"{n}_count").alias(n) for n in ("production", "critical", "high", "medium", "low", "info")]
+    where = F.array_join("repositories", "; ") if "repositories" in projects.columns else F.lit("")
+    return joined.select("name", text("grade").alias("grade"), F.coalesce(metric, F.lit(DASH)).alias("metric"), *counts, "workspace", where.alias("repositories"), "project_id")
 
 
 ALL_WORKSPACES = "__cm_all"

@@ -88,7 +88,9 @@ def test_path_functions(spark):
     assert one(spark, paths.checkout_location(F.lit("/b/"), F.col("a")), a="https://h/o/r.git") == "/b/r"
     assert one(spark, paths.repository_of(F.col("a")), a="https://h/o/r.git/src/x") == "https://h/o/r.git"
     assert one(spark, paths.under_pruned_folder(F.col("a"), ["node_modules"]), a="x/node_modules/y.js") and not one(spark, paths.under_pruned_folder(F.col("a"), ["y.js"]), a="x/y.js")
-    assert len(one(spark, paths.short_location(F.col("a")), a="p" * 80)) == 50
+    assert len(one(spark, paths.short_location(F.col("a")), a="p" * 80)) == 49 and one(spark, paths.short_location(F.col("a")), a="ab") == "ab"
+    assert one(spark, paths.short_location(F.col("a")), a="a/b/" + "c/" * 40 + "d/e") == "a/b/.../d/e"
+    assert triage.is_local("http://10.1.2.3:80/v1") and triage.is_local("http://localhost") and not triage.is_local("http://8.8.8.8") and not triage.is_local("::bad")
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -103,12 +105,12 @@ def test_trim_and_positions_as_columns(spark, texts):
 
 
 def test_value_functions(spark):
-    assert one(spark, tx.redacted(F.col("v")), v="short") == "********"
+    assert one(spark, tx.redacted(F.col("v")), v="short") == "***REDACTED***"
     shown = one(spark, tx.redacted(F.col("v")), v="abcdefghijklmnop")
     assert len(shown) == 16 and shown.count("*") == 9 and shown.startswith("abc") and shown.endswith("p")
     ident = one(spark, tx.finding_id(F.lit("r"), F.lit("p"), F.lit(0), F.lit(4), F.lit(None).cast("string")))
     assert ident == hashlib.sha256(b"r::p:1:5:").hexdigest()
-    assert one(spark, tx.secret_type(F.lit("transversal"))) == "RSA_PRIVATE_KEY" and one(spark, tx.secret_type(F.lit("x"))) == "HIGH_ENTROPY"
+    assert one(spark, tx.secret_type(F.lit("transversal"))) == "crypto.rsa_private_key" and one(spark, tx.secret_type(F.lit("x"))) == "generic.high_entropy"
     assert one(spark, tx.decoded(F.lit("aGk="), F.lit(True))) == "hi" and one(spark, tx.decoded(F.lit("hi"), F.lit(False))) == "hi"
     assert [one(spark, confidence_number(F.lit(n))) for n in ("CRITICAL", "info", "odd")] == [4, 0, 3] and one(spark, confidence_name(F.lit(2))) == "Medium"
     assert one(spark, tx.dash_if_blank(F.lit(" "))) == "-" and one(spark, tx.dash_if_blank(F.lit("a"))) == "a"
@@ -125,7 +127,7 @@ def test_gate_order_and_sniffing(spark, tmp_path):
     gated = g.gate(files, Exclusions(paths=("/[.]git/", "(")), exclude_tests=True)
     assert [r.gate_status for r in gated.collect()] == [g.SCAN, g.TEST, g.EXCLUDED, g.EXTENSION, g.SIZE, g.SCAN, g.SCAN, g.BINARY, g.BINARY, g.BINARY, g.EXTENSION]
     ignored = {r.location: r.excluded for r in g.ignored_rows(gated).collect()}
-    assert ignored["r/a.xyz"] is False and ignored["r/a.log"] is True
+    assert ignored["r/a.xyz"] is False and ignored["r/a.log"] is True and "r/run" not in ignored
     (tmp_path / "financial.csv").write_text(".x,One\n.x,Two\nnot a row\n.y,Three\n")
     assert read_table(tmp_path / "financial.csv") == {".x": "One or Two", ".y": "Three"}
     tables = ExtensionTables().with_files(tmp_path)
@@ -203,7 +205,7 @@ def test_policy_and_exception_log(spark):
     p = policy.update_policy(p, policy.HERE, "/r/a", "v")
     p = policy.update_policy(policy.update_policy(p, policy.HASH_HERE, "/r/a", checksum="h"), policy.EVERYWHERE, "x", "w")
     p = policy.update_policy(policy.update_policy(p, policy.HASH_EVERYWHERE, "x", checksum="g"), policy.FILE, "/r/a.b")
-    assert p.path_values == {"a": ("v",)} and p.path_hashes == {"a": ("h",)} and p.values == ("w",) and p.hashes == ("g",) and p.paths == (r"^a\.b$",)
+    assert p.path_values == {"a": ("v",)} and p.path_hashes == {"a": ("h",)} and p.values == ("w",) and p.hashes == ("g",) and p.paths == (r".*a\.b",)
     assert policy.update_policy(p, "odd", "x") == p and policy.policy_from_json(policy.policy_to_json(p)) == p
     log = spark.createDataFrame([("a", 1, "create", "active", datetime.datetime(2020, 1, 1)), ("b", 1, "create", "active", None), ("b", 2, "delete", "active", None), ("c", 1, "create", "active", None), ("c", 2, "update", "revoked", None)], "id string, version int, action string, status string, expires_at timestamp")
     now = F.lit(datetime.datetime(2024, 1, 1))
@@ -278,7 +280,7 @@ def test_history(spark):
 def test_triage_and_transformers(spark):
     rows = spark.createDataFrame([("f1", "abcdefghijklmnop"), ("f2", "bad")], "finding_id string, value string")
     shown = {r.finding_id: r for r in triage.triage_input(rows, "http://localhost:1", allow_raw=True).collect()}
-    assert shown["f1"].shown == "abcdefghijklmnop" and triage.triage_input(rows, "https://far.example", allow_raw=True).first().prompt_mode == "redacted"
+    assert shown["f1"].shown == "abcdefghijklmnop" and triage.triage_input(rows, "https://far.example", allow_raw=True).first().prompt_mode == "REDACTED"
 
     def ask(row):
         if row["value"] == "bad":

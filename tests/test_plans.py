@@ -56,8 +56,9 @@ def test_scan_of_roots(spark, corpus):
     assert all(r.finding_id and r.secret_type for r in got)
     options = plan.ScanOptions(exclude_tests=True, prune=("node_modules",), exclusions=Exclusions(paths=("two/",)), report_ignored=True)
     found = plan.scan_paths(spark, roots(corpus), options).collect()
-    assert {r.location.removeprefix(str(corpus)) for r in found if r.provider_id} == {"/one/certs/k.pem", "/one/src/A.java"}
-    assert {r.location.removeprefix(str(corpus)): r.headline for r in found if not r.provider_id}["/one/run"] == "File is not plain text"
+    assert {r.location.removeprefix(str(corpus)) for r in found if r.provider_id != "PathBasedSecretsFinder"} == {"/one/certs/k.pem", "/one/src/A.java"}
+    ignored = {r.location.removeprefix(str(corpus)): r.headline for r in found if r.provider_id == "PathBasedSecretsFinder"}
+    assert ignored["/one/x.xyz"] == "Skipped: File extension .xyz is ignored" and "/one/run" not in ignored and "/two/values.yaml" in ignored
     only = plan.scan_paths(spark, roots(corpus), plan.ScanOptions(confidential_only=True)).collect()
     assert [r.provider_id for r in only] == ["ConfidentialFiles"]
 
