@@ -115,12 +115,13 @@ class Finder:
     def __init__(self, options: FinderOptions) -> None:
         self.o = options
         self.patterns = p.finder_patterns()
+        self.filter = prefilter.RuleFilter([r.pattern for r in options.rules])
 
     def scan(self, text: str, file_class: str) -> list[dict]:
         t, found = Text(text), []
         folded = prefilter.folded(text)
-        for rule in self.o.rules:
-            if rule.emits and not (self.o.prefilter and not prefilter.may_match(rule.pattern, folded)):
+        for rule in self._rules(folded):
+            if rule.emits:
                 found += self._strings(t, text, 0, (m.span() for m in rule.regex.finditer(text)), rule.id)
         if file_class == "xml":
             found += self._xml(t)
@@ -136,11 +137,12 @@ class Finder:
             found = overlap.subsume_rows(overlap.drop_contained(found))
         return found
 
+    def _rules(self, folded: str) -> list[p.VendorRule]:
+        """The rules that may match a text, in their order."""
+        return [self.o.rules[i] for i in self.filter.candidates(folded)] if self.o.prefilter else list(self.o.rules)
+
     def _classify(self, value: str) -> tuple[str, int]:
-        if self.o.prefilter:
-            low = prefilter.folded(value)
-            return classify(value, (r for r in self.o.rules if prefilter.may_match(r.pattern, low)))
-        return classify(value, self.o.rules)
+        return classify(value, self._rules(prefilter.folded(value)))
 
     def _row(self, t: Text, provider: str, headline: tuple[str, int], reasons: list[tuple[str, int]], raw: tuple[int, int], mark: tuple[int, int], source: str, value: str) -> Iterator[dict]:
         checksum = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest() if self.o.checksum else None

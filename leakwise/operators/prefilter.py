@@ -10,6 +10,11 @@ from functools import cache
 from re import _constants as sre  # the parser that re itself uses
 from re import _parser
 
+try:
+    import ahocorasick
+except ImportError:  # an optional library
+    ahocorasick = None
+
 MIN_SEED, MAX_ALTERNATIVES = 3, 32
 
 
@@ -93,6 +98,38 @@ def may_match(pattern: str, folded_text: str) -> bool:
     return not seeds or any(s in folded_text for s in seeds)
 
 
+class RuleFilter:
+    """Which of many patterns may match a text, in one pass over it if ``ahocorasick`` is there, else seed by seed."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.always: set[int] = set()
+        self.of_seed: dict[str, list[int]] = {}
+        for i, pattern in enumerate(patterns):
+            seeds = required_literals(pattern)
+            if not seeds:
+                self.always.add(i)
+            for seed in seeds:
+                self.of_seed.setdefault(seed, []).append(i)
+        self.automaton = None
+        if ahocorasick is not None and self.of_seed:
+            self.automaton = ahocorasick.Automaton()
+            for seed, rules in self.of_seed.items():
+                self.automaton.add_word(seed, rules)
+            self.automaton.make_automaton()
+
+    def candidates(self, folded_text: str) -> list[int]:
+        """Numbers of the patterns, ascending."""
+        found = set(self.always)
+        if self.automaton is not None:
+            for _, rules in self.automaton.iter(folded_text):
+                found.update(rules)
+        else:
+            for seed, rules in self.of_seed.items():
+                if seed in folded_text:
+                    found.update(rules)
+        return sorted(found)
+
+
 #: No name pattern matches without one of these (in the folded text).
 NAME_SEEDS = ("secret", "private", "sensitive", "confidential", "cypher", "cipher", "crypt", "signature", "nonce", "credential", "cert", "key", "token", "salt", "auth", "pass", "pwd", "pswd")
 

@@ -82,6 +82,16 @@ def test_required_literals(pattern, want):
     assert prefilter.required_literals(pattern) == want
 
 
+@given(st.lists(st.sampled_from([*PIECES, "abcd", "efgh"]), max_size=12).map("".join))
+def test_one_pass_equals_seed_by_seed(text):
+    patterns = ["abcd", "(?:abcd|efgh)x", "x*", *(r.pattern for r in p.vendor_rules())]
+    filters = [prefilter.RuleFilter(patterns), prefilter.RuleFilter(patterns)]
+    filters[1].automaton = None
+    low = prefilter.folded(text)
+    want = [i for i, x in enumerate(patterns) if prefilter.may_match(x, low)]
+    assert filters[0].candidates(low) == filters[1].candidates(low) == want
+
+
 def test_most_rules_can_be_filtered():
     rules = p.vendor_rules()
     assert sum(bool(prefilter.required_literals(r.pattern)) for r in rules) >= 0.75 * len(rules)
