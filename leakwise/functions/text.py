@@ -86,7 +86,7 @@ def secret_type(rule: Column) -> Column:
 
 def decoded(source: Column, is_base64: Column) -> Column:
     """The text of a string request, decoded if it is marked as base64 (undecodable input gives null)."""
-    return F.when(F.coalesce(is_base64, F.lit(False)), F.try_to_binary(source, F.lit("base64")).cast("string")).otherwise(source)
+    return F.when(F.coalesce(is_base64, F.lit(False)), F.make_valid_utf8(F.try_to_binary(source, F.lit("base64")).cast("string"))).otherwise(source)
 
 
 def has_tag(tags: Column, tag: str) -> Column:

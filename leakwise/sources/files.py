@@ -38,7 +38,7 @@ def stream_roots(spark: SparkSession, root: str, index: int = 0, prune: tuple[st
 
 def with_text(files: DataFrame) -> DataFrame:
     """``text`` from ``content``; bytes that aren't UTF-8 are replaced."""
-    return files.withColumn("text", F.col("content").cast("string"))
+    return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -84,6 +84,17 @@ def test_strings_and_repositories(spark):
     assert [(r.repo_index, r.checkout) for r in tables.repositories(registry, "/w").orderBy("repo_index").collect()] == [(0, "/w/a"), (1, "/w/b")]
 
 
+def test_bytes_that_are_no_text(spark, tmp_path_factory):
+    import tempfile
+
+    with tempfile.TemporaryDirectory(prefix="bytes-", dir="/tmp") as root:
+        Path(f"{root}/a.java").write_bytes(b'\xff\xfe String apiKey = "' + HEX.encode() + b'";\n')
+        (r,) = plan.scan_paths(spark, [root]).collect()
+        assert r.value == HEX and r.provider_id == "SecretAssignment"
+    rows = spark.createDataFrame([("/////w==", ".java", True)], "source string, source_type string, base64 boolean")
+    assert plan.scan_strings(tables.string_requests(rows)).count() == 0
+
+
 def test_paged_source(spark):
     def fetch(cursor):
         at = int(cursor or 0)
