@@ -12,7 +12,7 @@ from leakwise.llm.common import documents, remainder
 from leakwise.llm.context_tree import lm_scores
 from leakwise.llm.exact_dedup import exact_dedup
 from leakwise.llm.language_id import predict_languages
-from leakwise.llm.license_scan import license_scan
+from leakwise.llm.license_scan import TEMPLATES, WIDTH, license_scan, word_form
 from leakwise.llm.mixing import Targets, mix, word_count
 from leakwise.llm.packing import pack
 from leakwise.llm.quality import quality_scores
@@ -90,6 +90,30 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def _op4_sql(threshold: float = 0.8) -> str:
+    """Every window of every template by exact containment; overlapping ones merged."""
+    rows = []
+    for name, text in TEMPLATES.items():
+        words = [word_form(w).decode() for w in text.encode().split()]
+        runs = [" ".join(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)]
+        rows += [f"('{name}', {len(runs)}, {len(set(runs))}, '{r.replace(chr(39), chr(39) * 2)}')" for r in sorted(set(runs))]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH t(template, m, want, s) AS (VALUES {", ".join(rows)}),
+w AS (SELECT row_number() OVER () AS rid, doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+        lambda x: regexp_replace(translate(x, '{upper}', '{upper.lower()}'), '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) AS words FROM documents),
+sh AS (SELECT rid, doc_id, n, p, array_to_string(words[p:p + {WIDTH - 1}], ' ') AS s FROM (SELECT rid, doc_id, words, len(words) AS n, unnest(range(1, len(words) - {WIDTH - 2})) AS p FROM w)),
+hit AS (SELECT rid, doc_id, n, template, m, want, p, s FROM sh JOIN t USING (s)),
+win AS (SELECT rid, doc_id, n, template, m, want, pos, count(DISTINCT s) AS c FROM (SELECT *, unnest(range(greatest(1, p - m + 1), p + 1)) AS pos FROM hit) GROUP BY ALL
+        HAVING CAST(count(DISTINCT s) AS DOUBLE) / want >= CAST({threshold} AS DOUBLE)),
+sized AS (SELECT *, least(m + {WIDTH - 1}, n - pos + 1) AS size FROM win),
+marked AS (SELECT *, CASE WHEN lag(pos) OVER o IS NULL OR pos >= lag(pos) OVER o + lag(size) OVER o THEN 1 ELSE 0 END AS fresh FROM sized WINDOW o AS (PARTITION BY rid, template ORDER BY pos)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY pos) AS run FROM marked)
+SELECT doc_id, template, pos - 1 AS first_word, size AS n_words, CAST(c AS DOUBLE) / want AS containment, count(*) OVER g AS windows
+FROM runs WINDOW g AS (PARTITION BY rid, template, run) QUALIFY row_number() OVER (PARTITION BY rid, template, run ORDER BY c DESC, pos) = 1
+"""
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
@@ -177,4 +201,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "op9_quality_rules": _op9_sql()}
+    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql()}
