@@ -642,6 +642,13 @@ def string_scan(spark, sf_dir):
     return scan_strings(string_requests(spread(requests))).select("location", "provider_id", "headline", "confidence", "raw_start", "raw_end")
 
 
+@query()
+def flagship(spark, sf_dir):
+    """All findings of documents and pages."""
+    documents, pages = scan_findings(spark, sf_dir), page_scan(spark, sf_dir)
+    return documents.select(*pages.columns).unionByName(pages)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
