@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from leakwise.operators.finders import Exclusions
+from leakwise.operators.finders import Exclusions, valid_patterns
 from leakwise.operators.gate import any_match
 
 #: Paths that hold no secrets as a rule.
@@ -91,6 +92,8 @@ def prunable_folder(pattern: str) -> str | None:
     return None
 
 
+Get = Callable[[str], Column]
+
 # -- exceptions ---------------------------------------------------------------------------------------------------------
 
 
@@ -108,84 +111,87 @@ def same_path(location: Column, path: Column) -> Column:
     return (location != "") & (path != "") & ((location == path) | (path.startswith("/") & location.endswith(path)))
 
 
-def scope_matches(f: str = "f", x: str = "x") -> tuple[Column, Column]:
-    """(rule fits, scope fits) of exception ``x`` and finding ``f``."""
-    c = lambda a, n: F.coalesce(F.col(f"{a}.{n}"), F.lit(""))
-    location, checksum, source = c(f, "location"), c(f, "sha256"), c(f, "source")
-    path, text, pattern, kind = c(x, "path"), c(x, "string_match"), c(x, "regex_match"), F.col(f"{x}.type")
-    hashed = (checksum != "") & (checksum == c(x, "secret_checksum"))
-    held = (text != "") & source.contains(text)
+def _rule_fits(finding: Get, exception: Get) -> Column:
+    rule = F.coalesce(exception("rule_id"), F.lit(""))
+    return rule.isin("", "*") | (rule == F.coalesce(finding("headline"), F.lit("")))
+
+
+def _scopes(finding: Get, exception: Get) -> dict[str, Column]:
+    """Exception type -> whether its scope covers the finding."""
+    text = lambda get, name: F.coalesce(get(name).cast("string"), F.lit(""))
+    location, checksum, source = (text(finding, n) for n in ("location", "sha256", "source"))
+    path, part, pattern = (text(exception, n) for n in ("path", "string_match", "regex_match"))
+    hashed = (checksum != "") & (checksum == text(exception, "secret_checksum"))
+    held = (part != "") & source.contains(part)
     here = same_path(location, path)
     on_path = (location != "") & (path != "") & F.rlike(location, path)
     in_source = (pattern != "") & F.rlike(source, pattern)
-    line = F.col(f"{f}.start_line") + 1
-    cases = {
-        ("globalHash", "value"): hashed,
-        ("globalString",): held,
-        ("globalRegex",): (source != "") & in_source,
-        ("pathRegex",): on_path,
-        ("pathString",): here & held,
-        ("pathHash",): here & hashed,
-        ("pathRegexRegex",): on_path & in_source,
-        ("global", "project"): F.lit(True),
-        ("directory",): (location != "") & (path != "") & location.startswith(path),
-        ("file",): here,
-        ("line",): here & line.between(F.col(f"{x}.line_start"), F.col(f"{x}.line_end")),
-    }
-    out = F.lit(False)
-    for names, test in cases.items():
-        out = F.when(kind.isin(*names), F.coalesce(test, F.lit(False))).otherwise(out)
-    rule = c(x, "rule_id")
-    return rule.isin("", "*") | (rule == c(f, "headline")), out
+    line = finding("start_line") + 1
+    always = F.lit(True)
+    return {
+        "globalHash": hashed, "value": hashed, "globalString": held, "globalRegex": (source != "") & in_source, "pathRegex": on_path,
+        "pathString": here & held, "pathHash": here & hashed, "pathRegexRegex": on_path & in_source, "global": always, "project": always,
+        "directory": (location != "") & (path != "") & location.startswith(path), "file": here,
+        "line": here & line.between(exception("line_start"), exception("line_end")),
+    }
 
 
 #: Exceptions are written by people; a policy with more than this is refused rather than broadcast.
 MAX_EXCEPTIONS = 10_000
+#: Up to this many are literals of one expression, so matching needs neither a join nor a shuffle.
+MAX_LITERALS = 64
 
 
-def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column, key: str = "finding_id") -> DataFrame:
-    """``findings`` with suppressed and exception_id: the first active exception, by ``ord``, that covers each.
+def usable_exceptions(exceptions: DataFrame, now: Column) -> list[Row]:
+    """The active exceptions whose patterns compile, in their order."""
+    held = active_exceptions(exceptions, now).limit(MAX_EXCEPTIONS + 1).collect()
+    if len(held) > MAX_EXCEPTIONS:
+        raise ValueError(f"more than {MAX_EXCEPTIONS} active exceptions")
 
-    Patterns that don't compile make an exception inert. Exceptions with a hash or exact-path scope meet the findings
-    in equi-joins; the others (patterns, prefixes, substrings) are broadcast, after a check of their number.
-    """
-    import re
+    def inert(r: Row) -> bool:
+        patterns = [r["regex_match"]] + ([r["path"]] if r["type"] in ("pathRegex", "pathRegexRegex") else [])
+        return len(valid_patterns(tuple(p or "" for p in patterns))) < len(patterns)
 
-    def compiles(pattern: str | None) -> bool:
-        try:
-            re.compile(pattern or "")
-            return True
-        except re.error:
-            return False
+    return sorted((r for r in held if not inert(r)), key=lambda r: (r["ord"], r["id"]))
 
-    live = active_exceptions(exceptions, now)
-    held = live.limit(MAX_EXCEPTIONS + 1).collect()
-    if len(held) > MAX_EXCEPTIONS:
-        raise ValueError(f"more than {MAX_EXCEPTIONS} active exceptions")
-    regex_path = ("pathRegex", "pathRegexRegex")
-    good = [r for r in held if compiles(r["regex_match"]) and (r["type"] not in regex_path or compiles(r["path"]))]
+
+def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column, key: str = "finding_id", max_literals: int = MAX_LITERALS) -> DataFrame:
+    """``findings`` with suppressed and exception_id: the first active exception, by ``ord``, that covers each.
+
+    Patterns that don't compile make an exception inert. A few exceptions become one expression over each row. Many
+    are broadcast, after the check of their number: those with a hash meet the findings in an equi-join, the others
+    in a nested loop, and the first hit per ``key`` is joined back.
+    """
+    good = usable_exceptions(exceptions, now)
+    if len(good) <= max_literals:
+        first = F.lit(None).cast("string")
+        for r in reversed(good):
+            literal = lambda name, r=r: F.lit(r[name]) if r[name] is not None else F.lit(None).cast("string")
+            scope = _scopes(F.col, literal).get(r["type"])
+            if scope is not None:
+                first = F.when(_rule_fits(F.col, literal) & F.coalesce(scope, F.lit(False)), r["id"]).otherwise(first)
+        return findings.withColumn("exception_id", first).withColumn("suppressed", F.col("exception_id").isNotNull())
     table = findings.sparkSession.createDataFrame(good, exceptions.schema)
-    rule, scope = scope_matches()
+    of_f, of_x = (lambda name: F.col(f"f.{name}")), (lambda name: F.col(f"x.{name}"))
+    scope = F.lit(False)
+    for kind, test in _scopes(of_f, of_x).items():
+        scope = F.when(F.col("x.type") == kind, F.coalesce(test, F.lit(False))).otherwise(scope)
+    fits = _rule_fits(of_f, of_x) & scope
     by_hash = F.col("type").isin("globalHash", "value", "pathHash")
     f = findings.alias("f")
-    hashed = f.join(F.broadcast(table.where(by_hash).alias("x")), (F.col("f.sha256") == F.col("x.secret_checksum")) & rule & scope)
-    others = f.join(F.broadcast(table.where(~by_hash).alias("x")), rule & scope)
+    hashed = f.join(F.broadcast(table.where(by_hash).alias("x")), (F.col("f.sha256") == F.col("x.secret_checksum")) & fits)
+    others = f.join(F.broadcast(table.where(~by_hash).alias("x")), fits)
     hits = reduce(DataFrame.unionByName, [j.select(F.col(f"f.{key}").alias(key), F.struct("x.ord", "x.id").alias("hit")) for j in (hashed, others)])
     first = hits.groupBy(key).agg(F.min("hit").alias("_hit"))
-    joined = findings.join(first, key, "left")
+    joined = findings.drop("suppressed", "exception_id").join(first, key, "left")
     return joined.withColumns({"suppressed": F.col("_hit").isNotNull(), "exception_id": F.col("_hit.id")}).drop("_hit")
 
 
 def reconcile(findings: DataFrame, exceptions: DataFrame, now: Column, key: str = "finding_id") -> DataFrame:
     """A second pass after a scan: findings that an exception covers by now become suppressed; none is released."""
-    again = match_exceptions(findings.select(key, "headline", "location", "sha256", "source", "start_line"), exceptions, now, key)
-    late = again.select(key, F.col("suppressed").alias("_late"), F.col("exception_id").alias("_by")).dropDuplicates([key])
-    return findings.join(late, key, "left").withColumns(
-        {
-            "exception_id": F.when(F.col("suppressed"), F.col("exception_id")).otherwise(F.col("_by")),
-            "suppressed": F.col("suppressed") | F.coalesce("_late", F.lit(False)),
-        }
-    ).drop("_late", "_by")
+    before = findings.withColumns({"_was": F.col("suppressed"), "_by": F.col("exception_id")})
+    again = match_exceptions(before, exceptions, now, key)
+    return again.withColumns({"exception_id": F.when(F.col("_was"), F.col("_by")).otherwise(F.col("exception_id")), "suppressed": F.col("suppressed") | F.col("_was")}).drop("_was", "_by")
 
 
 def exclusions_from_exceptions(rows: list[dict]) -> Exclusions:

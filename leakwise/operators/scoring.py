@@ -11,23 +11,24 @@ from leakwise.schema import CRITICAL, HIGH, INFO, LOW, MEDIUM
 NAMES = {CRITICAL: "critical", HIGH: "high", MEDIUM: "medium", LOW: "low", INFO: "info"}
 
 
-def severity_counts(findings: DataFrame, by: list[str]) -> DataFrame:
-    """Counts per confidence (anything unknown counts as info) and of production and confidential findings."""
+def _counters() -> dict[str, Column]:
+    """What is counted of findings, by name."""
     level, test = F.col("confidence"), has_tag(F.col("tags"), "test")
     confidential = has_tag(F.col("tags"), "confidential")
-    known = [F.count_if(level == k).alias(f"{n}_count") for k, n in NAMES.items() if k != INFO]
-    files = [F.count_if(confidential & ~test & (level == k)).alias(f"{n}_file_count") for k, n in NAMES.items()]
-    return findings.groupBy(*by).agg(
-        F.count("*").alias("issues"),
-        *known,
-        F.count_if(level.isNull() | ~level.isin(CRITICAL, HIGH, MEDIUM, LOW)).alias("info_count"),
-        F.count_if(confidential & ~test).alias("production_confidential_count"),
-        F.count_if(~test).alias("production_count"),
-        *files,
-        F.count_if(confidential & test).alias("test_file_count"),
+    return (
+        {"issues": F.lit(True)}
+        | {f"{n}_count": level == k for k, n in NAMES.items() if k != INFO}
+        | {"info_count": level.isNull() | ~level.isin(CRITICAL, HIGH, MEDIUM, LOW), "production_confidential_count": confidential & ~test, "production_count": ~test}
+        | {f"{n}_file_count": confidential & ~test & (level == k) for k, n in NAMES.items()}
+        | {"test_file_count": confidential & test}
     )
 
 
+def severity_counts(findings: DataFrame, by: list[str]) -> DataFrame:
+    """Counts per confidence (anything unknown counts as info) and of production and confidential findings."""
+    return findings.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in _counters().items()])
+
+
 def reuse_clusters(findings: DataFrame, by: list[str]) -> DataFrame:
     """One row per secret: how often it occurs, in production and in tests."""
     test = has_tag(F.col("tags"), "test")
@@ -70,18 +71,21 @@ def shared_counts(findings: DataFrame, by: list[str], order: list[Column], stric
 
 def model(findings: DataFrame, files: DataFrame, by: list[str], order: list[Column], strict: bool = True) -> DataFrame:
     """One row per scan: counts, reuse, shared counts and findings per file. ``files`` is (by..., file_count)."""
-    clusters = reuse_clusters(findings, by)
-    reuse = clusters.groupBy(*by).agg(
-        F.count_if(F.col("size") > 1).alias("reused_secrets"),
-        F.coalesce(F.sum(F.when(F.col("size") > 1, F.col("size"))), F.lit(0)).alias("reuse_total"),
-        # histogram of cluster sizes: (size, clusters); bounded by the different sizes, not by the secrets
-        F.sum("size").alias("secret_findings"),
-        F.sum(F.col("size") * F.log2(F.col("size"))).alias("size_log_size"),
+    # one pass over the findings: counts per secret (findings without one together), then per scan
+    per_secret = findings.groupBy(*by, "sha256").agg(*[F.count_if(c).alias(n) for n, c in _counters().items()])
+    size, real = F.col("issues"), F.col("sha256").isNotNull()
+    counts = per_secret.groupBy(*by).agg(
+        *[F.sum(n).alias(n) for n in _counters() if n != "issues"],
+        F.count_if(real & (size > 1)).alias("reused_secrets"),
+        F.coalesce(F.sum(F.when(real & (size > 1), size)), F.lit(0)).alias("reuse_total"),
+        # the sizes of the clusters matter by their number and entropy only
+        F.coalesce(F.sum(F.when(real, size)), F.lit(0)).alias("secret_findings"),
+        F.coalesce(F.sum(F.when(real, size * F.log2(size))), F.lit(0.0)).alias("size_log_size"),
+        F.sum("issues").alias("issues"),
     )
-    counts = severity_counts(findings, by)
     shared = shared_counts(findings, by, order, strict)
     zero = {f"{n}_shared": 0 for n in NAMES.values()} | {"reused_secrets": 0, "reuse_total": 0, "secret_findings": 0, "size_log_size": 0.0, "file_count": 0}
-    joined = counts.join(reuse, by, "left").join(shared, by, "left").join(files, by, "left").fillna(zero)
+    joined = counts.join(shared, by, "left").join(files, by, "left").fillna(zero)
     average = F.when(F.col("file_count") > 0, (F.col("issues") / F.col("file_count")).cast("float")).otherwise(F.lit(0.0).cast("float"))
     return joined.withColumn("average_per_file", average)
 

@@ -186,15 +186,17 @@ def test_exception_scopes(spark):
         many = own if many is None else many.unionByName(own)
         rule = {"*": f"rule{i}", "rule": f"rule{i}"}.get(values.get("rule_id", "*"), "none")
         rules.append(exception(i, kind, **(values | {"rule_id": rule})))
-    got = {r.finding_id: r.suppressed for r in ex.match_exceptions(many, spark.createDataFrame(rules, EXCEPTION), now).collect()}
-    assert [got[f"f{i}"] for i in range(len(SCOPES))] == [w for *_, w in SCOPES]
+    for literals in (64, 0):  # one expression, and the joins
+        got = {r.finding_id: r.suppressed for r in ex.match_exceptions(many, spark.createDataFrame(rules, EXCEPTION), now, max_literals=literals).collect()}
+        assert [got[f"f{i}"] for i in range(len(SCOPES))] == [w for *_, w in SCOPES]
 
 
 def test_first_exception_wins_and_reconcile_is_one_way(spark):
     now = F.lit(datetime.datetime(2024, 1, 1))
     table = spark.createDataFrame([exception(9, "global"), exception(2, "globalHash", secret_checksum="h1"), exception(5, "globalString", string_match="secret")], EXCEPTION)
-    got = {r.finding_id: r.exception_id for r in ex.match_exceptions(findings_frame(spark), table, now).collect()}
-    assert got == {"f1": "e2", "f2": "e9"}
+    for literals in (64, 0):
+        got = {r.finding_id: r.exception_id for r in ex.match_exceptions(findings_frame(spark), table, now, max_literals=literals).collect()}
+        assert got == {"f1": "e2", "f2": "e9"}
     before = findings_frame(spark).withColumns({"suppressed": F.col("finding_id") == "f2", "exception_id": F.when(F.col("finding_id") == "f2", "old")})
     only = spark.createDataFrame([exception(2, "globalHash", secret_checksum="h1")], EXCEPTION)
     assert {r.finding_id: (r.suppressed, r.exception_id) for r in ex.reconcile(before, only, now).collect()} == {"f1": (True, "e2"), "f2": (True, "old")}
