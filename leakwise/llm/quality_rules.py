@@ -41,6 +41,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", (0.02, 0.05, 0.1, 0.2, 0.4)),
     Rule("dup_lines", "n_dup_lines", "n_lines", (0.05, 0.1, 0.2, 0.3, 0.5)),
     Rule("repeat_words", "n_repeat_words", "n_words", (0.02, 0.05, 0.1, 0.2, 0.3)),
+    Rule("exclaims", "n_exclaims", "n_words", (0.05, 0.1, 0.2, 0.4, 0.8)),
     Rule("word_length", "word_chars", "n_words", (7.0, 8.0, 9.0, 10.0, 12.0)),
 )
 
@@ -66,16 +67,16 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
-def counts(text: str) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word)."""
+def counts(text: str) -> tuple[int, ...]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word), n_exclaims."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     chars = len(text) - sum(text.count(c) for c in SPACES)
-    return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(words), len(lines)
+    return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(words), len(lines), text.count("!")
 
 
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims"]
 
 
 def text_counts(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
@@ -117,7 +118,7 @@ def choose_cutoffs(table: DataFrame, labels: DataFrame, rules: tuple[Rule, ...],
     return out
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, max_rate: float = 0.04, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, max_rate: float = 0.05, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, kept, rejected_by (names of the rules that fire).
 
     Null text has no words, so it fails the base rule. A null stratum is a stratum of its own. An id labelled good

@@ -152,7 +152,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("rejected_by", F.array_join("rejected_by", ","))
 
 
-def _op9_sql(max_rate: float = 0.04, error: float = 0.05) -> str:
+def _op9_sql(max_rate: float = 0.05, error: float = 0.05) -> str:
     """The counts, the exact binomial tests and the verdicts."""
     tests = " UNION ALL ".join(
         f"SELECT '{r.name}' AS rule, CAST({c} AS DOUBLE) AS cutoff, rid, stratum, {r.denominator} > 0 AND {r.numerator} > CAST({c} AS DOUBLE) * {r.denominator} AS fires FROM c"
@@ -173,7 +173,8 @@ covered AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM again, rang
 c AS (SELECT w.rid, doc_id, stratum, len(words) AS n_words, length(regexp_replace(text, '[ 	-
 ]+', '', 'g')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-             coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines
+             coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+             length(text) - length(replace(text, '!', '')) AS n_exclaims
       FROM w LEFT JOIN covered USING (rid)),
 fired AS ({tests}),
 good AS (SELECT c.rid FROM c JOIN labels l ON c.doc_id = l.doc_id WHERE l.quality = 1),
@@ -185,7 +186,7 @@ tail AS (SELECT rule, cutoff, stratum, n, k, sum(exp(lgamma(n + 1) - CASE WHEN i
 chosen AS (SELECT rule, stratum, min(cutoff) AS cutoff FROM tail, strata WHERE k <= n * {max_rate} / {len(RULES)} AND p <= {error} / ({number} * s) GROUP BY ALL),
 verdict AS (SELECT rid, string_agg(rule, ',' ORDER BY {order}) AS rejected_by FROM fired JOIN chosen USING (rule, stratum, cutoff) WHERE fires GROUP BY rid),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_exclaims, base_failed,
        NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
 FROM b LEFT JOIN verdict USING (rid)
 """
