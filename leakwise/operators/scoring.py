@@ -38,15 +38,13 @@ def reuse_clusters(findings: DataFrame, by: list[str]) -> DataFrame:
 
 
 def prod_and_test_reuse(findings: DataFrame, by: list[str]) -> DataFrame:
-    """Secrets that occur both in production and in tests, with their sorted locations."""
-    test = has_tag(F.col("tags"), "test")
-    place = F.struct("location", "highlight_start_line", "highlight_start_char")
-    return (
-        findings.where("sha256 is not null")
-        .groupBy(*by, "sha256")
-        .agg(F.sort_array(F.collect_list(F.when(~test, place))).alias("production"), F.sort_array(F.collect_list(F.when(test, place))).alias("non_production"))
-        .where("size(production) > 0 and size(non_production) > 0")
-    )
+    """Where secrets stand that occur both in production and in tests: a row per place, with ``production``.
+
+    Places stay rows (a secret may have very many), and the join that picks them can be split if one is hot.
+    """
+    mixed = reuse_clusters(findings, by).where("prod > 0 and non_prod > 0").select(*by, "sha256")
+    places = findings.withColumn("production", ~has_tag(F.col("tags"), "test"))
+    return places.select(*by, "sha256", "production", "location", "highlight_start_line", "highlight_start_char").join(mixed, [*by, "sha256"])
 
 
 def shared_counts(findings: DataFrame, by: list[str], order: list[Column], strict: bool = True) -> DataFrame:
@@ -58,9 +56,10 @@ def shared_counts(findings: DataFrame, by: list[str], order: list[Column], stric
     test = has_tag(F.col("tags"), "test")
     base = findings.where("sha256 is not null").withColumn("_test", test)
     if not strict:
-        both = Window.partitionBy(*by, "sha256")
-        mixed = base.withColumn("_both", F.max("_test").over(both) & F.max(~F.col("_test")).over(both)).where("_both and not _test")
-        return mixed.groupBy(*by).agg(*[F.count_if(F.col("confidence") == k).alias(f"{n}_shared") for k, n in NAMES.items()])
+        per_secret = base.groupBy(*by, "sha256").agg(
+            (F.max("_test") & F.max(~F.col("_test"))).alias("_both"), *[F.count_if(~F.col("_test") & (F.col("confidence") == k)).alias(f"{n}_shared") for k, n in NAMES.items()]
+        )
+        return per_secret.where("_both").groupBy(*by).agg(*[F.sum(f"{n}_shared").alias(f"{n}_shared") for n in NAMES.values()])
     upto = Window.partitionBy(*by, "sha256").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = base.withColumn("_both", F.max("_test").over(upto) & F.max(~F.col("_test")).over(upto))
     for k, n in NAMES.items():

@@ -460,7 +460,7 @@ def reuse_clusters(spark, sf_dir):
 def prod_and_test_reuse(spark, sf_dir):
     rows = findings(spark, sf_dir).withColumns({"highlight_start_line": F.col("start_line"), "highlight_start_char": F.col("start_char")})
     found = scoring.prod_and_test_reuse(rows, [])
-    return found.select("sha256", F.size("production").cast("long").alias("production"), F.size("non_production").cast("long").alias("non_production"))
+    return found.groupBy("sha256").agg(F.count_if("production").alias("production"), F.count_if(~F.col("production")).alias("non_production"))
 
 
 SHARED_SQL = """shared AS (SELECT lang, sum(m) AS critical_shared, sum(h) AS high_shared, sum(m) AS medium_shared, sum(l) AS low_shared, sum(i) AS info_shared FROM (

@@ -14,6 +14,8 @@ from leakwise.plans.scan import ScanOptions, scan_files
 def write_findings(findings: DataFrame, path: str, checkpoint: str, interval: str | None = "250 milliseconds", exceptions=None, key: tuple[str, ...] = ("finding_id", "scan_id")) -> StreamingQuery:
     """Append each micro-batch's new findings to Parquet, keyed like insert-or-ignore, so replays add nothing.
 
+    The table is partitioned by scan, and a micro-batch is compared with the keys of its own scans only.
+
     ``exceptions`` is a function that reads the current exceptions; it is called for every micro-batch. With no
     ``interval`` the query takes what there is and stops.
     """
@@ -23,7 +25,11 @@ def write_findings(findings: DataFrame, path: str, checkpoint: str, interval: st
         rows = batch
         if exceptions is not None:
             rows = match_exceptions(rows.dropDuplicates(["finding_id"]), exceptions(), F.current_timestamp())
-        insert_new(stored(spark, path, key), rows, key).write.mode("append").parquet(path)
+        known = stored(spark, path, key)
+        if known is not None:
+            scans = [r[0] for r in batch.select("scan_id").distinct().collect()]  # the scans that are running
+            known = known.where(F.col("scan_id").isin(*scans))
+        insert_new(known, rows, key).write.mode("append").partitionBy("scan_id").parquet(path)
 
     writer = findings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
