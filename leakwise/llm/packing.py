@@ -33,11 +33,16 @@ def encoder(path: str):
     A byte-level BPE file whose merges are in the order of their ids is run by ``tiktoken``, which gives the same ids
     several times as fast; any other file, and any text that it refuses, by ``tokenizers`` itself.
     """
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    plain = lambda text: slow.encode(text, add_special_tokens=False).ids
+    @cache
+    def slow():
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path)
+        found.encode_special_tokens = True
+        return found
+
+    plain = lambda text: slow().encode(text, add_special_tokens=False).ids
     fast = _as_ranks(path)
     if fast is None:
         return plain
@@ -121,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 21):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 ids = np.array([*encode(text), end_id], "<u4")
