@@ -105,3 +105,13 @@ def test_empty_and_untrained(spark):
     assert ct.lm_scores(spark.createDataFrame([], shape), F.lit(True)).count() == 0
     (r,) = ct.lm_scores(spark.createDataFrame([(None, "ab")], shape), F.lit(None).cast("boolean")).collect()
     assert r.score == pytest.approx(-3 * math.log10(256), rel=1e-5) and r.n_known == 0 and r.train_tokens == 0
+
+
+def test_contexts_of_any_rarity_count(spark, monkeypatch):
+    texts = ["a" * 70000, "xyzzy"]
+    rows = spark.createDataFrame(list(enumerate([*texts, "xyzzy", "xyzza"])), "doc_id long, text string").repartition(2)
+    want = brute_model([t.encode() for t in texts], 0.0)
+    for head in (2.0**-22, 0.5, 2.0):  # all runs broadcast, some, none
+        monkeypatch.setattr(ct, "RUN_HEAD", head, raising=False)
+        got = {r.doc_id: r.score for r in ct.lm_scores(rows, F.col("doc_id") < 2).collect()}
+        assert got[2] == pytest.approx(want(b"xyzzy"), rel=1e-5) and got[3] == pytest.approx(want(b"xyzza"), rel=1e-5)
