@@ -28,26 +28,30 @@ from leakwise.llm.common import slices, texts_of, written
 
 @cache
 def encoder(path: str):
-    """A function from texts to lists of ids, for a file of the ``tokenizers`` library; special strings are plain text.
+    """A function from texts to lists of ids, for a file of the ``tokenizers`` library, added tokens in texts included.
 
     A byte-level BPE file whose merges are in the order of their ids is run by ``tiktoken``, which gives the same ids
-    several times as fast; any other file, and any text that it refuses, by ``tokenizers`` itself.
+    several times as fast; any other file, and any text that it refuses or that holds an added token, by ``tokenizers``
+    itself.
     """
 
     @cache
     def slow():
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(path)
 
     plain = lambda text: slow().encode(text, add_special_tokens=False).ids
     fast = _as_ranks(path)
     if fast is None:
         return plain
 
+    with open(path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
+
     def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return plain(text)
         try:
             return fast(text)
         except BaseException as e:  # its panics on extreme texts are not Exceptions

@@ -91,3 +91,8 @@ def test_pack_round_trip(spark):
         assert at <= 64
     assert len(spans) == best_fit_one_by_one([r.length for r in got], 64)
     assert pack(rows.limit(0), tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "<|endoftext|"])
+def test_added_tokens_have_the_ids_of_tokenizers(text):
+    assert list(encoder(tokenizer_path())(text)) == plain_encoder()(text)
