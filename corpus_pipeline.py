@@ -7,8 +7,6 @@ follow the operators' own rules; rows that repeat an id and a text stay or go to
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +18,8 @@ from leakwise.llm.quality import learn_quality, quality_score
 from leakwise.llm.queries import TARGETS, labels, tokenizer_path, tree_columns
 from leakwise.llm.simhash_dedup import simhash_dedup
 
-#: Every document at most once, nine tenths of all tokens.
-MIX = replace(TARGETS, max_epochs=1, budget_share=0.9)
+#: As op8_mixing: as many tokens as there are, a document up to three times.
+MIX = TARGETS
 CUT_SCORE = 0.3
 
 
@@ -47,11 +45,12 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the budgets of their domain, language and source."""
+    """Documents within the budgets of their domain, language and source, once for each epoch that takes them."""
     plan, _ = mixing_plan(docs, tree_columns(), word_count("text"), MIX)
     leaf = {f"leaf_{k}": F.coalesce(c.cast("string"), F.lit("")) for k, c in tree_columns().items()}
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("mix_id"), *[c.alias(k.removeprefix("leaf_")) for k, c in leaf.items()])
-    return taken(whole, plan, MIX.seed, "mix_id").where("copies > 0").select("row.*")
+    epochs = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return taken(whole, plan, MIX.seed, "mix_id").where("copies > 0").select("row", epochs.alias("epoch")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

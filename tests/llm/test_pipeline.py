@@ -52,3 +52,12 @@ def test_each_query_is_registered():
     names = set(module.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
     assert set(module.oracle_sql()) <= names
+
+
+def test_mixing_reaches_its_weights(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, "w " * 10, "en", f"src{i % 4}", 20) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.mix_sources(spark, docs, "").groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in got} == pytest.approx({"src0": 160, "src1": 120, "src2": 80, "src3": 40}, abs=1)
