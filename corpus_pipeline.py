@@ -2,30 +2,41 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of ``documents``. Null texts and ids
-follow the operators' own rules; rows that repeat an id and a text stay or go together.
+follow the operators' own rules; both dedup stages keep one row of each group, also where ids repeat or are null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakwise.llm.common import remainder, written
-from leakwise.llm.exact_dedup import exact_dedup
+from leakwise.llm.exact_dedup import exact_dedup, normalised
 from leakwise.llm.mixing import mixing_plan, taken, word_count
 from leakwise.llm.packing import pack
 from leakwise.llm.quality import learn_quality, quality_score
 from leakwise.llm.queries import TARGETS, labels, tokenizer_path, tree_columns
-from leakwise.llm.simhash_dedup import simhash_dedup
+from leakwise.llm.simhash_dedup import components, fingerprints
 
 #: As op8_mixing: as many tokens as there are, a document up to three times.
 MIX = TARGETS
 CUT_SCORE = 0.3
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone`` (doc_id, not null, repeats allowed)."""
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def _staying(docs: DataFrame, digest: Column, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and digest stay by ``rows`` (doc_id, digest, stays; one per row of ``docs``); of
+    those that repeat both, the first by all columns."""
+    rows = written(rows, "staying")
+    pair = [F.col("doc_id").alias("id_of"), F.col("digest").alias("digest_of")]
+    same = F.col("doc_id").eqNullSafe(F.col("id_of")) & (F.col("digest") == F.col("digest_of"))
+    gone = rows.where("not stays").select(*pair).distinct()
+    left = docs.withColumn("digest", digest).join(gone, same, "left_anti")
+    again = rows.where("stays").groupBy(*pair).count().where("count > 1").select("id_of", "digest_of")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    first = Window.partitionBy("doc_id", "digest").orderBy(*docs.columns)
+    one = left.join(again, same, "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return left.join(again, same, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +46,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest id."""
-    return _without(docs, exact_dedup(docs).where("not kept and doc_id is not null").select("doc_id"))
+    """Of equal texts, one row: that with the smallest id."""
+    rows = exact_dedup(docs).select("doc_id", F.col("text_sha256").alias("digest"), F.col("kept").alias("stays"))
+    return _staying(docs, F.sha2(normalised("text"), 256), rows)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    return _without(docs, simhash_dedup(docs).where("doc_id <> component_id").select("doc_id"))
+    """Of each group of near copies, one row: that with the smallest id, and of its texts the smallest digest."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = written(components(fingerprints(docs, digest=digest)), "near")
+    smallest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    chosen = rows.where(smallest).groupBy("root").agg(F.min("digest").alias("least"))
+    stays = smallest & (F.col("digest") == F.col("least"))
+    return _staying(docs, digest, rows.join(chosen, "root").select("doc_id", "digest", stays.alias("stays")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

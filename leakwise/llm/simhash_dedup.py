@@ -46,16 +46,18 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """(doc_id, fp, and ``digest`` if given): the fingerprint as a signed long."""
+    more = [] if digest is None else [digest.alias("digest")]
+    names = ["doc_id", "fp", *["digest" for _ in more]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t, width) for t in bytes_of(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest string" * len(more))
 
 
 def _byte(col: Column, position: int) -> Column:
@@ -107,14 +109,18 @@ def simhash_dedup(docs: DataFrame, list_limit: int = 16, id_col: str = "doc_id",
     component_id; a component of null ids only has a null one. Rows that repeat an id each get the component of their
     own fingerprint. Other columns are not read; an empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
+    return components(fingerprints(docs, id_col=id_col, text_col=text_col), list_limit).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def components(rows: DataFrame, list_limit: int = 16) -> DataFrame:
+    """``rows`` (doc_id, fp, ...) with component_id and root, which tells components apart whatever their ids."""
+    rows = written(rows, "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = connected_components(links(classes.select("fp"), list_limit=list_limit))
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return rows.join(labelled.join(smallest, "root").select("fp", "root", "component_id"), "fp")

@@ -61,3 +61,15 @@ def test_mixing_reaches_its_weights(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = p.mix_sources(spark, docs, "").groupBy("source").count().collect()
     assert {r.source: r["count"] for r in got} == pytest.approx({"src0": 160, "src1": 120, "src2": 80, "src3": 40}, abs=1)
+
+
+def test_dedup_decides_by_row(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{x}{(i * i) % 97}" for i in range(80)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, d), (None, d), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {(1, a), (2, b), (3, c), (None, d), (None, "")}
+    for stage in (p.dedup_exact, p.dedup_near):
+        got = [tuple(r) for r in stage(spark, docs, "").collect()]
+        assert len(got) == len(want) and set(got) == want
