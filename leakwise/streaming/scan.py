@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,13 +19,11 @@ def write_findings(findings: DataFrame, path: str, checkpoint: str, interval: st
     ``exceptions`` is a function that reads the current exceptions; it is called for every micro-batch. With no
     ``interval`` the query takes what there is and stops.
     """
-    spark = findings.sparkSession
-
     def step(batch: DataFrame, _: int) -> None:
         rows = batch
         if exceptions is not None:
             rows = match_exceptions(rows.dropDuplicates(["finding_id"]), exceptions(), F.current_timestamp())
-        known = stored(spark, path, key)
+        known = stored(batch, path, key)
         if known is not None:
             scans = [r[0] for r in batch.select("scan_id").distinct().collect()]  # the scans that are running
             known = known.where(F.col("scan_id").isin(*scans))
@@ -35,12 +33,13 @@ def write_findings(findings: DataFrame, path: str, checkpoint: str, interval: st
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def stored(spark: SparkSession, path: str, key: tuple[str, ...]) -> DataFrame | None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def stored(batch: DataFrame, path: str, key: tuple[str, ...]) -> DataFrame | None:
+    """The keys at ``path``, in the batch's types; a folder that holds no data file yet (no batch had a finding) has none."""
+    spark = batch.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return None
-    return spark.read.parquet(path).select(*key)
+    return spark.read.schema(batch.select(*key).schema).parquet(path)
 
 
 def scan_stream(files: DataFrame, scan_id: str, options: ScanOptions | None = None) -> DataFrame:

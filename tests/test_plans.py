@@ -1,3 +1,4 @@
+import hashlib
 import json
 import sys
 from pathlib import Path
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from leakwise.functions.text import redacted
 from leakwise.operators.finders import Exclusions
 from leakwise.plans import scan as plan
-from leakwise.schema import FINDING
+from leakwise.schema import EXCEPTION, FINDING
 from leakwise.sinks import reports
 from leakwise.sources import files as sf
 from leakwise.sources import tables
@@ -162,6 +163,31 @@ def test_streaming_equals_batch_and_replays_add_nothing(spark, corpus, tmp_path)
     assert sorted(r.finding_id for r in got.collect()) == sorted(r.finding_id for r in batch.collect())
 
 
+def test_streams_of_clean_files_and_restarts(spark, tmp_path):
+    import tempfile
+
+    with tempfile.TemporaryDirectory(prefix="stream-", dir="/tmp") as root:
+        out, checkpoint = f"{tmp_path}/findings", f"{tmp_path}/cp"
+
+        def run(**more):
+            files = sf.with_text(sf.stream_roots(spark, root, per_trigger=1))
+            q = stream.write_findings(stream.scan_stream(files, "s1"), out, checkpoint, interval=None, **more)
+            q.awaitTermination(120)
+            assert q.exception() is None
+
+        for i in range(2):  # the first micro-batches have no findings
+            Path(f"{root}/clean{i}.java").write_text("class A {}\n")
+        run()
+        Path(f"{root}/a.java").write_text(f'String apiKey = "{HEX}";\n')
+        run()  # a restart from the same checkpoint
+        shape = "finding_id string, scan_id string, value string, suppressed boolean"
+        assert [r.value for r in spark.read.schema(shape).parquet(out).collect()] == [HEX]
+        Path(f"{root}/b.java").write_text(f'String apiKey = "{HEX}";\n')
+        exceptions = [("x", 1, "*", "active", None, "globalHash", None, None, None, hashlib.sha256(HEX.encode()).hexdigest(), None, None)]
+        run(exceptions=lambda: spark.createDataFrame(exceptions, EXCEPTION))
+        assert sorted(r.suppressed or False for r in spark.read.schema(shape).parquet(out).collect()) == [False, True]
+
+
 def test_progress_and_rates(spark):
     rows = [("s", i * 100, min(i, 5), 4, f"f{i}") for i in range(8)]
     events = spark.createDataFrame(rows, "scan_id string, ms long, position int, total int, current_file string").withColumn("at", F.timestamp_millis("ms"))
