@@ -2,14 +2,16 @@
 
 A fingerprint has 8 positional bytes. Two fingerprints that differ in at most 2 bits differ in at most 2 of those
 bytes, so they share at least 6 (the guaranteed minimum of the count filter). A posting list of one positional byte
-would hold 1/256 of the corpus and tallying over it would touch a fixed share of all pairs, so the index is keyed by
-four positional bytes at once: the bytes form 4 neighbouring pairs, two differing bytes touch at most 2 of them, hence
-some choice of 2 pairs out of 4 (6 choices) is shared in full. Pairs met in a posting list are tallied (shared
-positional bytes), kept from 6 on, and verified by the exact bit distance.
-
-A posting list longer than ``list_limit`` (many near-equal fingerprints) is not expanded into pairs. Its fingerprints
-go to the exact linear way: two fingerprints are within 2 bits if and only if they share a value within 1 bit of both,
-so each is posted under itself and its 64 single-bit neighbours and linked to the smallest fingerprint there.
+would hold 1/256 of the corpus and tallying over it would touch a fixed share of all pairs, so the index is keyed by six
+of the eight positional bytes at once: 28 choices, one of which any such pair shares in full. A posting is one long, the
+six bytes and the number of the choice. Fingerprints that meet in a list are tallied: the positions in which they were
+seen to agree, over all lists in which they meet. Pairs that reach the minimum are verified by the exact bit distance.
+
+Fingerprints are distinct, so a list has at most 65,536 members, whatever the input. A list longer than ``list_limit``
+is split by one of its two free positions: each member is posted under that byte with one of its bits left out, for each
+of the 8 bits, and pairs are met within the parts, which have at most 512 members. Of a pair within 2 bits, a part holds
+both unless both bits lie in the byte that the list is split by; such a pair agrees in all other positions, so it also
+meets in lists that are split by one of those.
 """
 
 from __future__ import annotations
@@ -60,49 +62,47 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, fp long" + ", digest string" * len(more))
 
 
-def _byte(col: Column, position: int) -> Column:
-    return F.shiftrightunsigned(col, 8 * position).bitwiseAND(F.lit(255))
+#: The two free positions of each choice, and the one that splits it. Every position is the free but not the splitting
+#: one of some choice.
+FREE = list(combinations(range(POSITIONS), 2))
+SPLIT = {(i, j): j if (i, j) == (0, POSITIONS - 1) else i for i, j in FREE}
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """The tally: how many positional bytes agree."""
-    return reduce(Column.__add__, [F.when(_byte(a, p) == _byte(b, p), 1).otherwise(0) for p in range(POSITIONS)])
+def _posting(fp: Column, number: int) -> Column:
+    """The six bytes of a choice (48 bits) below its number."""
+    i, j = FREE[number]
+    low, high = (1 << 8 * i) - 1, (1 << 8 * (j - 1)) - 1
+    ends = ((1 << 48) - 1) & ~high
+    kept = [fp.bitwiseAND(F.lit(low)), F.shiftrightunsigned(fp, 8).bitwiseAND(F.lit(high & ~low)), F.shiftrightunsigned(fp, 16).bitwiseAND(F.lit(ends))]
+    return reduce(Column.bitwiseOR, kept).bitwiseOR(F.lit(number << 48))
 
 
-def links(distinct: DataFrame, max_bits: int = 2, list_limit: int = 16) -> DataFrame:
-    """``distinct`` (fp long, unique) -> (a, b): links that connect exactly the fingerprints within ``max_bits`` bits.
+def _parts(fp: Column, posting: Column) -> Column:
+    """The parts of a long list in which a member is posted: the byte that splits the list, without one of its bits."""
+    shift = F.element_at(F.array(*[F.lit(8 * SPLIT[c]) for c in FREE]), F.shiftright(posting, 48).cast("int") + 1)
+    byte = F.call_function("shiftrightunsigned", fp, shift).bitwiseAND(F.lit(255)).cast("int")
+    return F.array(*[byte.bitwiseAND(F.lit(255 & ~(1 << bit))).bitwiseOR(F.lit(bit << 8)) for bit in range(8)])
 
-    Light posting lists give every link; heavy ones give a spanning set of stars with the same components.
-    """
+
+def links(distinct: DataFrame, max_bits: int = 2, list_limit: int = 64) -> DataFrame:
+    """``distinct`` (fp long, unique) -> (a, b): all pairs a < b of fingerprints within ``max_bits`` bits."""
     if max_bits != 2:
         raise ValueError("the index is laid out for 2 bits")
-    blocks = [0xFFFF << (16 * i) for i in range(POSITIONS // 2)]
-    masks = [x | y for x, y in combinations(blocks, 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posted = distinct.select(
-        "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key")
-    )
-    sizes = posted.groupBy("choice", "key").agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
-    lists = written(posted.join(sizes, ["choice", "key"]).select("fp", "choice", "key", "size"), "postings")
-    light = lists.where(F.col("size") <= list_limit).select("choice", "key", "fp")
-    a, b = light.withColumnRenamed("fp", "a"), light.withColumnRenamed("fp", "b")
-    left, right = F.col("a"), F.col("b")
-    near = (
-        a.join(b, ["choice", "key"])
-        .where(left < right)
-        .where(shared_bytes(left, right) >= POSITIONS - max_bits)
-        .where(F.bit_count(left.bitwiseXOR(right)) <= max_bits)
-        .select("a", "b")
-    )
-    heavy = lists.where(F.col("size") > list_limit).groupBy("fp").agg(F.count("*").alias("n"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(BITS)])
-    balls = heavy.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
-    hubs = balls.groupBy("hub").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = balls.join(hubs, "hub").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return near.unionByName(stars)
-
-
-def simhash_dedup(docs: DataFrame, list_limit: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    posted = distinct.select("fp", F.explode(F.array(*[_posting(F.col("fp"), n) for n in range(len(FREE))])).alias("posting"))
+    sizes = posted.groupBy("posting").agg(F.count("*").alias("size")).where("size > 1")
+    lists = written(posted.join(sizes, "posting").select("fp", "posting", "size"), "postings")
+    whole = F.array(F.lit(-1))
+    parts = F.when(F.col("size") <= list_limit, whole).otherwise(_parts(F.col("fp"), F.col("posting")))
+    cells = lists.select("posting", "fp", F.explode(parts).alias("part"))
+    met = cells.withColumnRenamed("fp", "a").join(cells.withColumnRenamed("fp", "b"), ["posting", "part"]).where("a < b")
+    agree = F.element_at(F.array(*[F.lit(255 & ~(1 << i | 1 << j)) for i, j in FREE]), F.shiftright("posting", 48).cast("int") + 1)
+    # the tally: in which positions the lists of a pair say that it agrees
+    tally = met.withColumn("agree", agree).groupBy("a", "b").agg(F.bit_count(F.bit_or("agree")).alias("shared"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    return tally.where(F.col("shared") >= POSITIONS - max_bits).where(near).select("a", "b")
+
+
+def simhash_dedup(docs: DataFrame, list_limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Null and empty texts have fingerprint zero and link to each other. Null ids take part but are never a
@@ -114,7 +114,7 @@ def simhash_dedup(docs: DataFrame, list_limit: int = 16, id_col: str = "doc_id",
     )
 
 
-def components(rows: DataFrame, list_limit: int = 16) -> DataFrame:
+def components(rows: DataFrame, list_limit: int = 64) -> DataFrame:
     """``rows`` (doc_id, fp, ...) with component_id and root, which tells components apart whatever their ids."""
     rows = written(rows, "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")

@@ -94,7 +94,8 @@ def test_fingerprint_follows_its_definition():
 
 
 @pytest.mark.parametrize("limit", [1, 3, 100])
-def test_links_connect_what_brute_force_connects(spark, limit):
+def test_links_are_those_of_brute_force(spark, limit):
+    """Long lists that are split (1), some of them (3), none (100)."""
     rng = random.Random(limit)
     seeds = [rng.getrandbits(64) for _ in range(12)]
     fps = set(seeds)
@@ -104,16 +105,20 @@ def test_links_connect_what_brute_force_connects(spark, limit):
             for _ in range(rng.choice([1, 2, 3])):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
-    signed = {f - (1 << 64) if f >> 63 else f for f in fps}
+    for byte in range(8):  # two bits of one byte, and one bit each of neighbours
+        fps |= {seeds[0] ^ 1 << 8 * byte + i ^ 1 << (8 * byte + j) % 64 for i in range(8) for j in (1, 5, 8, 15)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    near = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 2
     frame = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {r.node: r.root for r in connected_components(links(frame, list_limit=limit)).collect()}
-    want = brute_components(signed, lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 2)
-    assert {n: got.get(n, n) for n in signed} == want
+    found = links(frame, list_limit=limit)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if near(a, b)]
+    got = {r.node: r.root for r in connected_components(found).collect()}
+    assert {n: got.get(n, n) for n in signed} == brute_components(signed, near)
 
 
 def test_simhash_dedup_cases(spark):
     base = " ".join(f"w{i}" for i in range(400))
-    rows = [(9, base), (4, base.upper()), (7, base + " tail"), (1, None), (3, ""), (6, "other words entirely here"), (None, base), (6, "x")]
+    rows = [(9, base), (4, base.upper()), (7, base + " tail"), (1, None), (3, ""), (6, "other words entirely here"), (None, base), (6, "x"), (8, "a " * 100_000 + "b" * 300_000)]
     got = simhash_dedup(table(spark, rows)).collect()
     assert len(got) == len(rows)
     fps = {i: slow_fingerprint(t) for i, t in rows if i not in (6, None)}
