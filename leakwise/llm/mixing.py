@@ -1,9 +1,10 @@
 """Mixing sources to target weights by hierarchical budgets.
 
-The tree is given by columns (domain, language, source) and weights per level. A budget of tokens flows down: at each
-node the children share it by weight; a child whose subtree holds too little (its tokens times ``max_epochs``) is filled
-and what it lacks goes to its siblings by weight, and only what no sibling can take is left for the ancestors' other
-branches. A leaf with a budget of e whole passes and a rest takes every document e times and, in the seeded order of
+The tree is given by columns (domain, language, source) and weights per level. Capacities go up it once: a leaf can take
+its tokens times ``max_epochs``, a node what its children can, and nothing where the weight is 0. A budget of tokens then
+flows down: at each node the children share it by weight; a child that can take less is filled and what it lacks goes to
+its siblings by weight. As no node is given more than it can take, what no sibling can take has gone to the ancestors'
+other branches. All of it is windows over the table of leaves, so there may be any number of them. A leaf with a budget of e whole passes and a rest takes every document e times and, in the seeded order of
 epoch e, the longest prefix of documents whose tokens fit the rest.
 
 The prefix is a bound on the order key (a hash of seed, epoch and id), found without sorting a leaf: token sums per key
@@ -15,7 +16,6 @@ part is then a filter on each row, so no text is shuffled and a hot source is no
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,46 +38,64 @@ class Targets:
     budget_share: float = 1.0
     max_epochs: int = 3
     seed: int = 42
-    #: The plan has a row per leaf and is worked out on the driver; more leaves than this are refused.
-    max_leaves: int = 100_000
+    #: Tables with a row per leaf are broadcast up to this many leaves; beyond it rows meet them in a salted join.
+    broadcast_leaves: int = 100_000
     names: tuple[str, ...] = field(default=tuple(LEAF))
 
 
-def share_out(budget: float, wants: list[tuple[float, float]]) -> list[float]:
-    """Split a budget over (weight, capacity) children: by weight, what one can't take going to the others."""
-    got, open_ = [0.0] * len(wants), [i for i, (w, c) in enumerate(wants) if w > 0 and c > 0]
-    left = min(budget, sum(wants[i][1] for i in open_))
-    while open_:
-        total = sum(wants[i][0] for i in open_)
-        full = [i for i in open_ if wants[i][1] * total <= left * wants[i][0]]
-        if not full:
-            for i in open_:
-                got[i] = left * wants[i][0] / total
-            break
-        for i in full:
-            got[i] = wants[i][1]
-        left -= sum(got[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return got
-
-
-def leaf_budgets(tokens: dict[tuple[str, ...], int], targets: Targets) -> dict[tuple[str, ...], int]:
-    """Whole tokens for each leaf."""
-
-    def down(prefix: tuple[str, ...], budget: float) -> dict[tuple[str, ...], int]:
-        depth = len(prefix)
-        if depth == len(LEAF):
-            return {prefix: floor(budget + 1e-6)}
-        below: dict[str, int] = {}
-        for leaf, n in tokens.items():
-            if leaf[:depth] == prefix:
-                below[leaf[depth]] = below.get(leaf[depth], 0) + n * targets.max_epochs
-        names = sorted(below)
-        weigh = [targets.weights[depth].get(n, targets.other[depth]) for n in names]
-        parts = share_out(budget, list(zip(weigh, [float(below[n]) for n in names], strict=True)))
-        return {k: v for n, p in zip(names, parts, strict=True) for k, v in down((*prefix, n), p).items()}
-
-    return down((), targets.budget_share * sum(tokens.values()))
+SALTS = 32
+
+
+def _capped(level: DataFrame, depth: int, targets: Targets) -> DataFrame:
+    """``level`` (names down to ``depth``, capacity) with weight; nothing fits where the weight is 0 or less."""
+    table, name = targets.weights[depth - 1], F.col(LEAF[depth - 1])
+    weight = F.lit(float(targets.other[depth - 1]))
+    if table:
+        known = F.create_map(*[F.lit(x) for k, w in sorted(table.items()) for x in (k, float(w))])
+        weight = F.coalesce(F.try_element_at(known, name), weight)
+    return level.withColumn("weight", weight).withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0.0))
+
+
+def leaf_budgets(leaves: DataFrame, targets: Targets) -> DataFrame:
+    """``leaves`` (domain, language, source, leaf_tokens; a row each) with budget, whole tokens for each."""
+    depths = range(len(LEAF), 0, -1)
+    level = leaves.withColumn("capacity", F.col("leaf_tokens").cast("double") * targets.max_epochs)
+    levels = {}
+    for depth in depths:
+        levels[depth] = _capped(level, depth, targets)
+        level = levels[depth].groupBy(*LEAF[: depth - 1]).agg(F.sum("capacity").alias("capacity"))
+    wanted = targets.budget_share * (leaves.agg(F.sum("leaf_tokens")).first()[0] or 0)
+    above = None
+    for depth in reversed(depths):
+        nodes = levels[depth]
+        given = nodes.withColumn("budget", F.lit(float(wanted))) if above is None else nodes.join(above, LEAF[: depth - 1])
+        children = Window.partitionBy(*LEAF[: depth - 1])
+        # in the order in which rising water fills them: the children before one are full if it is
+        ratio = F.when(F.col("capacity") > 0, F.col("capacity") / F.col("weight")).otherwise(0.0)
+        before = children.orderBy("ratio", LEAF[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        open_weight = F.when(F.col("capacity") > 0, F.col("weight")).otherwise(0.0)
+        framed = given.withColumns({"ratio": ratio, "weight": open_weight}).withColumns({
+            "budget": F.least("budget", F.sum("capacity").over(children)),
+            "whole": F.sum("weight").over(children),
+            "full_capacity": F.coalesce(F.sum("capacity").over(before), F.lit(0.0)),
+            "full_weight": F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
+        })
+        full = F.col("ratio") * (F.col("whole") - F.col("full_weight")) <= F.col("budget") - F.col("full_capacity")
+        left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0.0)).over(children)
+        rest = F.col("whole") - F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0.0)).over(children)
+        part = F.when(F.col("full"), F.col("capacity")).otherwise(F.least("capacity", F.greatest(F.lit(0.0), F.try_divide(F.col("weight") * left, rest))))
+        keep = LEAF[:depth] if depth < len(LEAF) else [*LEAF, "leaf_tokens"]
+        above = framed.withColumn("full", full).withColumn("budget", part).select(*keep, "budget")
+    return above.withColumn("budget", F.floor(F.col("budget") + 1e-6).cast("long"))
+
+
+def meet(rows: DataFrame, small: DataFrame, leaves: int, targets: Targets, salt: Column) -> DataFrame:
+    """``rows`` joined to a table with a row per leaf. A source may hold any share of the rows, so without a broadcast the
+    leaf is salted."""
+    if leaves <= targets.broadcast_leaves:
+        return rows.join(F.broadcast(small), LEAF)
+    salted = rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*LEAF, "salt"]).drop("salt")
 
 
 def order_key(seed: Column | int, epoch: Column, id_col: str) -> Column:
@@ -94,52 +112,49 @@ def mixing_plan(docs: DataFrame, leaf: dict[str, Column], tokens: Column, target
     rows has mix_id, domain, language, source, tokens."""
     names = [F.coalesce(leaf[n].cast("string"), F.lit("")).alias(n) for n in LEAF]
     rows = written(docs.select(F.col(id_col).alias("mix_id"), *names, F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens")), "mix-rows")
-    sums = rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")).limit(targets.max_leaves + 1).collect()
-    if len(sums) > targets.max_leaves:
-        raise ValueError(f"more than {targets.max_leaves} leaves")
-    held = {tuple(r[n] for n in LEAF): r["tokens"] for r in sums}
-    budgets = leaf_budgets(held, targets)
-    table = [(*k, n, budgets[k], budgets[k] // n if n else 0, budgets[k] % n if n else 0) for k, n in held.items()]
-    spark = docs.sparkSession
-    shape = "domain string, language string, source string, leaf_tokens long, budget long, passes long, rest long"
-    plan = spark.createDataFrame(table, shape)
-    # the plan has at most max_leaves rows
-    keyed = rows.join(F.broadcast(plan.where("rest > 0")), LEAF).withColumn("key", order_key(targets.seed, F.col("passes"), "mix_id"))
+    leaves = written(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("leaf_tokens")), "mix-leaves")
+    many = leaves.count()
+    some = F.col("leaf_tokens") > 0
+    split = {"passes": F.when(some, F.floor(F.col("budget") / F.col("leaf_tokens"))).otherwise(0), "rest": F.when(some, F.col("budget") % F.col("leaf_tokens")).otherwise(0)}
+    plan = written(leaf_budgets(leaves, targets).withColumns({k: c.cast("long") for k, c in split.items()}), "mix-budgets")
+    salt = F.xxhash64("mix_id", "tokens")
+    keyed = meet(rows, plan.where("rest > 0"), many, targets, salt).withColumn("key", order_key(targets.seed, F.col("passes"), "mix_id"))
     running = Window.partitionBy(*LEAF).orderBy("bucket")  # 2 ** STEP_BITS rows per leaf at most
     near, ends = keyed.withColumn("before", F.lit(0).cast("long")), None
     for bits in range(STEP_BITS, LEVELS * STEP_BITS + 1, STEP_BITS):
         if ends is not None:  # only rows of the bucket in which the leaf's budget ends
-            near = keyed.join(F.broadcast(ends.withColumnRenamed("bucket", "outer")), LEAF).where(F.shiftright("key", 64 - bits + STEP_BITS) == F.col("outer"))
+            near = meet(keyed, ends.withColumnRenamed("bucket", "outer"), many, targets, salt).where(F.shiftright("key", 64 - bits + STEP_BITS) == F.col("outer"))
         sums = near.groupBy(*LEAF, "rest", "before", F.shiftright("key", 64 - bits).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
         cumulated = sums.withColumn("upto", F.col("before") + F.sum("tokens").over(running)).where("upto > rest")
         first = F.min_by(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before")), "bucket")
         ends = written(cumulated.groupBy(*LEAF).agg(first.alias("end")).select(*LEAF, "end.*"), "mix-ends")  # a row per leaf
     last = 64 - LEVELS * STEP_BITS
-    inside = keyed.join(F.broadcast(ends), LEAF).where(F.shiftright("key", last) == F.col("bucket")).groupBy(*LEAF, "rest", "before", "key").agg(F.sum("tokens").alias("tokens"))
+    inside = meet(keyed, ends, many, targets, salt).where(F.shiftright("key", last) == F.col("bucket")).groupBy(*LEAF, "rest", "before", "key").agg(F.sum("tokens").alias("tokens"))
     within = Window.partitionBy(*LEAF).orderBy("key")  # one bucket of the last level
     fits = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(within)).where("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("bound"))
     # where no document of that bucket fits, the prefix ends with the bucket before it, if there is one
     earlier = F.when(F.col("bucket") > -(1 << LEVELS * STEP_BITS - 1), F.shiftleft(F.col("bucket").cast("long"), last) - 1)
     bounds = ends.join(fits, LEAF, "left").select(*LEAF, F.coalesce("bound", earlier).alias("bound"))
-    done = written(plan.join(F.broadcast(bounds), LEAF, "left").select(*LEAF, "leaf_tokens", "budget", "passes", "bound"), "mix-plan")
+    done = written(plan.join(bounds, LEAF, "left").select(*LEAF, "leaf_tokens", "budget", "passes", "bound"), "mix-plan")
     return done, rows
 
 
-def taken(frame: DataFrame, plan: DataFrame, seed: int, id_col: str) -> DataFrame:
+def taken(frame: DataFrame, plan: DataFrame, targets: Targets, id_col: str) -> DataFrame:
     """``frame`` with the plan's columns and ``copies``: how often each row is taken."""
-    joined = frame.join(F.broadcast(plan), LEAF)
-    extra = F.col("bound").isNotNull() & (order_key(seed, F.col("passes"), id_col) <= F.col("bound"))
+    joined = meet(frame, plan, plan.count(), targets, F.xxhash64(id_col))
+    extra = F.col("bound").isNotNull() & (order_key(targets.seed, F.col("passes"), id_col) <= F.col("bound"))
     return joined.withColumn("copies", F.col("passes") + F.when(extra, 1).otherwise(0))
 
 
 def mix(docs: DataFrame, leaf: dict[str, Column], tokens: Column, targets: Targets, id_col: str = "doc_id") -> DataFrame:
     """One row per document and epoch in which it is taken: doc_id, domain, language, source, tokens, epoch (from 0).
 
-    Null names are a name of their own (empty); null token counts are 0. A leaf without tokens takes nothing. Rows that
+    Null names are a name of their own (empty); null token counts are 0. A leaf without tokens or below a weight of 0
+    takes nothing. Rows that
     repeat an id go together. Columns of ``docs`` that aren't named in the expressions are not read; an empty table
     gives an empty result.
     """
     plan, rows = mixing_plan(docs, leaf, tokens, targets, id_col)
-    return taken(rows, plan, targets.seed, "mix_id").where("copies > 0").select(
+    return taken(rows, plan, targets, "mix_id").where("copies > 0").select(
         F.col("mix_id").alias("doc_id"), *LEAF, "tokens", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("epoch")
     )
