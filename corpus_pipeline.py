@@ -67,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaf = {f"leaf_{k}": F.coalesce(c.cast("string"), F.lit("")) for k, c in tree_columns().items()}
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("mix_id"), *[c.alias(k.removeprefix("leaf_")) for k, c in leaf.items()])
     epochs = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return taken(whole, plan, MIX.seed, "mix_id").where("copies > 0").select("row", epochs.alias("epoch")).select("row.*")
+    return taken(whole, plan, MIX, "mix_id").where("copies > 0").select("row", epochs.alias("epoch")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
