@@ -5,14 +5,15 @@ the false rejections k among the n labelled good rows are counted; the cut-off i
 bound of the false-rejection rate stays within the rule's part of ``max_rate``, i.e. if
 P(Binomial(n, rate) <= k) <= error / tests (Bonferroni over rules, cut-offs and strata). The strictest certified
 cut-off of each rule and stratum is used; with too few labels none is, and the rule rejects nothing there. With
-probability 1 - error, each stratum loses at most ``max_rate`` of its good texts to the rules together.
+probability 1 - error, each stratum loses at most ``max_rate`` of its good texts to the rules together. The bound needs
+independent draws, so a labelled id counts once however often it is labelled or stands in the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +91,27 @@ def text_counts(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(Binomial(n, p) <= k)."""
-    return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(k + 1)))
+    """P(Binomial(n, p) <= k), the regularised incomplete beta function I(1 - p; n - k, k + 1) by its continued fraction."""
+    if k >= n:
+        return 1.0
+    a, b, x = n - k, k + 1, 1 - p
+    if x > (a + 1) / (a + b + 2):  # where the fraction converges fast
+        return 1.0 - _beta(b, a, p, 1 - p)
+    return _beta(a, b, x, p)
+
+
+def _beta(a: int, b: int, x: float, y: float) -> float:
+    """I(x; a, b) for x below (a + 1) / (a + b + 2), y = 1 - x, by Lentz's method."""
+    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    out = d
+    for m in range(1, 100_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + top * d) or tiny)
+            c = (1 + top / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(y)) * out / a
 
 
 def certified(k: int, n: int, rate: float, error: float) -> bool:
@@ -105,15 +125,21 @@ def fires(rule: Rule, cutoff: Column | float) -> Column:
 
 
 def choose_cutoffs(table: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], max_rate: float, error: float) -> dict[str, dict[str, float]]:
-    """stratum -> rule -> cut-off, from counts over all labelled good rows."""
-    good = labels.select("doc_id", "quality").where("quality = 1").select("doc_id")
+    """stratum -> rule -> cut-off, from counts over all labelled good ids."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     tests = [(r, c) for r in rules for c in r.cutoffs]
-    sums = [F.sum(fires(r, c).cast("long")).alias(f"k{i}") for i, (r, c) in enumerate(tests)]
-    # one row per stratum
-    rows = table.join(good, "doc_id").groupBy("stratum").agg(F.count("*").alias("n"), *sums).collect()
-    level, out = error / max(1, len(tests) * len(rows)), {}
-    for row in rows:
-        passed = [(r, c) for i, (r, c) in enumerate(tests) if certified(row[f"k{i}"], row["n"], max_rate / len(rules), level)]
+    # of rows that repeat an id, the least strict verdict would not be a bound: a test counts if any of them fires
+    hits = [F.max(fires(r, c).cast("int")).alias(f"f{i}") for i, (r, c) in enumerate(tests)]
+    once = table.join(good, "doc_id").groupBy("stratum", "doc_id").agg(*hits)
+    sums = [F.sum(f"f{i}").alias(f"k{i}") for i in range(len(tests))]
+    counted = written(once.groupBy("stratum").agg(F.count("*").alias("n"), *sums), "strata")
+    strata, rate = counted.count(), max_rate / max(1, len(rules))
+    level = error / max(1, len(tests) * strata)
+    # a smaller stratum can certify nothing, so there are at most as many rows as labelled ids by this number
+    least = max(1, ceil(log(level) / log1p(-rate)) - 1) if 0 < rate < 1 else 1
+    out = {}
+    for row in counted.where(F.col("n") >= least).collect():
+        passed = [(r, c) for i, (r, c) in enumerate(tests) if certified(row[f"k{i}"], row["n"], rate, level)]
         out[row["stratum"]] = {r.name: min(c for s, c in passed if s is r) for r in rules if any(s is r for s, _ in passed)}
     return out
 
@@ -121,21 +147,20 @@ def choose_cutoffs(table: DataFrame, labels: DataFrame, rules: tuple[Rule, ...],
 def apply_rules(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, max_rate: float = 0.05, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, kept, rejected_by (names of the rules that fire).
 
-    Null text has no words, so it fails the base rule. A null stratum is a stratum of its own. An id labelled good
-    several times counts as often; null ids and labels are left out of the counts. Repeated rows are judged row by row.
+    Null text has no words, so it fails the base rule. A null stratum is a stratum of its own. An id counts once in each
+    of its strata, however often it is labelled good or repeated; a rule counts as firing if it does on any of its rows.
+    Null ids and labels are left out of the counts. Repeated rows are judged row by row.
     Other columns are not read; an empty table gives an empty result; without labels only the base rule rejects.
     """
     table = written(text_counts(docs, id_col, text_col, stratum_col), "text-counts")
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality")
     chosen = choose_cutoffs(table, named, rules, max_rate, error)
 
-    def verdict(rule: Rule) -> Column:
-        out = F.lit(None).cast("string")
-        for cutoff in sorted({c[rule.name] for c in chosen.values() if rule.name in c}):
-            where = sorted(s for s, c in chosen.items() if c.get(rule.name) == cutoff)
-            out = F.when(F.col("stratum").isin(*where) & fires(rule, cutoff), rule.name).otherwise(out)
-        return out
+    cutoffs = docs.sparkSession.createDataFrame([(k, *[c.get(r.name) for r in rules]) for k, c in chosen.items()], "stratum string" + "".join(f", c{i} double" for i in range(len(rules))))
+    # as few rows as there are strata with enough labels for a test
+    joined = table.join(F.broadcast(cutoffs), "stratum", "left")
+    verdicts = [F.when(F.coalesce(fires(r, F.col(f"c{i}")), F.lit(False)), r.name) for i, r in enumerate(rules)]
 
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = table.withColumn("base_failed", base).withColumn("rejected_by", F.array_compact(F.array(*[verdict(r) for r in rules])))
+    judged = joined.withColumn("base_failed", base).withColumn("rejected_by", F.array_compact(F.array(*verdicts)))
     return judged.select("doc_id", *NAMES, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")

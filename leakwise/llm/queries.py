@@ -152,6 +152,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("rejected_by", F.array_join("rejected_by", ","))
 
 
+#: Looser bounds, which a few hundred labels can certify.
+FEW_LABELS = {"max_rate": 0.4, "error": 0.2}
+
+
+def quality_rules_few_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op9 where cut-offs are certified on the smallest tables too."""
+    judged = apply_rules(documents(spark, sf_dir), labels(spark, sf_dir), **FEW_LABELS)
+    return judged.withColumn("rejected_by", F.array_join("rejected_by", ","))
+
+
 def _op9_sql(max_rate: float = 0.05, error: float = 0.05) -> str:
     """The counts, the exact binomial tests and the verdicts."""
     tests = " UNION ALL ".join(
@@ -163,22 +173,20 @@ def _op9_sql(max_rate: float = 0.05, error: float = 0.05) -> str:
     order = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {i}" for i, r in enumerate(RULES)) + " END"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ 	-
-]+'), lambda x: x <> '') AS words,
-             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS lines FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 r AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS run FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
 again AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, run) AS n FROM r),
 covered AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM again, range(8) AS t(o) WHERE n > 1 GROUP BY rid),
-c AS (SELECT w.rid, doc_id, stratum, len(words) AS n_words, length(regexp_replace(text, '[ 	-
-]+', '', 'g')) AS word_chars,
+c AS (SELECT w.rid, doc_id, stratum, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
              length(text) - length(replace(text, '!', '')) AS n_exclaims
       FROM w LEFT JOIN covered USING (rid)),
 fired AS ({tests}),
-good AS (SELECT c.rid FROM c JOIN labels l ON c.doc_id = l.doc_id WHERE l.quality = 1),
-k AS (SELECT rule, cutoff, stratum, count(*) AS n, count(*) FILTER (fires) AS k FROM fired JOIN good USING (rid) GROUP BY ALL),
+good AS (SELECT rid, doc_id FROM c WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+once AS (SELECT rule, cutoff, stratum, doc_id, bool_or(fires) AS fires FROM fired JOIN good USING (rid) GROUP BY ALL),
+k AS (SELECT rule, cutoff, stratum, count(*) AS n, count(*) FILTER (fires) AS k FROM once GROUP BY ALL),
 strata AS (SELECT count(DISTINCT stratum) AS s FROM k),
 tail AS (SELECT rule, cutoff, stratum, n, k, sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END
                 + i * ln({max_rate} / {len(RULES)}) + (n - i) * ln(1 - {max_rate} / {len(RULES)}))) AS p
@@ -197,9 +205,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing]
+    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, quality_rules_few_labels]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql()}
+    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}

@@ -70,7 +70,7 @@ def test_counts():
 
 
 def test_exact_binomial_bound():
-    for n, k, p in [(10, 2, 0.3), (50, 0, 0.05), (7, 7, 0.5)]:
+    for n, k, p in [(10, 2, 0.3), (50, 0, 0.05), (7, 7, 0.5), (400, 180, 0.4), (400, 2, 0.01), (300, 299, 0.9), (1, 0, 0.2), (900, 40, 0.01)]:
         assert binomial_cdf(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
     assert not certified(0, 0, 0.5, 0.5) and not certified(0, 10, 0.01, 0.001) and certified(0, 1000, 0.01, 0.001)
 
@@ -93,3 +93,17 @@ def test_rules_keep_false_rejection_low_per_stratum(spark):
     assert apply_rules(frame.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
     bare = apply_rules(frame, spark.createDataFrame([], LABELS)).where("kept = base_failed").count()
     assert bare == 0
+
+
+def test_a_labelled_id_counts_once(spark):
+    """Repeats of labels or rows don't add up to a certificate."""
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "en") for i in range(900)]
+    bad = [(5000, "a### " * 10 + " ".join(f"b{k}" for k in range(20)), "en")]
+
+    def rejected(rows, labels):
+        frame = spark.createDataFrame([(*r, 3, 0.5) for r in rows], SHAPE)
+        return {x.doc_id for x in apply_rules(frame, spark.createDataFrame(labels, LABELS)).where("size(rejected_by) > 0").collect()}
+
+    every = [(i, 1, 0, "x") for i in range(900)]
+    assert rejected(texts + bad, every) == {5000}
+    assert rejected(texts[:300] + bad, every[:300] * 4) == rejected(texts[:300] * 4 + bad, every[:300]) == set()
