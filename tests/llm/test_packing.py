@@ -22,10 +22,14 @@ def plain_encoder():
 
 
 @settings(deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet=" \n\t'sdlré1中a", max_size=40))
+@given(st.text(max_size=60) | st.text(alphabet=" \n\t'sdlré1中a", max_size=40) | st.lists(st.sampled_from(["<|endoftext|>", "<|", "x", " ", "endoftext|>"])).map("".join))
 def test_encoder_gives_the_ids_of_tokenizers(text):
-    if "<|endoftext|>" not in text:
-        assert list(encoder(tokenizer_path())(text)) == plain_encoder()(text)
+    assert list(encoder(tokenizer_path())(text)) == plain_encoder()(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 60_000, "é" * 30_000, " " * 60_000, "\n" * 60_000, "1" * 60_000, "#" * 60_000, "ab" * 30_000 + "<|endoftext|>"])
+def test_long_unbroken_texts(text):
+    assert list(encoder(tokenizer_path())(text)) == plain_encoder()(text)
 
 
 def best_fit_one_by_one(lengths, capacity):
