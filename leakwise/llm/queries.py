@@ -86,6 +86,11 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def exact_dedup_few_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op3 where only the most frequent digests are broadcast, also on the smallest tables."""
+    return exact_dedup(documents(spark, sf_dir), counters=8)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
@@ -205,9 +210,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, quality_rules_few_labels]
+    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, quality_rules_few_labels, exact_dedup_few_counters]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}
+    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "exact_dedup_few_counters": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}
