@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,39 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/leakwise").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session on one machine may do without
+    it; on a cluster a folder of our own would be each machine's own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints/leakwise"
+    return folder.rstrip("/")
+
+
+#: The tables written within each open :func:`scope`.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that were written within it, but those that are put in the list it gives."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        forget(*[df for df in made if all(df is not k for k in kept)])
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, so a lost executor costs no recomputation.
 
-    The table goes when the driver's JVM ends in order, or before by :func:`forget`.
+    The table goes when the driver's JVM ends in order, or before by :func:`scope` or :func:`forget`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leakwise-{label}-{uuid.uuid4().hex}"
@@ -32,6 +58,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._leakwise_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
