@@ -14,13 +14,6 @@ training texts, so it grows with them; it is a table of runs (``DEPTH`` bytes an
 3. With their weights broadcast, each subtree is walked down again, which gives log10 P(byte | context) of every run.
 4. Runs with at least ``RUN_HEAD`` of all positions (at most its inverse many) are looked up in a broadcast table when
    texts are scored; the others meet their values in an ordinary join.
-
-With ``share`` > 0 the tree keeps only contexts that hold more than that share of all training positions; the positions
-of a node that none of its kept children takes form one more child, a leaf. That model has a fixed size and is broadcast:
-at most (257 + 4 / share) contexts x 256 x (4 bytes for a log probability + 2 for a successor). Contexts kept are closed
-under taking both suffixes (parents) and prefixes, so the deepest kept context at every position follows from table
-look-ups over whole arrays. Training is then two passes: counts of all contexts of ``DEPTH`` bytes, and of the next byte
-after each deepest kept context.
 """
 
 from __future__ import annotations
@@ -73,69 +66,6 @@ def blocks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[np.ndarra
         yield laid()
 
 
-def _merge(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in tables]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in tables]), len(keys)).astype(np.int64)
-
-
-def context_counts(texts: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each DEPTH-byte context comes before a predicted byte; the latest byte is the lowest of the key."""
-    import pandas as pd
-
-    tables: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for group in texts:
-        for _, _, buf, predicted in blocks(group):
-            key = np.zeros(len(buf) - DEPTH, np.int64)
-            for i in range(DEPTH):
-                key = (key << 8) | buf[i : len(buf) - DEPTH + i]
-            codes, keys = pd.factorize(key[predicted[DEPTH:]])
-            tables.append((keys, np.bincount(codes, minlength=len(keys))))
-            if sum(len(k) for k, _ in tables[1:]) > max(1 << 20, 2 * len(tables[0][0])):
-                tables = [_merge(tables)]
-    return _merge(tables)
-
-
-@dataclass
-class Contexts:
-    """The kept contexts: per depth 1..DEPTH their sorted keys, and tables from (context one shorter, byte) to context."""
-
-    keys: list[np.ndarray]
-
-    def __post_init__(self) -> None:
-        self.offsets = np.cumsum([1, *(len(k) for k in self.keys)])
-        self.step, before = [], np.zeros(1, np.int64)
-        for depth, keys in enumerate(self.keys, 1):
-            table = np.zeros((len(before) + 1) << 8, np.uint16)
-            at = np.searchsorted(before, keys >> 8) + 1 if depth > 1 else np.ones(len(keys), np.int64)
-            table[(at << 8) | (keys & 255)] = np.arange(1, len(keys) + 1)
-            self.step.append(table)
-            before = keys
-
-    @property
-    def size(self) -> int:
-        return int(self.offsets[-1])
-
-    def parents(self, depth: int) -> np.ndarray:
-        """State numbers of the parents of the contexts of a depth."""
-        if depth == 1:
-            return np.zeros(len(self.keys[0]), np.int64)
-        return np.searchsorted(self.keys[depth - 2], self.keys[depth - 1] & ((1 << 8 * (depth - 1)) - 1)) + self.offsets[depth - 2]
-
-    def cells(self, buf: np.ndarray) -> np.ndarray:
-        """For each byte but the first: (deepest kept context before it) * 256 + the byte."""
-        before = np.ones(len(buf), np.int32)
-        state = np.zeros(len(buf), np.int32)
-        for depth, table in enumerate(self.step):
-            here = np.zeros(len(buf), np.int32)
-            if depth:
-                here[1:] = table[(before[:-1] << 8) | buf[1:]]
-            else:
-                here[:] = table[256 + buf.astype(np.int32)]
-            np.copyto(state, here + np.int32(self.offsets[depth] - 1), where=here > 0)
-            before = here
-        return (state[:-1] << 8) | buf[1:]
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after shifting by 8."""
     shift = np.zeros_like(x)
@@ -151,121 +81,6 @@ def _kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - half - _log_gamma(zeros + ones + 1.0)
 
 
-def _decisions(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 0 and 1 at the 255 decision nodes (node 1 is the first bit; node n leads to 2n and 2n+1)."""
-    below = np.zeros((len(cells), 512))
-    below[:, 256:] = cells
-    for node in range(255, 0, -1):
-        below[:, node] = below[:, 2 * node] + below[:, 2 * node + 1]
-    nodes = np.arange(1, 256)
-    return below[:, 2 * nodes], below[:, 2 * nodes + 1]
-
-
-def _rows(at: slice, step: int = 2048) -> Iterator[slice]:
-    """``at`` in parts, so that temporary arrays stay small."""
-    for lo in range(int(at.start), int(at.stop), step):
-        yield slice(lo, min(lo + step, int(at.stop)))
-
-
-def weighted(contexts: Contexts, cells: np.ndarray) -> np.ndarray:
-    """log10 P(byte | deepest kept context) for all contexts, float32 [size, 256], from the counts [size, 256]."""
-    depth_of = [slice(0, 1)] + [slice(contexts.offsets[d - 1], contexts.offsets[d]) for d in range(1, DEPTH + 1)]
-    up = np.concatenate([[0], *(contexts.parents(d) for d in range(1, DEPTH + 1))])
-    total = cells.astype(np.int64)
-    for d in range(DEPTH, 0, -1):
-        np.add.at(total, up[depth_of[d]], total[depth_of[d]])
-    shape = (contexts.size, 255)
-    own_weight = np.ones(shape, np.float32)
-    child = np.zeros((int(contexts.offsets[DEPTH - 1]), 255))  # sums of the children's log weighted probabilities
-    for d in range(DEPTH, -1, -1):
-        for at in _rows(depth_of[d]):
-            log_w = log_e = _kt_block(*_decisions(total[at]))
-            if d < DEPTH:
-                log_w = np.logaddexp(log_e, child[at] + _kt_block(*_decisions(cells[at]))) - np.log(2)
-                own_weight[at] = np.exp(log_e - np.log(2) - log_w)
-            if d:
-                np.add.at(child, up[at], log_w)
-    del child
-    one, left = np.zeros(shape, np.float32), np.ones(shape, np.float32)  # probability of a 1 so far, weight left for deeper nodes
-    out = np.empty((contexts.size, 256), np.float32)
-    for d in range(DEPTH + 1):
-        for at in _rows(depth_of[d]):
-            if d:
-                one[at], left[at] = one[up[at]], left[up[at]]
-            zeros, ones = _decisions(total[at])
-            one[at] += left[at] * own_weight[at] * ((ones + 0.5) / (zeros + ones + 1))
-            left[at] *= 1 - own_weight[at]
-            zeros, ones = _decisions(cells[at])
-            p = (one[at] + left[at] * ((ones + 0.5) / (zeros + ones + 1))).astype(np.float64)
-            logs = np.zeros((len(p), 512))
-            for node in range(1, 256):
-                logs[:, 2 * node] = logs[:, node] + np.log10(np.maximum(1 - p[:, node - 1], 1e-300))
-                logs[:, 2 * node + 1] = logs[:, node] + np.log10(np.maximum(p[:, node - 1], 1e-300))
-            out[at] = logs[:, 256:]
-    return out
-
-
-def cell_counts(texts: Iterator[list[bytes]], contexts: Contexts) -> np.ndarray:
-    """Counts [size * 256] of the byte after each deepest kept context."""
-    counts = np.zeros(contexts.size << 8, np.int64)
-    for group in texts:
-        for _, _, buf, predicted in blocks(group):
-            counts += np.bincount(contexts.cells(buf)[predicted[1:]], minlength=len(counts))
-    return counts
-
-
-def log10_probabilities(texts: list[bytes], contexts: Contexts, table: np.ndarray) -> np.ndarray:
-    """log10 probability of each text, its end included."""
-    out, flat = np.zeros(len(texts)), table.reshape(-1)
-    for index, starts, buf, predicted in blocks(texts):
-        values = np.zeros(len(buf))
-        values[1:] = flat[contexts.cells(buf)]
-        values[~predicted] = 0
-        np.add.at(out, index, np.add.reduceat(values, starts))
-    return out
-
-
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    for batch in slices(batches, "text"):
-        yield bytes_of(batch.column(0))
-
-
-def train(texts: DataFrame, share: float) -> tuple[Contexts, np.ndarray]:
-    """The kept contexts and the log10 table, from a frame with the one column ``text``."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = context_counts(_bytes(batches))
-        for at in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)])], ["key", "n"])
-
-    grams = written(texts.mapInArrow(first, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    suffixes = F.array(*[F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1)) for d in range(1, DEPTH + 1)])
-    kept = (
-        grams.select(F.posexplode(suffixes).alias("depth", "context"), "n")
-        .groupBy("depth", "context")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") > share * total)
-        .toPandas()  # at most DEPTH / share rows
-    )
-    contexts = Contexts([np.sort(kept.context[kept.depth == d].to_numpy(np.int64)) for d in range(DEPTH)])
-    shared = texts.sparkSession.sparkContext.broadcast(contexts)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = cell_counts(_bytes(batches), shared.value)
-        full = np.flatnonzero(counts)
-        for at in range(0, len(full), 1 << 16):
-            cell = full[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], ["cell", "n"])
-
-    cells = np.zeros(contexts.size << 8, np.int64)
-    # at most 256 rows per kept context
-    got = texts.mapInArrow(second, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cells[got.cell.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
-    forget(grams)
-    return contexts, weighted(contexts, cells.reshape(-1, 256))
-
-
 def _runs(buf: np.ndarray, predicted: np.ndarray) -> np.ndarray:
     """Of each predicted byte, the ``DEPTH`` bytes before it and itself as the lowest byte."""
     key = np.zeros(len(buf) - DEPTH, np.int64)
@@ -420,20 +235,30 @@ def run_scores(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> tupl
     return out, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(np.concatenate(rare)))
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, n): all words of the column ``text``, A-Z in lower case."""
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(word, n, every): all words of ``rows`` (text, learned), A-Z in lower case; how often in learned texts, and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-        for group in _bytes(batches):
-            for text in group:
-                found.update(text.lower().split())
-            if len(found) > 1 << 20:  # a partial count; the shuffle sums them
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
-                found = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
+        learned: Counter[bytes] = Counter()
+        other: Counter[bytes] = Counter()
+
+        def table() -> pa.RecordBatch:
+            words = list(learned | other)
+            n = [learned[w] for w in words]
+            every = [a + other[w] for w, a in zip(words, n, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(every, pa.int64())], ["word", "n", "every"])
+
+        for batch in slices(batches, "text"):
+            for text, flag in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                (learned if flag else other).update(text.lower().split())
+            if len(learned) + len(other) > 1 << 20:  # a partial count; the shuffle sums them
+                yield table()
+                learned.clear()
+                other.clear()
+        yield table()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "learned").mapInArrow(run, "word binary, n long, every long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def whole_tree(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
@@ -460,7 +285,7 @@ def whole_tree(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], DataFram
     return (head.key.to_numpy(np.int64), head.value.to_numpy(np.float32)), values.where(F.col("every") < least).select("key", "value")
 
 
-def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0) -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, learned, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     ``learn`` says which rows are learned from (null: not). Null text counts as empty: it has the end token only.
@@ -469,16 +294,17 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learned"), F.col(text_col).alias("text"))
-    seen = rows.where("learned").select("text")
-    model, runs = (train(seen, share), None) if share else whole_tree(rows)
-    words = written(vocabulary(seen), "vocabulary")
-    sums = words.agg(F.sum("n"), F.count("*")).first()
-    ends = seen.count()
+    model, runs = whole_tree(rows)
+    words = written(vocabulary(rows), "vocabulary")
+    sums = words.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum("every")).first()
+    ends = rows.where("learned").count()
     total, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     scale = total + distinct + 1
-    head = words.where(F.col("n") >= max(1, HEAD * total)).toPandas()  # at most 1 / HEAD rows
+    least = max(1, HEAD * (sums[2] or 0))
+    head = words.where(F.col("every") >= least).select("word", "n").toPandas()  # at most 1 / HEAD rows
     unknown = log10(1 / scale)
-    known = {bytes(w): log10((n + 1) / scale) for w, n in zip(head.word, head.n, strict=True)}
+    # words that only other texts have count as unknown below; their 0 tells that they need no look-up
+    known = {bytes(w): log10((n + 1) / scale) if n else 0.0 for w, n in zip(head.word, head.n, strict=True)}
     shared = spark.sparkContext.broadcast((model, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,17 +313,14 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         names = ["row", "doc_id", "learned", "n_tokens", "n_head", "head_score", "score", "n_bytes", "tail", "runs"]
         for batch in slices(batches, "text"):
             texts = bytes_of(batch.column(2))
-            if share:
-                scores, others = log10_probabilities(texts, *model), pa.array([[]] * len(texts), pa.list_(pa.int64()))
-            else:
-                scores, others = run_scores(texts, *model)
+            scores, others = run_scores(texts, *model)
             n_tokens, n_head, base, tail = [], [], [], []
             for text in texts:
                 words = text.lower().split()
                 values = list(map(known.get, words))
                 rest = [w for w, v in zip(words, values, strict=True) if v is None]
                 n_tokens.append(len(words) + 1)
-                n_head.append(len(words) - len(rest))
+                n_head.append(sum(v < 0 for v in values if v is not None))
                 base.append(sum(v for v in values if v is not None))
                 tail.append(rest)
             ids = pa.array(np.arange(row, row + len(texts)))
@@ -510,14 +333,13 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
 
     shape = "row long, doc_id long, learned boolean, n_tokens long, n_head long, head_score double, score double, n_bytes long, tail array<binary>, runs array<long>"
     scored = written(rows.mapInArrow(run, shape), "scores")
-    # rarer words meet their counts in an ordinary join: each has under HEAD of all tokens, so no key is hot
-    rare = words.where(F.col("n") < max(1, HEAD * total)).select("word", F.log10((F.col("n") + 1) / scale).alias("value"))
+    # rarer words meet their counts in an ordinary join: each has under HEAD of all texts' words, so no key is hot
+    rare = words.where((F.col("n") > 0) & (F.col("every") < least)).select("word", F.log10((F.col("n") + 1) / scale).alias("value"))
     met = scored.select("row", F.explode("tail").alias("word")).join(rare, "word").groupBy("row").agg(F.count("*").alias("n_rare"), F.sum("value").alias("rare_score"))
-    score = F.col("score")
-    if runs is not None:  # the same for rarer runs
-        more = scored.select("row", F.explode("runs").alias("key")).join(runs, "key").groupBy("row").agg(F.sum("value").alias("run_score"))
-        scored = scored.join(more, "row", "left")
-        score += F.coalesce("run_score", F.lit(0.0))
+    # the same for rarer runs
+    more = scored.select("row", F.explode("runs").alias("key")).join(runs, "key").groupBy("row").agg(F.sum("value").alias("run_score"))
+    scored = scored.join(more, "row", "left")
+    score = F.col("score") + F.coalesce("run_score", F.lit(0.0))
     end = log10((ends + 1) / scale)
     n_rare = F.coalesce("n_rare", F.lit(0))
     return scored.drop("tail", "runs").join(met, "row", "left").select(

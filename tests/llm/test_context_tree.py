@@ -13,18 +13,14 @@ def kt(a, b):
     return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
 
 
-def brute_model(texts, share):
+def brute_model(texts):
     """P(byte after a context) by the recursive definition, from plain dictionaries."""
     seen = Counter()
     for t in texts:
         whole = ct.EDGE * ct.DEPTH + t + ct.EDGE
         for i in range(ct.DEPTH, len(whole)):
             seen[whole[i - ct.DEPTH : i], whole[i]] += 1
-    total, contexts = sum(seen.values()), Counter()
-    for (c, _), n in seen.items():
-        for d in range(1, ct.DEPTH + 1):
-            contexts[c[-d:]] += n
-    kept = {b""} | {c for c, n in contexts.items() if n > share * total}
+    kept = {b""} | {c[-d:] for c, _ in seen for d in range(1, ct.DEPTH + 1)}
     bits = lambda byte: [(1 << k | byte >> (8 - k), byte >> (7 - k) & 1) for k in range(8)]
     own, rest = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
     for (c, byte), n in seen.items():
@@ -66,14 +62,15 @@ def brute_model(texts, share):
     return score
 
 
-@pytest.mark.parametrize("share", [0.0, 0.02])
-def test_scores_follow_the_definition(spark, share):
+@pytest.mark.parametrize("head", [2.0**-20, 0.2])
+def test_scores_follow_the_definition(spark, monkeypatch, head):
+    monkeypatch.setattr(ct, "HEAD", head)  # all words broadcast, or most of them joined
     rng = random.Random(5)
-    texts = ["".join(rng.choice(["ab", "abc", "é", " ", "ba"]) for _ in range(rng.randrange(12))) for _ in range(14)] + [None, ""]
+    texts = ["".join(rng.choice(["ab", "abc", "é", " ", "ba"]) for _ in range(rng.randrange(12))) for _ in range(14)] + [None, "", "only only only here", "x"]
     rows = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, tail string, score double").repartition(3)
-    got = {r.doc_id: r for r in ct.lm_scores(rows, F.col("doc_id") % 4 != 0, share=share).collect()}
+    got = {r.doc_id: r for r in ct.lm_scores(rows, F.col("doc_id") % 4 != 0).collect()}
     learned = [(t or "") for i, t in enumerate(texts) if i % 4]
-    score = brute_model([t.encode() for t in learned], share)
+    score = brute_model([t.encode() for t in learned])
     counts = Counter(w for t in learned for w in [*t.lower().split(), None])
     n, v = sum(counts.values()), len(counts)
     for i, t in enumerate(texts):
@@ -83,21 +80,19 @@ def test_scores_follow_the_definition(spark, share):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
 
 
-def test_blocks_do_not_change_scores():
+def test_blocks_do_not_change_counts_or_scores(monkeypatch):
     texts = [b"abcabc" * 50, b"", b"xyz"]
-    keys, n = ct.context_counts(iter([texts]))
-    kept = [np.unique(keys & ((1 << 8 * d) - 1)) for d in range(1, ct.DEPTH + 1)]
-    contexts = ct.Contexts(kept)
-    table = ct.weighted(contexts, ct.cell_counts(iter([texts]), contexts).reshape(-1, 256))
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-5)
-    whole = ct.log10_probabilities(texts, contexts, table)
-    blocks, ct.blocks = ct.blocks, lambda t, limit=7: blocks(t, limit)
-    try:
-        assert np.allclose(ct.log10_probabilities(texts, contexts, table), whole)
-        keys2, n2 = ct.context_counts(iter([texts]))
-        assert (keys2 == keys).all() and (n2 == n).all()
-    finally:
-        ct.blocks = blocks
+    tables = list(ct.run_counts(iter([(texts, True), (texts[:1], False)])))
+    (keys, n, every), blocks = tables[0], ct.blocks
+    assert n.sum() == sum(len(t) + 1 for t in texts) and every.sum() == n.sum() + len(texts[0]) + 1
+    some = keys[::2]
+    values = np.arange(len(some), dtype=np.float32)
+    scores, rest = ct.run_scores(texts, some, values)
+    monkeypatch.setattr(ct, "blocks", lambda t, limit=7: blocks(t, limit))
+    again, rest2 = ct.run_scores(texts, some, values)
+    assert np.allclose(scores, again) and rest.to_pylist() == rest2.to_pylist()
+    for a, b in zip(tables[0], list(ct.run_counts(iter([(texts, True), (texts[:1], False)])))[0], strict=True):
+        assert (a == b).all()
 
 
 def test_empty_and_untrained(spark):
@@ -110,7 +105,7 @@ def test_empty_and_untrained(spark):
 def test_contexts_of_any_rarity_count(spark, monkeypatch):
     texts = ["a" * 70000, "xyzzy"]
     rows = spark.createDataFrame(list(enumerate([*texts, "xyzzy", "xyzza"])), "doc_id long, text string").repartition(2)
-    want = brute_model([t.encode() for t in texts], 0.0)
+    want = brute_model([t.encode() for t in texts])
     for head in (2.0**-22, 0.5, 2.0):  # all runs broadcast, some, none
         monkeypatch.setattr(ct, "RUN_HEAD", head, raising=False)
         got = {r.doc_id: r.score for r in ct.lm_scores(rows, F.col("doc_id") < 2).collect()}
