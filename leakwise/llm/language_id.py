@@ -1,19 +1,20 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-Texts are cut into windows of ``STRIDE`` bytes, each read with ``MARGIN`` bytes of context on either side (byte 0 outside
-the text, where the state is zero), so memory is bounded for texts of any length and all windows of a batch advance together. One network reads
+Texts are cut into windows of ``STRIDE`` bytes, each read with ``MARGIN`` bytes of context on either side (``PAD`` outside
+the text, where the state is zero; UTF-8 never holds that byte), so memory is bounded for texts of any length and all windows of a batch advance together. One network reads
 forwards, one backwards; from both hidden states every position gets a probability for each language. A document's
 probabilities are the means over its positions.
 
-Trained on at most ``max_per_language`` documents of each language (chosen by a hash of the id) and ``WINDOWS`` windows
-of each, drawn from anywhere in the text.
+Trained on about ``max_per_language`` documents of each language (those whose hash of id and text is below the share
+wanted; rows that repeat both count once) and ``WINDOWS`` windows of ``TRAIN_LENGTH`` bytes of each, drawn from anywhere
+in the text. Names that fewer than ``least_share`` of the labelled rows carry are no language, so there are at most its
+inverse many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakwise.llm.common import slices
+from leakwise.llm.common import slices, written
 
 HIDDEN = 8
+PAD = 0xFF
 STRIDE, MARGIN = 224, 16
 TRAIN_LENGTH, WINDOWS = 64, 3
 F32 = np.float32
+_PAD = bytes([PAD])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -66,8 +69,9 @@ class Gru:
             if keep is not None:
                 keep.append((z.copy(), r.copy(), candidate.copy(), inner[2 * n :].copy(), h))
             h = candidate + z * (h - candidate)
-            if not x[t].all():  # outside the text the state is zero, however long the padding is
-                h *= x[t] > 0
+            inside = x[t] != PAD
+            if not inside.all():  # outside the text the state is zero, however long the padding is
+                h *= inside
             out[t] = h
         return out
 
@@ -78,7 +82,7 @@ class Gru:
         d_h = np.zeros((n, x.shape[1]), F32)
         for t in range(len(x) - 1, -1, -1):
             z, r, c, q, before = kept[t]
-            d_h = (d_h + d_out[t]) * (x[t] > 0)
+            d_h = (d_h + d_out[t]) * (x[t] != PAD)
             d_c = d_h * (1 - z) * (1 - c * c)
             d_z = d_h * (before - c) * z * (1 - z)
             d_r = d_c * q * r * (1 - r)
@@ -170,12 +174,12 @@ def fit(x: np.ndarray, y: np.ndarray, mask: np.ndarray, languages: list[str], st
 
 
 def training_windows(text: bytes, length: int = TRAIN_LENGTH, windows: int = WINDOWS) -> Iterator[bytes]:
-    """Windows from anywhere in the text (drawn by its checksum), some over its ends, padded with byte 0."""
+    """Windows from anywhere in the text (drawn by its checksum), some over its ends, padded."""
     rng = np.random.default_rng(crc32(text))
     for _ in range(windows):
         at = int(rng.integers(-MARGIN, max(1 - MARGIN, len(text) - length + MARGIN)))
         part = text[max(0, at) : max(0, at + length)]
-        yield (b"\0" * max(0, -at) + part).ljust(length, b"\0")[:length]
+        yield (_PAD * max(0, -at) + part).ljust(length, _PAD)[:length]
 
 
 def predict(texts: list[bytes], model: LanguageModel, width: int = 2048) -> np.ndarray:
@@ -196,9 +200,9 @@ def predict(texts: list[bytes], model: LanguageModel, width: int = 2048) -> np.n
         pending.clear()
 
     for i, text in enumerate(texts):
-        padded = b"\0" * MARGIN + text
+        padded = _PAD * MARGIN + text
         for at in range(0, len(text), STRIDE):
-            pending.append((i, min(STRIDE, len(text) - at), padded[at : at + span].ljust(span, b"\0")))
+            pending.append((i, min(STRIDE, len(text) - at), padded[at : at + span].ljust(span, _PAD)))
             if len(pending) == width:
                 flush()
     if pending:
@@ -210,36 +214,37 @@ def label_positions(text: bytes, model: LanguageModel) -> list[str]:
     """The likeliest language of every byte of one text."""
     out: list[str] = []
     for at in range(0, len(text), STRIDE):
-        part = (b"\0" * MARGIN + text)[at : at + STRIDE + 2 * MARGIN].ljust(STRIDE + 2 * MARGIN, b"\0")
+        part = (_PAD * MARGIN + text)[at : at + STRIDE + 2 * MARGIN].ljust(STRIDE + 2 * MARGIN, _PAD)
         x = np.frombuffer(part, np.uint8)[:, None]
         out += [model.languages[int(p[:, 0].argmax())] for p in model.probabilities(x, MARGIN, MARGIN + min(STRIDE, len(text) - at))]
     return out
 
 
-def learn_languages(docs: DataFrame, learn: Column, max_per_language: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def learn_languages(docs: DataFrame, learn: Column, max_per_language: int = 600, least_share: float = 2.0**-12, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on rows with a language, a text and a true ``learn`` (an expression of doc_id)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(learn).where("lang is not null and text <> ''")
-    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    languages = sorted(held)
-    if not languages:
+    counted = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    held = {r["lang"]: r["n"] for r in counted.where(F.col("n") >= least_share * total).collect()}  # at most 1 / least_share rows
+    if not held:
         return new_model([])
     # about max_per_language rows of each language: those whose hash is below the language's share of the range
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 31))
-    bound = reduce(lambda acc, k: F.when(F.col("lang") == k, int(min(1.0, max_per_language / held[k]) * (1 << 31))).otherwise(acc), languages, F.lit(0))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))
+    bounds = F.create_map(*[F.lit(x) for k, n in sorted(held.items()) for x in (k, int(min(1.0, max_per_language / n) * (1 << 31)))])
+    picked = rows.withColumn("place", place).where(F.col("place") < F.try_element_at(bounds, F.col("lang"))).dropDuplicates(["lang", "place"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [(k, w) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in training_windows(t.encode("utf-8", "surrogatepass"))]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.binary())], ["lang", "part"])
 
-    picked = rows.where(place < bound).select("lang", "text").mapInArrow(cut, "lang string, part binary")
-    limit = 2 * max_per_language * WINDOWS * len(languages)
-    got = sorted((r["lang"], bytes(r["part"])) for r in picked.limit(limit).collect())
+    windows = picked.select("lang", "text").mapInArrow(cut, "lang string, part binary")
+    got = sorted((r["lang"], bytes(r["part"])) for r in windows.collect())  # about max_per_language * WINDOWS rows a language
     if not got:
-        return new_model(languages)
+        return new_model(sorted(held))
     x = np.frombuffer(b"".join(p for _, p in got), np.uint8).reshape(len(got), TRAIN_LENGTH)
     seen = sorted({k for k, _ in got})
-    return fit(x, np.array([seen.index(k) for k, _ in got]), x > 0, seen)
+    return fit(x, np.array([seen.index(k) for k, _ in got]), x != PAD, seen)
 
 
 def predict_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -20,7 +20,7 @@ def test_gradients_match_differences():
     lid_f32, lid.F32 = lid.F32, np.float64
     try:
         model = lid.new_model(["a", "b", "c"], hidden=3)
-        x, y, mask = rng.integers(0, 9, (6, 4)).astype(np.uint8), np.array([0, 1, 2, 1]), rng.random((6, 4)) < 0.8
+        x, y, mask = np.where(rng.random((6, 4)) < 0.2, lid.PAD, rng.integers(0, 9, (6, 4))).astype(np.uint8), np.array([0, 1, 2, 1]), rng.random((6, 4)) < 0.8
         _, grads = model.gradients(x, y, mask)
         for part, grad in zip(model.parts, grads, strict=True):
             for _ in range(6):
@@ -47,14 +47,14 @@ def slow_probabilities(text, model):
             inner, gate = gru.loop.astype(float) @ h, gru.table[:, byte].astype(float)
             z, r = sigmoid(gate[:n] + inner[:n]), sigmoid(gate[n : 2 * n] + inner[n : 2 * n])
             c = np.tanh(gate[2 * n :] + r * inner[2 * n :])
-            h = (z * h + (1 - z) * c) * (byte > 0)
+            h = (z * h + (1 - z) * c) * (byte != lid.PAD)
             out.append(h)
         return out
 
     total = np.zeros(len(model.languages))
     for at in range(0, len(text), lid.STRIDE):
         n = min(lid.STRIDE, len(text) - at)
-        window = bytes(text[i] if 0 <= i < len(text) else 0 for i in range(at - lid.MARGIN, at + lid.STRIDE + lid.MARGIN))
+        window = bytes(text[i] if 0 <= i < len(text) else lid.PAD for i in range(at - lid.MARGIN, at + lid.STRIDE + lid.MARGIN))
         a, b = direction(model.ahead, window), direction(model.back, window[::-1])[::-1]
         for t in range(lid.MARGIN, lid.MARGIN + n):
             e = np.exp(model.out[:, :-1] @ np.concatenate([a[t], b[t]]) + model.out[:, -1])
@@ -64,7 +64,7 @@ def slow_probabilities(text, model):
 
 def test_batched_prediction_follows_the_definition():
     model = lid.new_model(["a", "b", "c"], seed=9)
-    texts = [b"", b"x", bytes(random.Random(1).randrange(1, 256) for _ in range(700)), b"abc " * 60]
+    texts = [b"", b"x", bytes(random.Random(1).randrange(255) for _ in range(700)), b"abc " * 60]
     got = lid.predict(texts, model, width=3)
     want = np.array([slow_probabilities(t, model) for t in texts])
     assert np.allclose(got, want, atol=1e-4)
@@ -81,3 +81,15 @@ def test_held_out_accuracy_and_cases(spark):
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (1000, 1001, 1002))
     assert by[None].lang_pred == by[1003].lang_pred == "cc" and all(0 <= r.score <= 1 for r in got)
     assert lid.predict_languages(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_the_sample_is_bounded_and_does_not_depend_on_order(spark):
+    """Repeated and null ids, texts with U+0000, and a column of names that are no languages."""
+    rows = corpus(200, seed=3)
+    rows += [(None, f"tha ing \0 ster {i}", "aa") for i in range(300)] + [(5, "los de", "bb")] * 500 + [(i, "der keit", f"dirty{i}") for i in range(300)]
+    frame = spark.createDataFrame([(i, t, k, "x", 0.0) for i, t, k in rows], SHAPE)
+    models = [lid.learn_languages(f, F.lit(True), max_per_language=50, least_share=0.02) for f in (frame, frame.repartition(5).orderBy("text"))]
+    assert models[0].languages == models[1].languages == ["aa", "bb", "cc"]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].parts, models[1].parts, strict=True))
+    with_zero = lid.predict([b"tha ing ster on tha ing"], models[0]), lid.predict([b"tha ing\0ster on tha ing"], models[0])
+    assert all(p[0].sum() == pytest.approx(1, abs=1e-4) and p[0].argmax() == 0 for p in with_zero)
