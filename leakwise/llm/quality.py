@@ -3,12 +3,18 @@
 Each pair is a document labelled 1 preferred over one labelled 0; the logistic loss on the difference of their features
 gives the weights. The latent score is linear in the features. The cut-off is the quantile of the latent scores of the
 training rows at the share of rejected labels; the reported score is a logistic curve that passes through
-``cut_score`` there. The fit uses about ``max_rows`` labelled rows: those whose id has a hash below the share wanted.
+``cut_score`` there. The fit uses about ``max_rows`` labelled rows (those whose id has a hash below the share wanted) and
+``pairs`` pairs drawn from them.
+
+Features are shape (lengths, repeats, symbols, case) and words: shares of the words whose hash falls into each of
+``WORD_BUCKETS`` buckets, penalised more, so that few labels fit the shape only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,15 +23,18 @@ from pyspark.sql import functions as F
 
 #: The characters of the symbol feature (a fixed value).
 SYMBOLS = b"#*$%&|<>"
-N_FEATURES = 12
+N_SHAPE, WORD_BUCKETS = 12, 64
+N_FEATURES = N_SHAPE + WORD_BUCKETS
+#: How much heavier the penalty on a word bucket is.
+WORD_PENALTY = 30.0
 
 
 def features(text: str | None) -> list[float]:
-    """Features of one whole text; all are 0 for an empty one but the flag of emptiness."""
+    """Features of one whole text, shape and words; all are 0 for an empty one but the flag of emptiness."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        return [0.0] * (N_FEATURES - 1) + [1.0]
+        return [0.0] * (N_SHAPE - 1) + [1.0] + [0.0] * WORD_BUCKETS
     n, size = len(words), len(raw)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     symbols = sum(raw.count(bytes([c])) for c in SYMBOLS)
@@ -34,6 +43,10 @@ def features(text: str | None) -> list[float]:
     digits = size - len(raw.translate(None, b"0123456789"))
     punctuation = size - len(raw.translate(None, b"!?,.;:'\"()-_"))
     rate = lambda x, of: np.log1p(100.0 * x / of)
+    tally = Counter(raw.lower().split())
+    buckets = [0] * WORD_BUCKETS
+    for word, count in tally.items():
+        buckets[crc32(word) % WORD_BUCKETS] += count
     return [
         np.log(n),
         rate(upper, n),
@@ -47,6 +60,7 @@ def features(text: str | None) -> list[float]:
         rate(raw.count(b"|"), n),
         rate(punctuation, size),
         0.0,
+        *np.sqrt(np.array(buckets) / n).tolist(),
     ]
 
 
@@ -76,11 +90,11 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, cut_score: float = 0.3, pairs: int =
     z = np.clip((x - center) / scale, -8, 8)
     rng = np.random.default_rng(seed)
     d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(z.shape[1])
+    w, penalty = np.zeros(z.shape[1]), l2 * np.where(np.arange(z.shape[1]) < N_SHAPE, 1.0, WORD_PENALTY)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-d @ w))
-        gradient = -(d * (1 - p)[:, None]).mean(0) + l2 * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + l2 * np.eye(len(w))
+        gradient = -(d.T @ (1 - p)) / pairs + penalty * w
+        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -101,15 +115,17 @@ def feature_column(text: str) -> Column:
 def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on the labelled rows of ``docs`` for which ``learn`` (an expression of doc_id) is true.
 
-    Null ids and labels other than 0 and 1 are left out; an id with several labels counts once per label.
+    Null ids and labels other than 0 and 1 are left out. An id counts once for each of its labels, however often it is
+    labelled or stands in ``docs`` (with the smallest features of its texts).
     """
-    seen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label in (0, 1)").where(learn)
+    seen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label in (0, 1)").where(learn).distinct()
     # a hash below the share of rows wanted, so that no task has to sort or gather the labels
     share = min(1.0, max_rows / max(1, seen.count()))
     sample = seen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(int(share * (1 << 31))))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # about max_rows rows of two numbers
-    got = texts.join(F.broadcast(sample), "doc_id").select(feature_column("text").alias("x"), "label").toPandas()
+    # about max_rows rows
+    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", feature_column("text").alias("x"))
+    got = found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).toPandas()
     x = np.array(got.x.tolist(), float).reshape(-1, N_FEATURES)
     order = np.lexsort([*x.T, got.label.to_numpy(float)])  # the fit doesn't depend on the order of arrival
     return fit_pairs(x[order], got.label.to_numpy(float)[order])

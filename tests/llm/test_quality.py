@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leakwise.llm.quality import N_FEATURES, features, fit_pairs, quality_scores
+from leakwise.llm.quality import N_FEATURES, N_SHAPE, WORD_PENALTY, features, fit_pairs, learn_quality, quality_scores
 from leakwise.llm.quality_rules import WINDOW, apply_rules, binomial_cdf, certified, counts, repeat_words
 
 SHAPE = "doc_id long, text string, lang string, label long, score double"
@@ -54,6 +54,37 @@ def test_pairs_are_fit_to_the_logistic_loss():
     assert all(len(features(t)) == N_FEATURES for t in (None, "", " ", "x\x00é", "#" * 9))
 
 
+def test_the_fit_is_the_least_loss():
+    """Against the loss written out pair by pair: no step from the fitted weights lowers it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, N_FEATURES))
+    y = (x[:, 1] + x[:, N_SHAPE] + rng.logistic(size=60) > 0).astype(float)
+    model, pairs, l2 = fit_pairs(x, y, pairs=300), 300, 1e-3
+    z, draw = np.clip((x - x.mean(0)) / x.std(0), -8, 8), np.random.default_rng(7)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    first, second = draw.choice(good, pairs), draw.choice(bad, pairs)
+
+    def loss(w):
+        each = [np.log1p(np.exp(-float((z[i] - z[j]) @ w))) for i, j in zip(first, second, strict=True)]
+        return sum(each) / pairs + l2 / 2 * sum((1 if k < N_SHAPE else WORD_PENALTY) * v * v for k, v in enumerate(w))
+
+    least = loss(model.weights)
+    for k in rng.choice(N_FEATURES, 12, replace=False):
+        for step in (1e-3, -1e-3):
+            moved = model.weights.copy()
+            moved[k] += step
+            assert loss(moved) > least
+
+
+def test_an_id_counts_once_for_each_label(spark):
+    rows, labels = corpus(200)
+    more = rows + rows[:50] * 3
+    frames = [spark.createDataFrame([(*r, 3, 0.5) for r in x], SHAPE) for x in (rows, more)]
+    tables = [spark.createDataFrame(x, LABELS) for x in (labels, labels * 3)]
+    models = [learn_quality(f, t, F.lit(True)) for f, t in zip(frames, tables, strict=True)]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].cut == models[1].cut
+
+
 @settings(deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60))
 def test_repeat_words_follow_their_definition(words):
