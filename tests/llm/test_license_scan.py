@@ -3,6 +3,7 @@ import random
 import pytest
 
 from leakwise.llm.license_scan import TEMPLATES, WIDTH, Scanner, license_scan, word_form
+from leakwise.llm.licenses import PARAGRAPHS, read_templates
 
 
 def brute(text, templates, threshold=0.8):
@@ -48,6 +49,33 @@ def test_bands_of_several_rows_keep_exact_copies():
     assert {(i, name) for i, name, *_ in got} >= set(enumerate(TEMPLATES))
 
 
+def test_recall_on_edited_copies():
+    """Every licence paragraph is found where a run of its words was replaced, up to what leaves 0.8 of its shingles."""
+    rng, scanner = random.Random(6), Scanner(TEMPLATES)
+    texts, names = [], []
+    for name, text in PARAGRAPHS.items():
+        words = text.split()
+        for _ in range(10):
+            lost = max(0, (len(words) - WIDTH + 1) // 5 - 2 * WIDTH)
+            edited = list(words)
+            if lost:
+                at = rng.randrange(len(words) - lost)
+                edited[at : at + rng.randrange(1, lost + 1)] = ["changed"]
+            around = ["other"] * rng.randrange(20)
+            texts.append(" ".join([*around, *edited, *around]).encode())
+            names.append(name)
+    found = {(i, name) for i, name, *_ in scanner.scan(texts)}
+    assert all((i, name) in found for i, name in enumerate(names))
+
+
+def test_templates_from_files(spark, tmp_path):
+    (tmp_path / "own.txt").write_text("Title\n\n" + "one two three four five six seven eight\nnine ten eleven twelve\n\n1.\n")
+    found = read_templates(spark, str(tmp_path))
+    assert found == {"own-1": "one two three four five six seven eight nine ten eleven twelve"}
+    frame = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten eleven twelve")], "doc_id long, text string")
+    assert [r.first_word for r in license_scan(frame, found).collect()] == [1]
+
+
 def test_frame_cases(spark):
     shape = "doc_id long, text string, template string, windows long"
     mit = TEMPLATES["mit-notice"]
