@@ -1,9 +1,12 @@
 import importlib.util
+import re
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 sys.path.insert(0, str(ROOT))
@@ -45,6 +48,77 @@ def test_stages_and_run(spark, folder):
         assert sorted(parts)[0][0] == 0 and sum(n for _, n in parts) <= 1024
 
 
+def test_each_stage_equals_brute_force(spark, folder):
+    import corpus_pipeline as p
+    from leakwise.llm.common import remainder
+    from leakwise.llm.mixing import order_key
+    from leakwise.llm.packing import cut
+    from leakwise.llm.quality import features, learn_quality
+    from test_dedup import brute_components, slow_fingerprint
+    from test_mixing import brute_budgets
+    from test_packing import best_fit_one_by_one, plain_encoder
+
+    docs, rows = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    columns = docs.columns
+    rows["input"] = [tuple(r) for r in docs.collect()]
+    models = {"quality": learn_quality(docs, p.labels(spark, folder), remainder("doc_id", 5) != 0)}
+    for name, stage in p.STAGES[:-1]:
+        docs = p.written(stage(spark, docs, folder), name)
+        rows[name] = [tuple(r) for r in docs.collect()]
+    high = lambda i: (i is None, i or 0)
+
+    score = models["quality"].score(np.array([features(r[1]) for r in rows["input"]]))
+    assert Counter(rows["quality"]) == Counter(r for r, s in zip(rows["input"], score, strict=True) if s >= p.CUT_SCORE)
+
+    groups = defaultdict(list)
+    for r in rows["quality"]:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")].append(r)
+    assert {r[0] for r in rows["dedup_exact"]} == {min((r[0] for r in g), key=high) for g in groups.values()} and len(rows["dedup_exact"]) == len(groups)
+
+    fps = {r: slow_fingerprint(r[1]) for r in rows["dedup_exact"]}
+    roots = brute_components(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 2)
+    groups = defaultdict(list)
+    for r, f in fps.items():
+        groups[roots[f]].append(r)
+    assert {r[0] for r in rows["dedup_near"]} == {min((r[0] for r in g), key=high) for g in groups.values()} and len(rows["dedup_near"]) == len(groups)
+
+    leaves = defaultdict(list)
+    for i, text, lang, source, _ in rows["dedup_near"]:
+        number = re.search("[0-9]{1,9}$", source or "")
+        leaves[f"d{int(number[0]) % 4 if number else 0}", lang or "", source or ""].append((i, len((text or "").split())))
+    budgets = brute_budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, p.MIX)
+    want = Counter()
+    for leaf, members in leaves.items():
+        total = sum(n for _, n in members)
+        passes, rest = divmod(budgets[leaf], total) if total else (0, 0)
+        ids = spark.createDataFrame([(i, n) for i, n in members], "doc_id long, n long").withColumn("key", order_key(p.MIX.seed, F.lit(passes), "doc_id"))
+        want += Counter({i: passes for i, _ in members if passes})
+        upto, closed = 0, rest == 0
+        for i, n, _ in sorted(map(tuple, ids.collect()), key=lambda x: x[2]):
+            upto += n
+            closed = closed or upto > rest
+            want[i] += not closed
+    assert Counter(r[0] for r in rows["mix_sources"]) == +want
+
+    got, encode = p.packing(spark, docs, folder).collect(), plain_encoder()
+    pieces = [(r[0], k, start, n) for r in rows["mix_sources"] for k, (start, n) in enumerate(cut(len(encode(r[1] or "")) + 1, 1024))]
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in got) == Counter(pieces)
+    assert len({r.sequence_id for r in got}) == best_fit_one_by_one([n for *_, n in pieces], 1024)
+    assert docs.columns == columns
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, folder):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit("x") for c in ("digest", "score", "key", "tokens", "copies", "stays", "root", "capacity", "budget", "place", "id_of")})
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        after = stage(spark, docs, folder)
+        kept = [r.asDict() for r in after.collect()]
+        assert after.columns == docs.columns and kept and all(r[c] == "x" for r in kept for c in docs.columns[5:]), name
+    assert p.packing(spark, docs.limit(0), folder).count() == 0 and p.packing(spark, docs, folder).count() > 0
+
+
 def test_each_query_is_registered():
     spec = importlib.util.spec_from_file_location("entry_module", ROOT / "__spark_entry__.py")
     module = importlib.util.module_from_spec(spec)
