@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -136,9 +137,9 @@ def _scopes(finding: Get, exception: Get) -> dict[str, Column]:
     }
 
 
-#: Exceptions are written by people; a policy with more than this is refused rather than broadcast.
+#: Exceptions are written by people and become part of the plan; a policy with more than this is refused.
 MAX_EXCEPTIONS = 10_000
-#: Up to this many are literals of one expression, so matching needs neither a join nor a shuffle.
+#: Up to this many are compiled into one expression; the result doesn't depend on it.
 MAX_LITERALS = 64
 
 
@@ -155,12 +156,12 @@ def usable_exceptions(exceptions: DataFrame, now: Column) -> list[Row]:
     return sorted((r for r in held if not inert(r)), key=lambda r: (r["ord"], r["id"]))
 
 
-def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column, key: str = "finding_id", max_literals: int = MAX_LITERALS) -> DataFrame:
-    """``findings`` with suppressed and exception_id: the first active exception, by ``ord``, that covers each.
+def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column, max_literals: int = MAX_LITERALS) -> DataFrame:
+    """``findings`` with suppressed and exception_id: the first active exception, by ``ord``, that covers each row.
 
-    Patterns that don't compile make an exception inert. A few exceptions become one expression over each row. Many
-    are broadcast, after the check of their number: those with a hash meet the findings in an equi-join, the others
-    in a nested loop, and the first hit per ``key`` is joined back.
+    Patterns that don't compile make an exception inert. Each row is judged by itself, in a projection without a join: a
+    few exceptions become one expression; many become one literal array for each type, in their order, of which a row
+    takes the first that fits (those with a hash by a look-up). Both forms give the same result.
     """
     good = usable_exceptions(exceptions, now)
     if len(good) <= max_literals:
@@ -171,26 +172,44 @@ def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column, ke
             if scope is not None:
                 first = F.when(_rule_fits(F.col, literal) & F.coalesce(scope, F.lit(False)), r["id"]).otherwise(first)
         return findings.withColumn("exception_id", first).withColumn("suppressed", F.col("exception_id").isNotNull())
-    table = findings.sparkSession.createDataFrame(good, exceptions.schema)
-    of_f, of_x = (lambda name: F.col(f"f.{name}")), (lambda name: F.col(f"x.{name}"))
-    scope = F.lit(False)
-    for kind, test in _scopes(of_f, of_x).items():
-        scope = F.when(F.col("x.type") == kind, F.coalesce(test, F.lit(False))).otherwise(scope)
-    fits = _rule_fits(of_f, of_x) & scope
-    by_hash = F.col("type").isin("globalHash", "value", "pathHash")
-    f = findings.alias("f")
-    hashed = f.join(F.broadcast(table.where(by_hash).alias("x")), (F.col("f.sha256") == F.col("x.secret_checksum")) & fits)
-    others = f.join(F.broadcast(table.where(~by_hash).alias("x")), fits)
-    hits = reduce(DataFrame.unionByName, [j.select(F.col(f"f.{key}").alias(key), F.struct("x.ord", "x.id").alias("hit")) for j in (hashed, others)])
-    first = hits.groupBy(key).agg(F.min("hit").alias("_hit"))
-    joined = findings.drop("suppressed", "exception_id").join(first, key, "left")
-    return joined.withColumns({"suppressed": F.col("_hit").isNotNull(), "exception_id": F.col("_hit.id")}).drop("_hit")
-
-
-def reconcile(findings: DataFrame, exceptions: DataFrame, now: Column, key: str = "finding_id") -> DataFrame:
+    of_type: dict[str, list[tuple[int, Row]]] = {}
+    for place, r in enumerate(good):
+        of_type.setdefault(r["type"], []).append((place, r))
+    found = [_first_of_type(kind, rows) for kind, rows in of_type.items() if kind in _scopes(F.col, F.col)]
+    least = F.array_min(F.array(*found)) if found else F.lit(None).cast(HIT)
+    return findings.withColumn("exception_id", least["id"]).withColumn("suppressed", F.col("exception_id").isNotNull())
+
+
+HIT = "struct<place:int,id:string>"
+_HELD = "place int, id string, rule_id string, path string, line_start int, line_end int, secret_checksum string, string_match string, regex_match string"
+
+
+def _first_of_type(kind: str, rows: list[tuple[int, Row]]) -> Column:
+    """The first exception of a type that covers the row, as (place, id); null without one."""
+    names = [x.split()[0] for x in _HELD.split(", ")]
+    held = [{n: place if n == "place" else r[n] for n in names} for place, r in rows]
+    shape = f"struct<{', '.join(':'.join(x.split()) for x in _HELD.split(', '))}>"
+    if kind in ("globalHash", "value", "pathHash"):  # only those of the row's hash
+        by_hash: dict[str, list[dict]] = {}
+        for x in held:
+            by_hash.setdefault(x["secret_checksum"] or "", []).append(x)
+        table = F.from_json(F.lit(json.dumps(by_hash)), f"map<string, array<{shape}>>")
+        candidates = F.coalesce(F.try_element_at(table, F.coalesce(F.col("sha256"), F.lit(""))), F.array().cast(f"array<{shape}>"))
+    else:
+        candidates = F.from_json(F.lit(json.dumps(held)), f"array<{shape}>")
+
+    def fits(x: Column) -> Column:
+        of_x = lambda name: x[name]
+        return _rule_fits(F.col, of_x) & F.coalesce(_scopes(F.col, of_x)[kind], F.lit(False))
+
+    first = F.try_element_at(F.filter(candidates, fits), F.lit(1))
+    return F.when(first.isNotNull(), F.struct(first["place"].alias("place"), first["id"].alias("id"))).cast(HIT)
+
+
+def reconcile(findings: DataFrame, exceptions: DataFrame, now: Column) -> DataFrame:
     """A second pass after a scan: findings that an exception covers by now become suppressed; none is released."""
     before = findings.withColumns({"_was": F.col("suppressed"), "_by": F.col("exception_id")})
-    again = match_exceptions(before, exceptions, now, key)
+    again = match_exceptions(before, exceptions, now)
     return again.withColumns({"exception_id": F.when(F.col("_was"), F.col("_by")).otherwise(F.col("exception_id")), "suppressed": F.col("suppressed") | F.col("_was")}).drop("_was", "_by")
 
 
