@@ -41,11 +41,17 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
 
+#: Tables up to this size may be dealt over all cores.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt over all cores if they come in fewer splits than there are cores (a small file in one row group);
-    tables with at least as many splits, so all large ones, stay as they are."""
+    """``rows`` dealt over all cores if they are small by the optimizer's estimate and come in fewer splits than there are
+    cores (a small file in one row group); larger tables stay as they are, however many cores there are."""
+    plan = rows._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if size <= SPREAD_BYTES and plan.toRdd().getNumPartitions() < cores else rows
 
 
 def documents_as_files(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
