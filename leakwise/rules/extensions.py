@@ -1,6 +1,7 @@
 """Extension tables: which files are text, which are confidential.
 
-The defaults are short. Larger tables are parameters: :func:`read_table` reads a CSV of extension and description.
+The defaults are the common kinds. Tables over some 200 entries are parameters: :func:`read_table` reads a CSV of extension
+and description, and ``ExtensionTables.with_files`` takes a folder of them.
 Extensions are compared with their case and include the dot.
 """
 
@@ -12,8 +13,12 @@ from pathlib import Path
 
 # ---- Fixed values. ----
 TEXT = (
-    ".java .scala .groovy .jsp .do .jad .c .cc .cxx .cpp .cp .c++ .bcc .php2 .php .c-- .hc .hpp .hxx .m .swift .h .cs .c# .vb .vba .vbs .aspx .py .pyt "
-    ".rb .erb .lua .asmx .f .f95 .ash .tcl .ml .pl .cbl .go .kt .hh .h++ .xml .yaml .yml .json .conf .txt .log .sql .sh .bat .ps1 .js .ts .csv .md .html .htm .css"
+    ".ada .adb .adoc .ads .am .ash .asm .asmx .asp .aspx .atom .awk .bat .bcc .bib .c .c# .c++ .c-- .cbl .cc .cmake .cob .conf .config .cp .cpp "
+    ".cs .cshtml .css .csv .cxx .d .dart .diff .dml .do .dpr .dtd .el .eml .erb .erl .ex .f .f90 .f95 .for .fs .fsx .ftl .gemspec .go .gradle "
+    ".groovy .gsp .h .h++ .haml .hbs .hc .hh .hpp .hs .htm .html .hxx .in .inc .jad .java .jl .js .json .jsp .jspf .jspx .kt .less .lhs .lisp "
+    ".log .lsp .lst .lua .m .m4 .mak .make .md .mjs .mk .ml .mm .nfo .nim .out .pas .patch .php .php2 .pl .pli .pm .po .pod .pot .proto .ps1 "
+    ".psd1 .psm1 .py .pyt .r .rb .resx .rkt .rs .rss .rst .rtf .ru .s .sass .scala .scm .scss .sed .sgml .sh .sol .sql .ss .strings .swift .t "
+    ".tcl .tex .tpl .ts .tsv .twig .txt .v .vb .vba .vbs .vcf .vhd .vm .wsdl .xhtml .xml .xsd .xsl .xslt .yaml .yml "
 ).split()
 DANGEROUS_NAMES = {"id_rsa": "SSH private key", "id_dsa": "SSH private key", "keystore": "Java key store"}
 CERTIFICATES = {
@@ -22,8 +27,17 @@ CERTIFICATES = {
     ".ks": "Java key store", ".keystore": "Java key store", ".jceks": "Java key store", ".ubr": "Java key store", ".bks": "Java key store",
     ".sst": "Microsoft certificate store", ".sto": "Microsoft certificate store",
 }
-FINANCIAL = {".qif": "Quicken interchange file", ".ofx": "Open financial exchange", ".qbw": "QuickBooks data", ".gnucash": "GnuCash data", ".mny": "Money data"}
-DANGEROUS = {".gpg": "Encrypted file", ".pgp": "Encrypted file", ".asc": "Armoured file", ".kdb": "Password database", ".kdbx": "Password database", ".enc": "Encoded file", ".aes": "Encrypted file"}
+FINANCIAL = {
+    ".iif": "QuickBooks interchange format", ".mny": "Microsoft Money data", ".ofx": "Open Financial Exchange format", ".qbw": "QuickBooks company data",
+    ".qdf": "Quicken financial data", ".qfx": "Quicken Financial Exchange format", ".qif": "Quicken Interchange Format", ".tax": "TurboTax tax return",
+}
+DANGEROUS = {
+    ".aes": "AES Crypt encrypted data", ".agilekeychain": "1Password data", ".asc": "PGP (Pretty Good Privacy) signature",
+    ".enc": "Uuencode encoded data or BlackIce PC Protection evidence log or CopySafe PDF encrypted document or Media Safe encrypted data",
+    ".fve": "Windows BitLocker full volume encrypted data", ".gpg": "GNU Privacy Guard public keyring", ".kdb": "KeePass encrypted passwords database",
+    ".kdbx": "KeePass password database", ".key": "Licence or encrypted security key", ".keychain": "Apple Keychain password data",
+    ".p12": "PFX file (Personal Information Exchange)", ".pgp": "Pretty Good Privacy encrypted key",
+}
 #: Always scanned, however large.
 RECOGNISED = (".java", ".scala", ".kt", ".go", ".c", ".cpp", ".cc", ".c++", ".h++", ".hh", ".hpp", ".xml", ".json", ".yaml", ".yml", ".rb", ".erb", ".conf")
 PRUNED_FOLDERS = (
