@@ -8,7 +8,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakwise.functions import paths
@@ -77,15 +77,35 @@ def sarif_lines(findings: DataFrame, tool: str = "leakwise") -> DataFrame:
     result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), prints.alias("partialFingerprints")))
     body = sarif_results(findings).select(F.lit(1).alias("part"), F.coalesce("uri", F.lit("")).alias("uri"), F.col("start_line").alias("line"), result.alias("text"))
     # the first result goes without a comma, together with any that equal it
-    first = body.groupBy("text").agg(F.count("*").alias("n"), F.min(F.struct("uri", "line")).alias("at")).orderBy("at", "text").limit(1).collect()
-    lead = ",".join([first[0]["text"]] * first[0]["n"]) if first else ""
+    low = body.agg(F.min(F.struct("uri", "line", "text")).alias("low")).first()["low"]
+    same = F.col("text") == F.lit(low["text"]) if low else F.lit(False)
+    lead = ",".join([low["text"]] * body.where(same).count()) if low else ""
     ends = findings.sparkSession.createDataFrame([(0, "", 0, head + lead), (2, "", 0, "]}]}")], "part int, uri string, line long, text string")
-    rest = body.where(F.col("text") != F.lit(first[0]["text"])) if first else body
-    return ends.unionByName(rest.withColumn("text", F.concat(F.lit(","), "text"))).orderBy("part", "uri", "line", "text")
+    return ends.unionByName(body.where(~same).withColumn("text", F.concat(F.lit(","), "text"))).orderBy("part", "uri", "line", "text")
 
 
 def write_sarif(findings: DataFrame, path: str) -> None:
-    sarif_lines(findings).select("text").coalesce(1).write.mode("overwrite").text(path)
+    """The file in parts below ``path``, sorted and written in parallel: joined in the order of their names they are the
+    file, which :func:`join_parts` writes."""
+    sarif_lines(findings).select("text").write.mode("overwrite").text(path)
+
+
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """One file out of the parts of a folder, streamed through the file system's own copy."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, to = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(target)
+    system = source.getFileSystem(conf)
+    parts = sorted((s.getPath().getName(), s) for s in system.listStatus(source) if s.getPath().getName().startswith("part-"))
+    out = to.getFileSystem(conf).create(to)
+    try:
+        for _, status in parts:
+            piece = system.open(status.getPath())
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, conf, False)
+            finally:
+                piece.close()
+    finally:
+        out.close()
 
 
 def write_results(findings: DataFrame, path: str) -> None:
