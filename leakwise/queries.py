@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakwise import corpus
 from leakwise.functions import paths
 from leakwise.functions import text as tx
 from leakwise.operators import exclusions as ex
@@ -293,15 +294,27 @@ def exception_matches(spark, sf_dir):
     return ex.match_exceptions(rows, exceptions(spark), F.expr(NOW)).select("doc_id", "rule", "raw_start", "suppressed", "exception_id")
 
 
+def many_exceptions(spark: SparkSession) -> DataFrame:
+    """The fixed list among more than are compiled into one expression: 200 that cover nothing, of all kinds, in front."""
+    idle = [(f"n{i}", -i, "*", "active", None, k, "/nowhere/x", 1, 1, "0" * 64, "no such text", "no such (text|word)") for i in range(1, 41) for k in ("globalString", "pathRegex", "globalHash", "file", "globalRegex")]
+    return exceptions(spark).unionByName(spark.createDataFrame(idle, EXCEPTION))
+
+
+@query(SQL["exception_matches"])
+def exception_matches_of_many(spark, sf_dir):
+    rows = findings(spark, sf_dir).withColumns({"finding_id": F.expr(KEY), "source": F.col("value")})
+    return ex.match_exceptions(rows, many_exceptions(spark), F.expr(NOW)).select("doc_id", "rule", "raw_start", "suppressed", "exception_id")
+
+
 @query(
     "WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'revoked' ELSE 'active' END AS status, ts AS expires_at FROM events), m AS (SELECT max(ts) - INTERVAL 12 HOUR AS now FROM events) "
     "SELECT id, CASE WHEN status = 'active' AND expires_at < now THEN 'expired' ELSE status END AS status FROM e, m"
 )
 def exception_expiry(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    now = events.agg(F.max("ts") - F.expr("interval 12 hours")).first()[0]
+    now = events.agg(F.max("ts") - F.expr("interval 12 hours")).scalar()
     rows = events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "revoked").otherwise("active").alias("status"), F.col("ts").alias("expires_at"))
-    return ex.with_expiry(rows, F.lit(now)).select("id", "status")
+    return ex.with_expiry(rows, now).select("id", "status")
 
 
 @query(
@@ -361,6 +374,16 @@ def unscanned_heads(spark, sf_dir):
     return history.commits_to_scan(commits, commits.where("branch % 2 = 0 and hash % 3 = 0")).select("repository", "branch", "hash")
 
 
+@query(SQL["unscanned_heads"].replace("WHERE is_head AND (repository", "WHERE (repository").replace("ORDER BY time DESC, hash", "ORDER BY is_head DESC, time DESC, hash"))
+def unscanned_commits(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    commits = o.select(
+        F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string")).alias("repository"), (F.col("o_custkey") % 60).alias("branch"), F.col("o_orderkey").alias("hash"),
+        F.col("o_orderdate").alias("time"), (F.col("o_orderkey") % 4 == 0).alias("is_head"),
+    )
+    return history.commits_to_scan(commits, commits.where("branch % 2 = 0 and hash % 3 = 0"), older=True).select("repository", "branch", "hash")
+
+
 @query(
     """WITH c AS (SELECT o_custkey % 60 AS branch, o_orderkey AS hash, o_orderdate AS time FROM orders),
 l AS (SELECT branch, max(time) AS t FROM c WHERE branch % 2 = 0 AND hash % 3 = 0 GROUP BY branch)
@@ -622,6 +645,16 @@ def finding_rates(spark, sf_dir):
 # -- the full finders (their dialect and order of steps can't be put in SQL; tests hold their results) ----------------------------
 
 
+@query(corpus.findings_sql())
+def finder_corpus(spark, sf_dir):
+    rows = spark.createDataFrame(list(corpus.FILES), "repo_index int, path string, text string")
+    found = scan_files(rows.withColumns({"content": F.encode("text", "utf-8"), "size": F.octet_length("text").cast("long")}))
+    return found.select(
+        "repo_index", "location", "provider_id", "headline", "confidence", "start_line", "start_char", "raw_start", "raw_end",
+        F.coalesce("value", F.lit("")).alias("value"), "sha256", F.array_join("tags", " ").alias("tags"),
+    )
+
+
 @query()
 def scan_findings(spark, sf_dir):
     found = scan_files(files(spark, sf_dir))

@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,8 +11,9 @@ from leakwise.functions import paths
 from leakwise.functions import text as tx
 from leakwise.operators import exclusions as ex
 from leakwise.operators import gate as g
-from leakwise.operators import history, overlap, policy, scoring, triage
+from leakwise.operators import history, matches, overlap, policy, scoring, triage
 from leakwise.operators.finders import Exclusions, trim_quotes
+from leakwise.operators.matches import PatternRule
 from leakwise.rules.extensions import ExtensionTables, read_table
 from leakwise.schema import EXCEPTION, confidence_name, confidence_number
 
@@ -186,11 +188,44 @@ def test_exception_scopes(spark):
         many = own if many is None else many.unionByName(own)
         rule = {"*": f"rule{i}", "rule": f"rule{i}"}.get(values.get("rule_id", "*"), "none")
         rules.append(exception(i, kind, **(values | {"rule_id": rule})))
-    for literals in (64, 0):  # one expression, and the joins
+    for literals in (64, 0):  # one expression, and literal arrays
         got = {r.finding_id: r.suppressed for r in ex.match_exceptions(many, spark.createDataFrame(rules, EXCEPTION), now, max_literals=literals).collect()}
         assert [got[f"f{i}"] for i in range(len(SCOPES))] == [w for *_, w in SCOPES]
 
 
+def test_both_forms_of_exceptions_judge_each_row(spark):
+    """Rows that repeat a key or have none, under 63, 64 and 65 exceptions."""
+    now = F.lit(datetime.datetime(2024, 1, 1))
+    rows = [("k", "rule", "/r/a.go", "h1", "secret A", 1), ("k", "rule", "/r/b.go", "h2", "secret B", 2), (None, "rule", "/r/a.go", None, "secret A", 1), ("k", None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "finding_id string, headline string, location string, sha256 string, source string, start_line long")
+    want = [("/r/a.go", None, "e900"), ("/r/a.go", "h1", "e900"), ("/r/b.go", "h2", "e901"), (None, None, None)]
+    for n in (63, 64, 65):
+        idle = [exception(i, "globalString", string_match=f"absent {i}") for i in range(n - 2)]
+        table = spark.createDataFrame([*idle, exception(900, "globalString", string_match="A"), exception(901, "globalHash", secret_checksum="h2")], EXCEPTION)
+        got = [(r.location, r.sha256, r.exception_id) for r in ex.match_exceptions(frame, table, now).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), n
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="a1é\n 2", max_size=30), min_size=1, max_size=12))
+def test_pattern_findings_follow_re(spark, texts):
+    """Offsets and places of all matches, with blocks of 3 and of 128 matches."""
+    rules = (PatternRule("digits", "[0-9]+", 1), PatternRule("lines", "a\n", 2, "a"))
+    want = []
+    for i, text in enumerate(texts):
+        for r in rules:
+            for m in re.finditer(r.pattern, text):
+                before = text[: m.start()].encode()
+                want.append((i, r.id, r.confidence, m[0], len(before), len(before) + len(m[0].encode()), before.count(b"\n"), len(before) - (before.rfind(b"\n") + 1)))
+    frame = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, text string")
+    for block in (3, 128):
+        old, matches.BLOCK = matches.BLOCK, block
+        try:
+            assert sorted(map(tuple, matches.pattern_findings(frame, rules, ("i",)).collect())) == sorted(want)
+        finally:
+            matches.BLOCK = old
+
+
 def test_first_exception_wins_and_reconcile_is_one_way(spark):
     now = F.lit(datetime.datetime(2024, 1, 1))
     table = spark.createDataFrame([exception(9, "global"), exception(2, "globalHash", secret_checksum="h1"), exception(5, "globalString", string_match="secret")], EXCEPTION)

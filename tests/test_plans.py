@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 import sys
 from pathlib import Path
 
@@ -66,7 +67,10 @@ def test_scan_of_roots(spark, corpus):
 
 def test_the_scan_has_no_shuffle(spark, corpus):
     text = plan.scan_paths(spark, roots(corpus))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in text and "MapInPandas" in text
+    nodes = re.findall(r"(?m)^[\s:+*()\d-]*(\w+)", text)  # the operators, not the words of their tables
+    assert not [n for n in nodes if "Exchange" in n] and "MapInPandas" in nodes
+    shuffled = plan.scan_paths(spark, roots(corpus)).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert [n for n in re.findall(r"(?m)^[\s:+*()\d-]*(\w+)", shuffled) if "Exchange" in n]
 
 
 def test_locations_and_tags_of_repositories(spark, corpus):
@@ -123,13 +127,15 @@ def test_reports(spark, corpus, tmp_path):
     found = plan.scan_paths(spark, roots(corpus)).withColumn("tags", F.concat("tags", F.array(F.lit("team=x"))))
     twice = found.unionByName(found)
     reports.write_sarif(twice, f"{tmp_path}/sarif")
-    doc = json.loads("".join(p.read_text() for p in Path(f"{tmp_path}/sarif").glob("part-*")))
+    reports.join_parts(spark, f"{tmp_path}/sarif", f"{tmp_path}/all.sarif")
+    doc = json.loads(Path(f"{tmp_path}/all.sarif").read_text())
+    assert Path(f"{tmp_path}/all.sarif").read_text() == "".join(p.read_text() for p in sorted(Path(f"{tmp_path}/sarif").glob("part-*")))
     run = doc["runs"][0]
     assert doc["version"] == "2.1.0" and len(run["results"]) == twice.count()
     assert {r["ruleId"] for r in run["results"]} == {r["id"] for r in run["tool"]["driver"]["rules"]}
     assert all(x["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1 for x in run["results"])
     reports.write_sarif(found.limit(0), f"{tmp_path}/none")
-    assert json.loads("".join(p.read_text() for p in Path(f"{tmp_path}/none").glob("part-*")))["runs"][0]["results"] == []
+    assert json.loads("".join(p.read_text() for p in sorted(Path(f"{tmp_path}/none").glob("part-*"))))["runs"][0]["results"] == []
     reports.write_csv(found, f"{tmp_path}/csv")
     back = spark.read.csv(f"{tmp_path}/csv", header=True)
     assert tuple(back.columns) == (*reports.CSV_COLUMNS, "team") and back.count() == found.count() and {r.team for r in back.collect()} == {"x"}
@@ -188,6 +194,13 @@ def test_streams_of_clean_files_and_restarts(spark, tmp_path):
         assert sorted(r.suppressed or False for r in spark.read.schema(shape).parquet(out).collect()) == [False, True]
 
 
+def test_only_small_tables_are_spread(spark, monkeypatch):
+    one = spark.range(1000).coalesce(1)
+    assert sf.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(sf, "SPREAD_BYTES", 10)
+    assert sf.spread(one).rdd.getNumPartitions() == 1
+
+
 def test_progress_and_rates(spark):
     rows = [("s", i * 100, min(i, 5), 4, f"f{i}") for i in range(8)]
     events = spark.createDataFrame(rows, "scan_id string, ms long, position int, total int, current_file string").withColumn("at", F.timestamp_millis("ms"))
