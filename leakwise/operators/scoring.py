@@ -60,12 +60,35 @@ def shared_counts(findings: DataFrame, by: list[str], order: list[Column], stric
             (F.max("_test") & F.max(~F.col("_test"))).alias("_both"), *[F.count_if(~F.col("_test") & (F.col("confidence") == k)).alias(f"{n}_shared") for k, n in NAMES.items()]
         )
         return per_secret.where("_both").groupBy(*by).agg(*[F.sum(f"{n}_shared").alias(f"{n}_shared") for n in NAMES.values()])
-    upto = Window.partitionBy(*by, "sha256").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = base.withColumn("_both", F.max("_test").over(upto) & F.max(~F.col("_test")).over(upto))
+    # a common secret is dealt over parts in its order, so none is one task; each part is summed up for whichever kinds
+    # were seen before it, and of a secret's parts, at most as many as there are partitions, the earlier ones are added
+    secret = [*by, "sha256"]
+    parts = base.repartitionByRange(*secret, *order).withColumn("_part", F.spark_partition_id())
+    upto = Window.partitionBy(*secret, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = parts.withColumns({"_t": F.max("_test").over(upto), "_p": F.max(~F.col("_test")).over(upto)})
     for k, n in NAMES.items():
         counted = MEDIUM if k == CRITICAL else k
-        seen = seen.withColumn(f"_{n}", F.sum((~F.col("_test") & (F.col("confidence") == counted)).cast("long")).over(upto))
-    return seen.where("_both").groupBy(*by).agg(*[F.sum(f"_{n}").alias(f"{n}_shared") for n in NAMES.values()])
+        found = F.coalesce(~F.col("_test") & (F.col("confidence") == counted), F.lit(False))
+        seen = seen.withColumn(f"_{n}", F.sum(found.cast("long")).over(upto))
+    before = {"neither": F.col("_t") & F.col("_p"), "tests": F.col("_p"), "production": F.col("_t"), "both": F.lit(True)}
+    sums = [F.count_if(both).alias(f"_rows_{kind}") for kind, both in before.items()]
+    sums += [F.sum(F.when(both, F.col(f"_{n}")).otherwise(0)).alias(f"_{n}_{kind}") for n in NAMES.values() for kind, both in before.items()]
+    # running counts only grow, so a part's largest are its whole
+    whole = [F.max(c).alias(c) for c in ("_t", "_p", *[f"_{n}" for n in NAMES.values()])]
+    summed = seen.groupBy(*secret, "_part").agg(*sums, *whole)
+    earlier = Window.partitionBy(*secret).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    known = {c: F.coalesce(F.max(c).over(earlier), F.lit(False)) for c in ("_t", "_p")}
+    held = {f"_{n}_held": F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)) for n in NAMES.values()}
+    joined = summed.withColumns({"_t_held": known["_t"], "_p_held": known["_p"], **held})
+
+    def of(name: str) -> Column:
+        t, p = F.col("_t_held"), F.col("_p_held")
+        column = lambda kind: F.col(f"_{name}_{kind}")
+        return F.when(t & p, column("both")).when(t, column("tests")).when(p, column("production")).otherwise(column("neither"))
+
+    # as without parts, a scan none of whose secrets is of both kinds has no row
+    added = joined.where(of("rows") > 0)
+    return added.groupBy(*by).agg(*[F.sum(of(n) + of("rows") * F.col(f"_{n}_held")).alias(f"{n}_shared") for n in NAMES.values()])
 
 
 def model(findings: DataFrame, files: DataFrame, by: list[str], order: list[Column], strict: bool = True) -> DataFrame:

@@ -329,3 +329,35 @@ def test_triage_and_transformers(spark):
     assert scoring.token_usage(notes, []).first().tokens == 3 and triage.unannotated(notes).count() == 1
     assert triage.transform_report(rows, lambda f: f[f["value"] == "bad"]).count() == 1
     assert triage.transform_report(rows, lambda f: 1 / 0).count() == 2
+
+
+def test_shared_counts_of_a_secret_over_many_parts(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [
+        (rng.choice(["a", "b", None]), rng.choice(["hot"] * 6 + ["x", "y", "z", None]), rng.choice([0, 1, 2, 3, 4, None]), ["test"] if rng.random() < q else [], i)
+        for q in (0.0, 0.02, 0.5)
+        for i in rng.sample(range(5000), 400)
+    ]
+    rows = list({(r[0], r[1], r[4]): r for r in rows}.values())
+    frame = spark.createDataFrame(rows, "scan string, sha256 string, confidence int, tags array<string>, at int")
+    want = {}
+    for key in {(r[0], r[1]) for r in rows if r[1]}:
+        test = production = False
+        counts = dict.fromkeys(scoring.NAMES, 0)
+        for _, _, level, tags, _ in sorted((r for r in rows if (r[0], r[1]) == key), key=lambda r: -r[4]):
+            test, production = test or bool(tags), production or not tags
+            for k in counts:
+                counts[k] += not tags and level == (scoring.MEDIUM if k == scoring.CRITICAL else k)
+            if test and production:
+                total = want.setdefault(key[0], dict.fromkeys(scoring.NAMES.values(), 0))
+                for k, n in scoring.NAMES.items():
+                    total[n] += counts[k]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = scoring.shared_counts(frame.repartition(3), ["scan"], [F.col("at").desc()]).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert {r.scan: {n: r[f"{n}_shared"] for n in scoring.NAMES.values()} for r in got} == want
