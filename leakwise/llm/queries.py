@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakwise.llm.annulus_kmeans import annulus_kmeans
 from leakwise.llm.chat import ChatTemplate, format_chats, read_back, unescaped
 from leakwise.llm.common import documents, remainder
 from leakwise.llm.context_tree import lm_scores
@@ -209,10 +210,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_annulus_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = annulus_kmeans(embeddings(spark, sf_dir))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every vector compared with every centroid, round by round."""
+    pick = "arg_min(n, ({d}, n)) AS n, min({d}) AS d".format(d="list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT")
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, {pick} FROM p, c{i} GROUP BY rid)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT n, i, sum(v[i])::BIGINT AS s, count(*) AS m FROM a{i}, range(1, 65) AS t(i) GROUP BY ALL),
+m{i} AS (SELECT n, list((s - (s % m + m) % m) // m ORDER BY i) AS c FROM s{i} GROUP BY n),
+c{i + 1} AS MATERIALIZED (SELECT n, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (n))""")
+    return f"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS n, v AS c FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM p ORDER BY h, v LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, n::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (n)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, quality_rules_few_labels, exact_dedup_few_counters]
+    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, op11_annulus_kmeans, quality_rules_few_labels, exact_dedup_few_counters]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "exact_dedup_few_counters": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}
+    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "exact_dedup_few_counters": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "op11_annulus_kmeans": _op11_sql(), "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}
