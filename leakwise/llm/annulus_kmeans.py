@@ -94,12 +94,14 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
 
 
-def quantized(vector: str | Column, scale: int) -> Column:
-    """floor(scale * x) of each component, as long; raises for components beyond :data:`LARGEST`."""
+def quantized(vector: str | Column, scale: int, largest: int = LARGEST) -> Column:
+    """floor(scale * x) of each component, as long; a null or non-finite one is null, one beyond ``largest`` an error."""
 
     def one(x: Column) -> Column:
-        y = F.floor(x.cast("double") * scale)
-        return F.when(F.abs(y) <= LARGEST, y).otherwise(F.raise_error(F.lit(f"a component is beyond {LARGEST} after scaling")).cast("long"))
+        x = x.cast("double")
+        y = x * scale
+        refuse = F.raise_error(F.lit(f"a component is beyond {largest} after scaling")).cast("long")
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).when(F.abs(y) <= largest, F.floor(y)).when(x.isNotNull(), refuse)
 
     return F.transform(vector, one)
 

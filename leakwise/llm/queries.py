@@ -12,6 +12,7 @@ from leakwise.llm.chat import ChatTemplate, format_chats, read_back, unescaped
 from leakwise.llm.common import documents, remainder
 from leakwise.llm.context_tree import lm_scores
 from leakwise.llm.exact_dedup import exact_dedup
+from leakwise.llm.hard_negatives import hard_negatives
 from leakwise.llm.language_id import predict_languages
 from leakwise.llm.license_scan import TEMPLATES, WIDTH, license_scan, word_form
 from leakwise.llm.mixing import Targets, mix, word_count
@@ -242,10 +243,36 @@ FROM a{rounds} JOIN c{rounds} USING (n)
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(embeddings(spark, sf_dir).withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS MATERIALIZED (
+  SELECT a.rid AS key, a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+         coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0)::BIGINT AS score
+  FROM e a, e b WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT key, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE label = anchor_label AND vec_id <> anchor_id QUALIFY place <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.key = p.key AND s.label <> s.anchor_label AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.key, place ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, op11_annulus_kmeans, quality_rules_few_labels, exact_dedup_few_counters]
+    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, op11_annulus_kmeans, op12_hard_negatives, quality_rules_few_labels, exact_dedup_few_counters]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "exact_dedup_few_counters": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "op11_annulus_kmeans": _op11_sql(), "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}
+    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "exact_dedup_few_counters": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "op11_annulus_kmeans": _op11_sql(), "op12_hard_negatives": OP12_SQL, "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}
