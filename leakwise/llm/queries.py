@@ -13,6 +13,7 @@ from leakwise.llm.common import documents, remainder
 from leakwise.llm.context_tree import lm_scores
 from leakwise.llm.exact_dedup import exact_dedup
 from leakwise.llm.hard_negatives import hard_negatives
+from leakwise.llm.jaccard_join import jaccard_components
 from leakwise.llm.language_id import predict_languages
 from leakwise.llm.license_scan import TEMPLATES, WIDTH, license_scan, word_form
 from leakwise.llm.mixing import Targets, mix, word_count
@@ -269,10 +270,33 @@ WINDOW w AS (PARTITION BY p.key, place ORDER BY s.score DESC, s.vec_id) QUALIFY
 """
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT rid, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s
+  FROM d
+), n AS MATERIALIZED (SELECT rid, doc_id, coalesce(c, 0) AS n FROM d LEFT JOIN (SELECT rid, count(*) AS c FROM s GROUP BY rid) USING (rid)),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+e AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), links AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT rid, rid AS other FROM d UNION SELECT reach.rid, b FROM reach JOIN links ON a = reach.other)
+SELECT n.doc_id, n.n AS n_shingles, min(o.doc_id) AS component_id FROM reach JOIN n USING (rid) JOIN n o ON o.rid = reach.other GROUP BY n.rid, n.doc_id, n.n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, op11_annulus_kmeans, op12_hard_negatives, quality_rules_few_labels, exact_dedup_few_counters]
+    found = [op1_chat_formatting, op2_language_id, op3_exact_dedup, op4_license_scan, op5_simhash_dedup, op6_quality_classifier, op7_lm_scoring, op8_mixing, op9_quality_rules, op10_packing, op11_annulus_kmeans, op12_hard_negatives, op13_jaccard_join, quality_rules_few_labels, exact_dedup_few_counters]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "exact_dedup_few_counters": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "op11_annulus_kmeans": _op11_sql(), "op12_hard_negatives": OP12_SQL, "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}
+    return {"op1_chat_formatting": _op1_sql(), "op3_exact_dedup": OP3_SQL, "exact_dedup_few_counters": OP3_SQL, "op4_license_scan": _op4_sql(), "op9_quality_rules": _op9_sql(), "op11_annulus_kmeans": _op11_sql(), "op12_hard_negatives": OP12_SQL, "op13_jaccard_join": OP13_SQL, "quality_rules_few_labels": _op9_sql(**FEW_LABELS)}
