@@ -222,7 +222,8 @@ def search(queries: DataFrame, index: ListIndex, k: int, same: bool) -> DataFram
             raised = F.transform("low", lambda x, i: F.greatest(x, F.try_element_at(F.col("kth"), i)))  # greatest() skips nulls
             asked = queries.join(reached, "key", "left").withColumn("least", raised)
         planned = asked.select("key", "vec_id", "label", "v", "low", "least", "high").mapInArrow(_plan(index, begin, begin + length), VISIT)
-        met = planned.join(index.blocks.drop("far"), "block")
+        # the optimizer takes the visits to be as small as the queries, so it must not pick a broadcast
+        met = planned.hint("merge").join(index.blocks.drop("far"), "block")
         found = met.mapInArrow(_score(index.width, k, same), FOUND)
         merged = found if best is None else found.unionByName(best.drop("place"))
         after = written(merged.withColumn("place", place).where(F.col("place") <= k), "found")
