@@ -7,8 +7,8 @@ probabilities are the means over its positions.
 
 Trained on about ``max_per_language`` documents of each language (those whose hash of id and text is below the share
 wanted; rows that repeat both count once) and ``WINDOWS`` windows of ``TRAIN_LENGTH`` bytes of each, drawn from anywhere
-in the text. Names that fewer than ``least_share`` of the labelled rows carry are no language, so there are at most its
-inverse many.
+in the text. Every non-null name is a language, however few rows carry it; with more than ``SAMPLE / max_per_language``
+names each gets an equal part of ``SAMPLE`` rows. A table with more than ``MAX_LANGUAGES`` names is refused.
 """
 
 from __future__ import annotations
@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakwise.llm.common import slices, written
+from leakwise.llm.common import slices
 
 HIDDEN = 8
 PAD = 0xFF
 STRIDE, MARGIN = 224, 16
 TRAIN_LENGTH, WINDOWS = 64, 3
+#: About as many rows are learned from at most; their windows, some 200 bytes a row, reach the driver.
+SAMPLE = 1 << 17
+#: A model has 17 numbers a language, and a prediction one probability a byte and language.
+MAX_LANGUAGES = 4096
 F32 = np.float32
 _PAD = bytes([PAD])
 
@@ -220,14 +224,15 @@ def label_positions(text: bytes, model: LanguageModel) -> list[str]:
     return out
 
 
-def learn_languages(docs: DataFrame, learn: Column, max_per_language: int = 600, least_share: float = 2.0**-12, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def learn_languages(docs: DataFrame, learn: Column, max_per_language: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on rows with a language, a text and a true ``learn`` (an expression of doc_id)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(learn).where("lang is not null and text <> ''")
-    counted = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    held = {r["lang"]: r["n"] for r in counted.where(F.col("n") >= least_share * total).collect()}  # at most 1 / least_share rows
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(held) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not held:
         return new_model([])
+    max_per_language = min(max_per_language, SAMPLE // len(held))
     # about max_per_language rows of each language: those whose hash is below the language's share of the range
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))
     bounds = F.create_map(*[F.lit(x) for k, n in sorted(held.items()) for x in (k, int(min(1.0, max_per_language / n) * (1 << 31)))])

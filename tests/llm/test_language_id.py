@@ -84,12 +84,32 @@ def test_held_out_accuracy_and_cases(spark):
 
 
 def test_the_sample_is_bounded_and_does_not_depend_on_order(spark):
-    """Repeated and null ids, texts with U+0000, and a column of names that are no languages."""
+    """Repeated and null ids, and texts with U+0000."""
     rows = corpus(200, seed=3)
-    rows += [(None, f"tha ing \0 ster {i}", "aa") for i in range(300)] + [(5, "los de", "bb")] * 500 + [(i, "der keit", f"dirty{i}") for i in range(300)]
+    rows += [(None, f"tha ing \0 ster {i}", "aa") for i in range(300)] + [(5, "los de", "bb")] * 500
     frame = spark.createDataFrame([(i, t, k, "x", 0.0) for i, t, k in rows], SHAPE)
-    models = [lid.learn_languages(f, F.lit(True), max_per_language=50, least_share=0.02) for f in (frame, frame.repartition(5).orderBy("text"))]
+    models = [lid.learn_languages(f, F.lit(True), max_per_language=50) for f in (frame, frame.repartition(5).orderBy("text"))]
     assert models[0].languages == models[1].languages == ["aa", "bb", "cc"]
     assert all(np.array_equal(a, b) for a, b in zip(models[0].parts, models[1].parts, strict=True))
     with_zero = lid.predict([b"tha ing ster on tha ing"], models[0]), lid.predict([b"tha ing\0ster on tha ing"], models[0])
     assert all(p[0].sum() == pytest.approx(1, abs=1e-4) and p[0].argmax() == 0 for p in with_zero)
+
+
+def test_languages_of_a_few_rows_are_learned(spark, monkeypatch):
+    rows = [(i, " ".join(random.Random(i).choices(WORDS[k], k=30)), k) for i in range(400) for k in [("aa", "bb")[i % 2]]]
+    rows += [(1000 + i, "жук и шар " * 8, "xx") for i in range(2)]
+    frame = spark.createDataFrame([(i, t, k, "x", 0.0) for i, t, k in rows], SHAPE)
+    model = lid.learn_languages(frame, F.lit(True))
+    assert model.languages == ["aa", "bb", "xx"]
+    p = lid.predict(["шар и жук".encode(), b"tha ing ster", "ción los".encode()], model)
+    assert p.argmax(1).tolist() == [2, 0, 1]
+    monkeypatch.setattr(lid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        lid.learn_languages(frame, F.lit(True))
+
+
+def test_repeated_rows_get_the_same_prediction(spark):
+    rows = corpus(60) + [(7, "los ción de", None)] * 3 + [(7, "tha ing on", None)]
+    frame = spark.createDataFrame([(i, t, k, "x", 0.0) for i, t, k in rows], SHAPE)
+    got = [r for r in lid.predict_languages(frame, F.col("doc_id") != 7).collect() if r.doc_id == 7]
+    assert len(got) == 5 and len({(r.lang_pred, r.score) for r in got}) <= 3
