@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from leakwise.llm.common import SPACE, written
 
+#: Tasks that merge the summaries of all partitions, before one merges theirs.
+MIDDLE = 64
+
 
 def normalised(text: str | Column) -> Column:
     """Null as empty, each run of white space as one space."""
@@ -69,9 +72,10 @@ def heavy_candidates(digests: DataFrame, counters: int) -> DataFrame:
 
     shape = "digest binary, weight long"
     first = digests.select("digest", F.lit(1).cast("long").alias("weight")).mapInArrow(step, shape)
-    # summaries of groups of partitions first, so that the last merge reads at most 32 x counters rows
-    middle = first.repartition(32, F.spark_partition_id()).mapInArrow(step, shape)
-    return middle.coalesce(1).mapInArrow(step, shape)
+    # summaries of groups of partitions first, each level behind its own exchange (coalesce(1) would pull the first merge
+    # into the last task), so that the last merge reads at most MIDDLE x counters rows
+    middle = first.repartition(MIDDLE, F.spark_partition_id()).mapInArrow(step, shape)
+    return middle.repartition(1).mapInArrow(step, shape)
 
 
 def exact_dedup(docs: DataFrame, counters: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
