@@ -1,17 +1,16 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
-A fingerprint has 8 positional bytes. Two fingerprints that differ in at most 2 bits differ in at most 2 of those
-bytes, so they share at least 6 (the guaranteed minimum of the count filter). A posting list of one positional byte
-would hold 1/256 of the corpus and tallying over it would touch a fixed share of all pairs, so the index is keyed by six
-of the eight positional bytes at once: 28 choices, one of which any such pair shares in full. A posting is one long, the
-six bytes and the number of the choice. Fingerprints that meet in a list are tallied: the positions in which they were
-seen to agree, over all lists in which they meet. Pairs that reach the minimum are verified by the exact bit distance.
-
-Fingerprints are distinct, so a list has at most 65,536 members, whatever the input. A list longer than ``list_limit``
-is split by one of its two free positions: each member is posted under that byte with one of its bits left out, for each
-of the 8 bits, and pairs are met within the parts, which have at most 512 members. Of a pair within 2 bits, a part holds
-both unless both bits lie in the byte that the list is split by; such a pair agrees in all other positions, so it also
-meets in lists that are split by one of those.
+A fingerprint has 8 positional bytes. Two fingerprints that differ in at most 2 bits differ in at most 2 of those bytes,
+so they share at least 6. A posting list of one positional byte would hold 1/256 of the corpus and tallying over it would
+touch a fixed share of all pairs, so the index is keyed by five of the eight positional bytes at once: 56 choices. A pair
+that shares 6 positions meets in 6 of these lists, one that shares 7 in 21, one that shares 5 in a single one. The count
+filter tallies the distinct lists in which a pair meets and keeps pairs that reach 6, the guaranteed minimum; those are
+verified by the exact bit distance.
+
+Fingerprints are distinct. A list longer than ``list_limit`` is split by its three free positions: each member is posted
+under each of their bytes, and as 2 bits lie in at most two of three positions, a pair within 2 bits meets again. Such a
+part has at most 65,536 members; if it is too long as well, it is split by its two free positions, each byte with one of
+its 8 bits left out: one of the two holds at most one of the bits, so the pair meets there, among at most 512 members.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -62,44 +62,70 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, fp long" + ", digest string" * len(more))
 
 
-#: The two free positions of each choice, and the one that splits it. Every position is the free but not the splitting
-#: one of some choice.
-FREE = list(combinations(range(POSITIONS), 2))
-SPLIT = {(i, j): j if (i, j) == (0, POSITIONS - 1) else i for i, j in FREE}
+#: The three free positions of each choice.
+FREE = list(combinations(range(POSITIONS), 3))
+KEPT = [[p for p in range(POSITIONS) if p not in free] for free in FREE]
+#: A pair that shares this many positions meets in so many lists.
+LEAST = comb(POSITIONS - 2, 5)
+
+
+def _byte(fp: Column, shift: Column | int) -> Column:
+    return F.call_function("shiftrightunsigned", fp, F.lit(shift) if isinstance(shift, int) else shift).bitwiseAND(F.lit(255))
 
 
 def _posting(fp: Column, number: int) -> Column:
-    """The six bytes of a choice (48 bits) below its number."""
-    i, j = FREE[number]
-    low, high = (1 << 8 * i) - 1, (1 << 8 * (j - 1)) - 1
-    ends = ((1 << 48) - 1) & ~high
-    kept = [fp.bitwiseAND(F.lit(low)), F.shiftrightunsigned(fp, 8).bitwiseAND(F.lit(high & ~low)), F.shiftrightunsigned(fp, 16).bitwiseAND(F.lit(ends))]
-    return reduce(Column.bitwiseOR, kept).bitwiseOR(F.lit(number << 48))
+    """The five bytes of a choice (40 bits) below its number."""
+    kept = [F.shiftleft(_byte(fp, 8 * p), 8 * i) for i, p in enumerate(KEPT[number])]
+    return reduce(Column.bitwiseOR, kept).bitwiseOR(F.lit(number << 40))
+
+
+def _number(posting: Column) -> Column:
+    return F.shiftright(posting, 40).cast("int")
+
+
+def _free_byte(fp: Column, posting: Column, which: int) -> Column:
+    """The byte at one of the three free positions of a list."""
+    return _byte(fp, F.element_at(F.array(*[F.lit(8 * free[which]) for free in FREE]), _number(posting) + 1)).cast("int")
 
 
 def _parts(fp: Column, posting: Column) -> Column:
-    """The parts of a long list in which a member is posted: the byte that splits the list, without one of its bits."""
-    shift = F.element_at(F.array(*[F.lit(8 * SPLIT[c]) for c in FREE]), F.shiftright(posting, 48).cast("int") + 1)
-    byte = F.call_function("shiftrightunsigned", fp, shift).bitwiseAND(F.lit(255)).cast("int")
-    return F.array(*[byte.bitwiseAND(F.lit(255 & ~(1 << bit))).bitwiseOR(F.lit(bit << 8)) for bit in range(8)])
+    """The parts of a long list in which a member is posted: by each of its free bytes."""
+    return F.array(*[_free_byte(fp, posting, f).bitwiseOR(F.lit(f << 8)) for f in range(3)])
 
 
-def links(distinct: DataFrame, max_bits: int = 2, list_limit: int = 64) -> DataFrame:
-    """``distinct`` (fp long, unique) -> (a, b): all pairs a < b of fingerprints within ``max_bits`` bits."""
-    if max_bits != 2:
-        raise ValueError("the index is laid out for 2 bits")
+def _finer(fp: Column, posting: Column, part: Column) -> Column:
+    """The parts of a long part: by each other free byte, without one of its bits."""
+    used = F.shiftright(part, 8)
+
+    def by(f: int) -> Column:
+        byte = _free_byte(fp, posting, f)
+        return F.array(*[F.shiftleft(part, 16).bitwiseOR(byte.bitwiseAND(F.lit(255 & ~(1 << bit)))).bitwiseOR(F.lit(f << 12 | bit << 8)) for bit in range(8)])
+
+    return F.flatten(F.filter(F.array(*[F.when(used != f, by(f)) for f in range(3)]), lambda x: x.isNotNull()))
+
+
+def tallies(distinct: DataFrame, list_limit: int = 64) -> DataFrame:
+    """``distinct`` (fp long, unique) -> (a, b, lists): pairs a < b that meet, and in how many distinct lists; complete for
+    pairs within 2 bits."""
     posted = distinct.select("fp", F.explode(F.array(*[_posting(F.col("fp"), n) for n in range(len(FREE))])).alias("posting"))
     sizes = posted.groupBy("posting").agg(F.count("*").alias("size")).where("size > 1")
     lists = written(posted.join(sizes, "posting").select("fp", "posting", "size"), "postings")
-    whole = F.array(F.lit(-1))
-    parts = F.when(F.col("size") <= list_limit, whole).otherwise(_parts(F.col("fp"), F.col("posting")))
-    cells = lists.select("posting", "fp", F.explode(parts).alias("part"))
+    short = lists.where(F.col("size") <= list_limit).select("fp", "posting", F.lit(-1).alias("part"))
+    long = lists.where(F.col("size") > list_limit).select("fp", "posting", F.explode(_parts(F.col("fp"), F.col("posting"))).alias("part"))
+    held = long.groupBy("posting", "part").agg(F.count("*").alias("held")).where("held > 1")
+    finer = F.when(F.col("held") <= list_limit, F.array("part")).otherwise(_finer(F.col("fp"), F.col("posting"), F.col("part")))
+    split = long.join(held, ["posting", "part"]).select("fp", "posting", F.explode(finer).alias("part"))
+    cells = short.unionByName(split)
     met = cells.withColumnRenamed("fp", "a").join(cells.withColumnRenamed("fp", "b"), ["posting", "part"]).where("a < b")
-    agree = F.element_at(F.array(*[F.lit(255 & ~(1 << i | 1 << j)) for i, j in FREE]), F.shiftright("posting", 48).cast("int") + 1)
-    # the tally: in which positions the lists of a pair say that it agrees
-    tally = met.withColumn("agree", agree).groupBy("a", "b").agg(F.bit_count(F.bit_or("agree")).alias("shared"))
+    return met.groupBy("a", "b").agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _number(F.col("posting"))))).alias("lists"))
+
+
+def links(distinct: DataFrame, max_bits: int = 2, list_limit: int = 64) -> DataFrame:
+    """``distinct`` (fp long, unique) -> (a, b): all pairs a < b of fingerprints within ``max_bits`` bits."""
+    if max_bits != 2:
+        raise ValueError("the index is laid out for 2 bits")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return tally.where(F.col("shared") >= POSITIONS - max_bits).where(near).select("a", "b")
+    return tallies(distinct, list_limit).where(F.col("lists") >= LEAST).where(near).select("a", "b")
 
 
 def simhash_dedup(docs: DataFrame, list_limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

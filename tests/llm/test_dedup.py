@@ -7,8 +7,8 @@ import pytest
 import xxhash
 
 from leakwise.llm.components import connected_components
-from leakwise.llm.exact_dedup import exact_dedup, summarise
-from leakwise.llm.simhash_dedup import fingerprint, links, simhash_dedup
+from leakwise.llm.exact_dedup import MIDDLE, exact_dedup, heavy_candidates, summarise
+from leakwise.llm.simhash_dedup import LEAST, fingerprint, links, simhash_dedup, tallies
 
 SHAPE = "doc_id long, text string, digest string, keep_id long, fp long"
 
@@ -57,6 +57,17 @@ def test_exact_dedup_heavy_and_light_agree(spark):
         assert got[i] == (min(same), len(same), i == min(same))
 
 
+def test_summaries_are_merged_in_two_levels(spark):
+    digests = spark.range(1000).selectExpr("cast(cast(id % 3 as string) as binary) as digest").repartition(9)
+    df = heavy_candidates(digests, 4)
+    assert df.count() == 3
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    levels = re.findall(r"MapInArrow|Exchange \w+|Coalesce", plan)
+    assert levels[:5] == ["MapInArrow", "Exchange SinglePartition", "MapInArrow", "Exchange hashpartitioning", "MapInArrow"]
+    assert f", {MIDDLE})" in plan
+
+
 def test_misra_gries_keeps_each_heavy_digest():
     rng = random.Random(2)
     keys = [b"a"] * 300 + [b"b"] * 200 + [str(rng.randrange(400)).encode() for _ in range(500)]
@@ -116,6 +127,22 @@ def test_links_are_those_of_brute_force(spark, limit):
     assert {n: got.get(n, n) for n in signed} == brute_components(signed, near)
 
 
+def test_the_count_filter_rejects_pairs_of_one_shared_list(spark):
+    """One bit in each of three bytes: five positions are shared, so the pair meets once and is rejected before it is verified."""
+    frame = spark.createDataFrame([(0,), (1 | 1 << 8 | 1 << 16,), (1 | 1 << 8,), (7 << 40,)], "fp long")
+    found = {(r.a, r.b): r.lists for r in tallies(frame).collect()}
+    assert found == {(0, 1 | 1 << 8): 6, (0, 1 | 1 << 8 | 1 << 16): 1, (1 | 1 << 8, 1 | 1 << 8 | 1 << 16): 21, (0, 7 << 40): 21, (1 | 1 << 8, 7 << 40): 1}
+    assert LEAST == 6
+    assert sorted((r.a, r.b) for r in links(frame).collect()) == [(0, 1 | 1 << 8), (1 | 1 << 8, 1 | 1 << 8 | 1 << 16)]
+
+
+def test_repeated_rows_and_ids(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, text), (5, text), (5, "another text"), (2, text), (None, text), (None, text)]
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash_dedup(table(spark, rows)).collect())
+    assert got == [(0, 2), (0, 2), (2, 2), (5, 2), (5, 2), (5, 5)]
+
+
 def test_simhash_dedup_cases(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [(9, base), (4, base.upper()), (7, base + " tail"), (1, None), (3, ""), (6, "other words entirely here"), (None, base), (6, "x"), (8, "a " * 100_000 + "b" * 300_000)]

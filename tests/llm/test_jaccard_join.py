@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from leakwise.llm import jaccard_join
 from leakwise.llm.jaccard_join import BoxTree, cell_keys, differing, jaccard_components, needed, point, shared_at_most, shingle_hashes, spanning, tree_join
-from tests.llm.test_dedup import brute_components
+from test_dedup import brute_components
 
 SHAPE = "doc_id long, text string, node long, keys string, label string"
 
