@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,19 +11,26 @@ DASH = "-"
 TRIM = " \t\n\x0b\x0c\r\x85\xa0"
 
 
-def _balanced(text: Column, quote: str) -> Column:
-    inside = (F.length(text) > 1) & text.startswith(quote) & text.endswith(quote)
-    return F.when(inside, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _inside(mark: str) -> Callable[[Column], Column]:
+    def inside(text: Column) -> Column:
+        held = (F.length(text) > 2 * len(mark) - 1) & text.startswith(mark) & text.endswith(mark)
+        return F.when(held, F.substring(text, F.lit(len(mark) + 1), F.length(text) - 2 * len(mark))).otherwise(text)
+
+    return inside
 
 
 def trim_quotes(text: Column) -> Column:
     """Without outer white space and one balanced pair each of backtick, single and double quotes, in that order; a
     second and third pair of double quotes go together."""
     out = F.btrim(text, F.lit(TRIM))
-    for quote in "`'\"":
-        out = _balanced(out, quote)
-    triple = (F.length(out) > 3) & out.startswith('""') & out.endswith('""')
-    return F.when(triple, F.substring(out, F.lit(3), F.length(out) - 4)).otherwise(out)
+    for mark in ("`", "'", '"', '""'):
+        out = let(out, _inside(mark))
+    return out
 
 
 def value_hash(value: Column) -> Column:

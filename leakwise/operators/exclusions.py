@@ -10,8 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from leakwise.operators.finders import Exclusions, valid_patterns
-from leakwise.operators.gate import any_match
+from leakwise.operators.matching import Exclusions, any_match, valid_patterns, value_excluded
 
 #: Paths that hold no secrets as a rule.
 DEFAULT_PATHS = (r".*/(package-lock|npm-shrinkwrap|composer)[.]json", r".*[.](html?|s?css|sass|less)")
@@ -50,10 +49,6 @@ def local_path(path: Column, repositories: tuple[str, ...]) -> Column:
     return path
 
 
-def value_excluded(value: Column, e: Exclusions) -> Column:
-    return F.coalesce(value.isin(*e.values), F.lit(False)) | any_match(value, e.value_patterns) if e.values else any_match(value, e.value_patterns)
-
-
 def _pairs(left: Column, right: Column, table: dict[str, tuple[str, ...]]) -> Column:
     keys = [F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, vs in table.items() for v in vs]
     return F.coalesce(F.struct(left.alias("k"), right.alias("v")).isin(*keys), F.lit(False)) if keys else F.lit(False)

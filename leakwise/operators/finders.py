@@ -1,28 +1,29 @@
 """Generators: from a file's text to its findings, with offsets.
 
-No built-in Spark function gives the offsets of all matches, so one Arrow function runs the finders of a file's class.
-Overlap removal needs only the findings of one file, so by default it runs there too ("fused") and a scan has no
-shuffle; :mod:`leakwise.operators.overlap` has the same two steps as DataFrame operators.
+No built-in Spark function gives the offsets of all matches, so one Arrow function runs the patterns of a file's class and
+gives raw matches. Evidence, highlight, hashes and exclusions are columns (:mod:`leakwise.operators.evidence`), containment and
+subsumption are operators over the findings (:mod:`leakwise.operators.overlap`).
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from leakwise.operators import overlap, prefilter
-from leakwise.operators.classify import classify
+from leakwise.operators.evidence import with_evidence, with_hash
+from leakwise.operators.matching import Exclusions, value_excluded
 from leakwise.rules import patterns as p
-from leakwise.schema import FINDING, HIGH, LOW, MEDIUM
+from leakwise.schema import FINDING
 
 _SPACE = re.compile(p.WS)
 _CLASS_OF = {e: k for k, es in p.CLASS_EXTENSIONS.items() for e in es}
@@ -32,40 +33,6 @@ def class_of(extension: str) -> str:
     return _CLASS_OF.get(extension.lower(), "default")
 
 
-@dataclass(frozen=True)
-class Exclusions:
-    """What is never reported. Regexes that don't compile are dropped."""
-
-    values: tuple[str, ...] = ()
-    value_patterns: tuple[str, ...] = ()
-    hashes: tuple[str, ...] = ()
-    paths: tuple[str, ...] = ()
-    path_values: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    path_hashes: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    path_pattern_values: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    #: Prefixes of checkouts, taken off before a path is compared.
-    repositories: tuple[str, ...] = ()
-
-    @cached_property
-    def value_regex(self) -> re.Pattern | None:
-        good = valid_patterns(self.value_patterns)
-        return re.compile("|".join(f"(?:{x})" for x in good)) if good else None
-
-    def value_excluded(self, value: str) -> bool:
-        return value in self.values or bool(self.value_regex and self.value_regex.search(value))
-
-
-def valid_patterns(patterns: tuple[str, ...]) -> list[str]:
-    out = []
-    for x in patterns:
-        try:
-            re.compile(x)
-            out.append(x)
-        except re.error:
-            pass
-    return out
-
-
 @dataclass(frozen=True)
 class FinderOptions:
     rules: tuple[p.VendorRule, ...] = field(default_factory=p.vendor_rules)
@@ -73,7 +40,7 @@ class FinderOptions:
     checksum: bool = True
     show_source: bool = True
     prefilter: bool = True
-    #: Remove contained and subsumed findings per file.
+    #: Remove contained and subsumed findings of each file.
     fused: bool = True
 
 
@@ -98,114 +65,57 @@ class Text:
         return line, offset - (self.breaks[line - 1] + 1 if line else 0)
 
 
-def trim_quotes(text: str) -> tuple[str, int]:
-    """The text without white space and balanced quotes, and how many quote characters went at its front."""
-    out, count = text.strip(), 0
-    for q in "`'\"":
-        if len(out) > 1 and out[0] == q == out[-1]:
-            out, count = out[1:-1], count + 1
-    if len(out) > 3 and out.startswith('""') and out.endswith('""'):
-        out, count = out[2:-2], count + 2
-    return out, count
-
-
 class Finder:
-    """The finders of one scan, used for file after file."""
+    """The matchers of one scan, used for file after file. They say where something matches and nothing about its worth."""
 
     def __init__(self, options: FinderOptions) -> None:
         self.o = options
         self.patterns = p.finder_patterns()
         self.filter = prefilter.RuleFilter([r.pattern for r in options.rules])
 
-    def scan(self, text: str, file_class: str) -> list[dict]:
-        t, found = Text(text), []
+    def matches(self, text: str, file_class: str) -> Iterator[tuple]:
+        """Raw matches in the columns of ``MATCH`` from ``provider_id`` on."""
+        t = Text(text)
         folded = prefilter.folded(text)
         for rule in self._rules(folded):
             if rule.emits:
-                found += self._strings(t, text, 0, (m.span() for m in rule.regex.finditer(text)), rule.id)
+                yield from self._strings(t, text, 0, (m.span() for m in rule.regex.finditer(text)), rule.id)
         if file_class == "xml":
-            found += self._xml(t)
+            yield from self._xml(t)
         else:
             named, quotes = prefilter.may_name_secret(folded), any(q in text for q in "\"'`")
             for key in p.CLASSES[file_class]:
                 if key not in p.ASSIGNMENTS:
                     if quotes or not self.o.prefilter:
-                        found += self._strings(t, text, 0, p.spans(key, text), p.PROVIDERS[key])
+                        yield from self._strings(t, text, 0, p.spans(key, text), p.PROVIDERS[key])
                 elif not self.o.prefilter or named and p.NEEDS.get(key, "") in text:
-                    found += self._assignments(t, text, 0, self.patterns[key], p.PROVIDERS[key])
-        if self.o.fused:
-            found = overlap.subsume_rows(overlap.drop_contained(found))
-        return found
+                    yield from self._assignments(t, text, 0, self.patterns[key], p.PROVIDERS[key])
 
     def _rules(self, folded: str) -> list[p.VendorRule]:
         """The rules that may match a text, in their order."""
         return [self.o.rules[i] for i in self.filter.candidates(folded)] if self.o.prefilter else list(self.o.rules)
 
-    def _classify(self, value: str) -> tuple[str, int]:
-        return classify(value, self._rules(prefilter.folded(value)))
+    @staticmethod
+    def _row(t: Text, provider: str, shape: str, variable: str | None, source: str, matched: str | None, raw: str, front: int, start: int, end: int) -> tuple:
+        places = [t.position(x) for x in (start, end, start - 1)]
+        return (provider, shape, variable, source, matched, raw, front, start, end, *(x for place in places for x in place))
 
-    def _row(self, t: Text, provider: str, headline: tuple[str, int], reasons: list[tuple[str, int]], raw: tuple[int, int], mark: tuple[int, int], source: str, value: str) -> Iterator[dict]:
-        checksum = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest() if self.o.checksum else None
-        if checksum in self.o.exclusions.hashes:
-            return
-        (sl, sc), (el, ec), (hl, hc), (gl, gc) = (t.position(x) for x in (*raw, *mark))
-        yield {
-            "provider_id": provider, "headline": headline[0], "confidence": headline[1],
-            "reasons": [{"description": d, "confidence": c} for d, c in reasons],
-            "start_line": sl, "start_char": sc, "end_line": el, "end_char": ec,
-            "highlight_start_line": hl, "highlight_start_char": hc, "highlight_end_line": gl, "highlight_end_char": gc,
-            "raw_start": raw[0], "raw_end": raw[1], "source": source if self.o.show_source else None, "value": value,
-            "sha256": checksum, "excluded": self.o.exclusions.value_excluded(value),
-        }
-
-    def _named(self, variable: str, value: str) -> tuple[tuple[str, int], tuple[str, int]] | None:
-        """(headline, evidence) of a value given to a secret-like name; None for a sure non-secret."""
-        evidence = self._classify(value)
-        if "passphrase" in variable:
-            evidence = (p.HARD_CODED, HIGH)
-        return (p.SECRET_ASSIGNMENT, HIGH if evidence[1] > LOW and evidence[0] != p.NOT_SECRET else MEDIUM), evidence
-
-    def _assignments(self, t: Text, text: str, base: int, pattern: re.Pattern, provider: str) -> Iterator[dict]:
+    def _assignments(self, t: Text, text: str, base: int, pattern: re.Pattern, provider: str) -> Iterator[tuple]:
         for m in pattern.finditer(text):
             variable = m[1].lower().strip()
-            if _SPACE.search(variable):
-                continue
-            start, end, right = m.start(1), m.end(), m.start(2)
-            source = text[max(0, start - 1) : end]
-            if self.o.exclusions.value_excluded(source):
-                continue
-            value, trimmed = trim_quotes(text[right:end])
-            headline, evidence = self._named(variable, value)
-            if evidence == (p.NOT_SECRET, HIGH):
-                continue
-            mark = base + right + trimmed
-            yield from self._row(
-                t, provider, headline, [(p.NAME_IS_SECRET, HIGH), evidence], (t.byte(base + start), t.byte(base + end)),
-                (t.byte(mark) - 1, t.byte(mark + len(value)) - 1), source, value,
-            )
-
-    def _strings(self, t: Text, text: str, base: int, spans: Iterable[tuple[int, int]], provider: str) -> Iterator[dict]:
+            if not _SPACE.search(variable):
+                start, end, right = m.start(1), m.end(), m.start(2)
+                yield self._row(t, provider, "assignment", variable, text[max(0, start - 1) : end], text[start:end], text[right:end], right - start, t.byte(base + start), t.byte(base + end))
+
+    def _strings(self, t: Text, text: str, base: int, spans: Iterable[tuple[int, int]], provider: str) -> Iterator[tuple]:
         for start, end in spans:
             source = text[start:end]
-            if _SPACE.search(source) or self.o.exclusions.value_excluded(source):
-                continue
-            value, trimmed = trim_quotes(source)
-            evidence = self._classify(value)
-            if evidence == (p.NOT_SECRET, HIGH):
-                continue
-            reasons = [evidence, (p.UNBROKEN, MEDIUM)] if evidence[1] > MEDIUM else [(p.UNBROKEN, MEDIUM), evidence]
-            headline = reasons[0]
-            if headline[0] == p.UNBROKEN and evidence[1] < MEDIUM:
-                headline = (p.UNBROKEN, evidence[1])
-            mark = base + start + trimmed
-            yield from self._row(
-                t, provider, headline, reasons, (t.byte(base + start), t.byte(base + end)),
-                (t.byte(mark) - 1, t.byte(mark + len(value)) - 1), source, value,
-            )
+            if not _SPACE.search(source):
+                yield self._row(t, provider, "string", None, source, source, source, 0, t.byte(base + start), t.byte(base + end))
 
     # -- markup ------------------------------------------------------------------------------------------------------
 
-    def _xml_strings(self, t: Text, text: str, base: int) -> Iterator[dict]:
+    def _xml_strings(self, t: Text, text: str, base: int) -> Iterator[tuple]:
         if text.strip():
             named = not self.o.prefilter or prefilter.may_name_secret(prefilter.folded(text))
             for key, provider in p.XML_STRINGS:
@@ -214,20 +124,15 @@ class Finder:
                 elif not self.o.prefilter or named and p.NEEDS.get(key, "") in text:
                     yield from self._assignments(t, text, base, self.patterns[key], provider)
 
-    def _xml_assignment(self, t: Text, name: str, raw: str, at: int, element: bool) -> Iterator[dict]:
-        value = trim_quotes(raw)[0].strip()
-        if element and not value:
-            return
+    def _xml_assignment(self, t: Text, name: str, raw: str, at: int, element: bool) -> Iterator[tuple]:
         if not _NAME.search(name.lower()):
             yield from self._xml_strings(t, raw, at)
             return
-        headline, evidence = self._named(name.lower(), value)
         end = at - 1 + len(raw) + (0 if element else len(name) + 3)
-        place = (t.byte(at), t.byte(end))
         provider = "ElementSecretAssignment" if element else "AttributeSecretAssignment"
-        yield from self._row(t, provider, headline, [(p.NAME_IS_SECRET, HIGH), evidence], place, place, t.text[max(0, at - 1) : end + 1], value)
+        yield self._row(t, provider, "element" if element else "attribute", name.lower(), t.text[max(0, at - 1) : end + 1], None, raw, 0, t.byte(at), t.byte(end))
 
-    def _xml(self, t: Text) -> Iterator[dict]:
+    def _xml(self, t: Text) -> Iterator[tuple]:
         open_: list[str] = []
         for m in _MARKUP.finditer(t.text):
             kind = "open" if m["open"] else m.lastgroup
@@ -256,23 +161,23 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"(?P<name>[^\s=/\"'<>]+)\s*=\s*(?:\"(?P<double>[^\"]*)\"|'(?P<single>[^']*)'|(?P<bare>[^\s\"'>]+))")
 
 
-def find_secrets(files: DataFrame, options: FinderOptions | None = None, text: str = "text", path: str = "path", file_class: str | None = None) -> DataFrame:
-    """Findings of ``files`` (repo_index, path, text): one row each, in the shape of ``FINDING``; tags are empty.
+#: A raw match: where it lies, what it consists of, and the places of its start, its end and the byte before it.
+MATCH = (
+    "repo_index int, location string, provider_id string, shape string, variable string, source string, matched string, raw string, front int, "
+    "raw_start long, raw_end long, start_line long, start_char long, end_line long, end_char long, before_line long, before_char long"
+)
+#: The columns of a finding, in order.
+COLUMNS = tuple(c.split()[0] for c in re.sub(r"<.*?>>?", "", FINDING).split(", "))
+#: Matches that go to Spark at once.
+AT_ONCE = 4096
+
+
+def raw_matches(files: DataFrame, options: FinderOptions | None = None, text: str = "text", path: str = "path", file_class: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All matches of ``files`` (repo_index, path, text, and the columns ``keep``, which go along) in the shape of ``MATCH``.
 
     The class of a file follows from its extension, or is the column ``file_class``. Null texts give nothing.
     """
     o = options or FinderOptions()
-    columns = [c.split()[0] for c in re.sub(r"<.*?>>?", "", FINDING).split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(o)
-        for frame in frames:
-            rows = []
-            for index, where, kind, body in zip(frame.repo_index, frame.path, frame.kind, frame.text, strict=True):
-                if body:
-                    rows += [r | {"repo_index": index, "location": where, "tags": []} for r in finder.scan(body, kind)]
-            yield pd.DataFrame(rows, columns=columns)
-
     kinds = F.lit("default")
     if file_class:
         kinds = F.col(file_class)
@@ -280,5 +185,53 @@ def find_secrets(files: DataFrame, options: FinderOptions | None = None, text: s
         extension = F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
         for name, extensions in p.CLASS_EXTENSIONS.items():
             kinds = F.when(extension.isin(*extensions), name).otherwise(kinds)
-    rows = files.select(F.col("repo_index").cast("int"), F.col(path).alias("path"), kinds.alias("kind"), F.col(text).alias("text"))
-    return rows.where(F.col("text") != "").mapInPandas(run, FINDING)
+    kept = files.select(*keep).schema
+    rows = files.select(F.col("repo_index").cast("int"), F.col(path).alias("path"), kinds.alias("kind"), F.col(text).alias("text"), *keep)
+    shape = StructType([*StructType.fromDDL(MATCH).fields, *kept.fields])
+    arrow = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, found = Finder(o), []
+        for batch in batches:
+            more = batch.columns[4:]
+            for i, (index, where, kind, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if body:
+                    extra = tuple(c[i].as_py() for c in more)
+                    for m in finder.matches(body, kind):
+                        found.append((index, where, *m, *extra))
+                        if len(found) == AT_ONCE:
+                            yield _record_batch(found, arrow)
+                            found = []
+        if found:
+            yield _record_batch(found, arrow)
+
+    return rows.where(F.col("text") != "").mapInArrow(run, shape)
+
+
+def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def judged(matches: DataFrame, options: FinderOptions | None = None) -> DataFrame:
+    """Findings of raw matches: without excluded sources and hashes, with evidence, highlight and hash; tags are empty."""
+    o = options or FinderOptions()
+    e = o.exclusions
+    left = matches.where(F.col("shape").isin("element", "attribute") | ~value_excluded(F.col("source"), e)) if e.values or e.value_patterns else matches
+    found = with_hash(with_evidence(left, o.rules), o.checksum).withColumn("excluded", value_excluded(F.col("value"), e))
+    if e.hashes and o.checksum:
+        found = found.where(~F.col("sha256").isin(*e.hashes))
+    source = F.col("source") if o.show_source else F.lit(None).cast("string")
+    more = [c for c in matches.columns if c not in StructType.fromDDL(MATCH).names]
+    return found.withColumns({"source": source, "tags": F.array().cast("array<string>")}).select(*COLUMNS, *more)
+
+
+def find_secrets(files: DataFrame, options: FinderOptions | None = None, text: str = "text", path: str = "path", file_class: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of ``files``: one row each, in the shape of ``FINDING`` and the columns ``keep``.
+
+    Python says where the patterns match; what a match is worth is worked out by columns. A file's findings follow one
+    another then, so contained and subsumed ones go without an exchange; with ``fused=False`` they are left to the operators
+    ``remove_overlapping`` and ``subsume``, which give the same.
+    """
+    o = options or FinderOptions()
+    found = judged(raw_matches(files, o, text, path, file_class, keep), o)
+    return overlap.settled(found) if o.fused else found

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakwise.functions import paths
-from leakwise.operators.finders import Exclusions, valid_patterns
+from leakwise.operators.matching import Exclusions, any_match
 from leakwise.rules import extensions as ext
 from leakwise.rules import patterns as p
 from leakwise.schema import CRITICAL, HIGH, INFO, MEDIUM
@@ -24,12 +24,6 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), key)
 
 
-def any_match(col: Column, patterns: tuple[str, ...] | list[str]) -> Column:
-    """One alternation of all patterns that compile, unanchored; false if there are none."""
-    good = valid_patterns(tuple(patterns))
-    return F.coalesce(col.rlike("|".join(f"(?:{x})" for x in good)), F.lit(False)) if good else F.lit(False)
-
-
 def confidential_why(path: Column, tables: ext.ExtensionTables) -> Column:
     """Why a file is confidential by its name: base name, certificate or key store, dangerous, financial (but for readme
     and changelog); null if it isn't."""
@@ -112,8 +106,9 @@ def certificate_evidence(text: Column, why: Column) -> tuple[Column, Column]:
     return folded["what"], folded["confidence"]
 
 
-def confidential_findings(gated: DataFrame, content: str = "content", checksum: bool = True) -> DataFrame:
-    """One finding per confidential file that is neither excluded nor left out as a test."""
+def confidential_findings(gated: DataFrame, content: str = "content", checksum: bool = True, digest: str | None = None) -> DataFrame:
+    """One finding per confidential file that is neither excluded nor left out as a test. Its hash is that of the content,
+    or the column ``digest``."""
     path = F.col("path")
     name, e = F.substring_index(path, "/", -1), F.col("extension")
     what, level = certificate_evidence(F.decode(F.col(content), "iso-8859-1"), F.col("why_confidential"))
@@ -128,6 +123,6 @@ def confidential_findings(gated: DataFrame, content: str = "content", checksum:
         F.array(F.struct(F.col("_what").alias("description"), F.col("_level").alias("confidence"))).alias("reasons"),
         *[zero.alias(c) for c in ("start_line", "start_char", "end_line", "end_char", "highlight_start_line", "highlight_start_char", "highlight_end_line", "highlight_end_char", "raw_start", "raw_end")],
         F.lit("").alias("source"), F.lit(None).cast("string").alias("value"),
-        (F.sha2(F.col(content), 256) if checksum else F.lit(None).cast("string")).alias("sha256"),
+        ((F.col(digest) if digest else F.sha2(F.col(content), 256)) if checksum else F.lit(None).cast("string")).alias("sha256"),
         F.lit(False).alias("excluded"), F.array(F.lit("confidential")).alias("tags"),
     )

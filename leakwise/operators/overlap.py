@@ -6,6 +6,7 @@ already) and as DataFrame operators over stored findings.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -57,27 +58,134 @@ def overlaps(a: dict, b: dict) -> bool:
     return False
 
 
+def _islands(rows: list[dict], union: Callable[[int, int], None]) -> None:
+    """Joins rows whose ranges may meet: by bytes, and by (line, character), where a row of several lines covers its lines
+    as a whole."""
+    by_bytes = [(r["raw_start"], r["raw_end"], i) for i, r in enumerate(rows) if r["raw_end"] > 0]
+    by_lines = []
+    for i, r in enumerate(rows):
+        one = r["start_line"] == r["end_line"]
+        by_lines.append(((r["start_line"], r["start_char"] if one else _FIRST), (r["end_line"], r["end_char"] if one else _LAST), i))
+    for ranges in (by_bytes, by_lines):
+        reach = before = None
+        for low, high, i in sorted(ranges):
+            if before is not None and low <= reach:
+                union(before, i)
+            reach, before = high if reach is None else max(reach, high), i
+
+
+_FIRST, _LAST = -(1 << 62), 1 << 62
+#: Characters by which sources are looked up.
+GRAM = 8
+
+
+def _sources(rows: list[dict], union: Callable[[int, int], None]) -> None:
+    """Joins rows of which one's source holds the other's: equal ones by a look-up, others by the rarest gram of the
+    shorter one."""
+    of: dict[str, int] = {}
+    for i, r in enumerate(rows):
+        if r["source"]:
+            s = r["source"].strip()
+            union(of.setdefault(s, i), i)
+    long = [s for s in of if len(s) >= GRAM]
+    holders: dict[str, list[str]] = {}
+    if len(long) > 1:
+        for s in long:
+            for g in {s[k : k + GRAM] for k in range(len(s) - GRAM + 1)}:
+                holders.setdefault(g, []).append(s)
+        for s in long:
+            for x in min((holders[s[k : k + GRAM]] for k in range(len(s) - GRAM + 1)), key=len):
+                if len(x) > len(s) and s in x:
+                    union(of[s], of[x])
+    for s in of:
+        if len(s) < GRAM:
+            for x in of:
+                if len(x) > len(s) and s in x:
+                    union(of[s], of[x])
+
+
+def components(rows: list[dict]) -> list[list[int]]:
+    """Places of rows in groups that don't overlap with one another."""
+    root = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def union(i: int, j: int) -> None:
+        x, y = top(i), top(j)
+        root[max(x, y)] = min(x, y)
+
+    _islands(rows, union)
+    _sources(rows, union)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        groups.setdefault(top(i), []).append(i)
+    return list(groups.values())
+
+
 def subsume_rows(rows: list[dict]) -> list[dict]:
     """Greedy, in the order of :func:`order_in_file`: of two that overlap the more confident stays, then the one that
-    covers more, then the earlier; a row that has been removed removes no others."""
+    covers more, then the earlier; a row that has been removed removes no others. Rows are compared within their component
+    only."""
     ranked = sorted(rows, key=order_in_file)
     alive = [True] * len(ranked)
     weight = [(r["confidence"], span(r)) for r in ranked]
-    for i, r in enumerate(ranked):
-        for j in range(len(ranked)):
+    for group in components(ranked):
+        active = group
+        for i in group:
             if not alive[i]:
-                break
-            if i != j and alive[j] and overlaps(r, ranked[j]):
-                loser = j if (weight[i], -i) > (weight[j], -j) else i
-                alive[loser] = False
+                continue
+            for j in active:
+                if i != j and alive[j] and overlaps(ranked[i], ranked[j]):
+                    loser = j if (weight[i], -i) > (weight[j], -j) else i
+                    alive[loser] = False
+                    if loser == i:
+                        break
+            active = [j for j in active if alive[j]]
     return [r for i, r in enumerate(ranked) if alive[i]]
 
 
-def remove_overlapping(findings: DataFrame, group: str = "location", start: str = "raw_start", end: str = "raw_end", confidence: str = "confidence") -> DataFrame:
+def settled(findings: DataFrame, file: tuple[str, ...] = ("repo_index", "location")) -> DataFrame:
+    """:func:`drop_contained` and :func:`subsume_rows` for findings whose rows of a file follow one another, as a scan gives
+    them: without an exchange, so also on a stream. Python sees the columns that decide and returns places."""
+
+    def kept(run: pa.Table) -> pa.Table:
+        if run.num_rows == 1:
+            return run
+        rows = run.select(_READ).to_pylist()
+        for i, r in enumerate(rows):
+            r["_at"] = i
+        return run.take(pa.array([r["_at"] for r in subsume_rows(drop_contained(rows))], pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in file), strict=True))
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            done = []
+            for at, until in zip(starts, [*starts[1:], len(names)], strict=True):
+                if held and names[at] != name:
+                    done.append(kept(pa.Table.from_batches(held)))
+                    held = []
+                held.append(batch.slice(at, until - at))
+                name = names[at]
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if held:
+            yield from kept(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    return findings.mapInArrow(run, findings.schema)
+
+
+def remove_overlapping(findings: DataFrame, group: str | list[str] = "location", start: str = "raw_start", end: str = "raw_end", confidence: str = "confidence") -> DataFrame:
     """:func:`drop_contained` with window functions only: for each confidence level the furthest end reached by earlier
     starts, and the furthest end among equal starts."""
-    earlier = Window.partitionBy(group).orderBy(start).rangeBetween(Window.unboundedPreceding, -1)
-    together = Window.partitionBy(group, start)
+    keys = [group] if isinstance(group, str) else group
+    earlier = Window.partitionBy(*keys).orderBy(start).rangeBetween(Window.unboundedPreceding, -1)
+    together = Window.partitionBy(*keys, start)
     contained = F.lit(False)
     for level in range(INFO, CRITICAL + 1):
         far = F.when(F.col(confidence) >= level, F.col(end))
@@ -109,7 +217,7 @@ def canonical_order() -> list[Column]:
 _READ = ("raw_start", "raw_end", "start_line", "end_line", "start_char", "end_char", "confidence", "provider_id", "headline", "source")
 
 
-def subsume(findings: DataFrame, group: str = "location") -> DataFrame:
+def subsume(findings: DataFrame, group: str | list[str] = "location") -> DataFrame:
     """:func:`subsume_rows` for stored findings, file by file. A file's findings come together in one row (contained ones
     are best removed first, which leaves few); Python sees only the columns that decide and returns places."""
 
@@ -123,7 +231,7 @@ def subsume(findings: DataFrame, group: str = "location") -> DataFrame:
         return pa.array(out, pa.list_(pa.int32()))
 
     rows = F.collect_list(F.struct(*findings.columns)).alias("rows")
-    gathered = findings.groupBy(F.col(group).alias("_group")).agg(rows)
+    gathered = findings.groupBy(*[F.col(c).alias(f"_{c}") for c in ([group] if isinstance(group, str) else group)]).agg(rows)
     narrow = F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in _READ]))
     one = gathered.withColumn("kept", kept(narrow))
     return one.select(F.inline(F.transform("kept", lambda i: F.get("rows", i))))

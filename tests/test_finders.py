@@ -2,14 +2,15 @@ import random
 import re
 
 import pytest
+import rowforms
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leakwise.operators import prefilter
-from leakwise.operators.classify import classify, connection_name
-from leakwise.operators.finders import Exclusions, Finder, FinderOptions, Text, class_of, find_secrets, trim_quotes
+from leakwise.operators import overlap, prefilter
+from leakwise.operators.finders import COLUMNS, Exclusions, Finder, FinderOptions, Text, class_of, find_secrets
 from leakwise.rules import patterns as p
 from leakwise.schema import CRITICAL, HIGH, INFO, MEDIUM
+from rowforms import classify, connection_name, trim_quotes
 
 GH = "ghp_" + "Ab1" * 12
 HEX = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
@@ -33,7 +34,7 @@ CASES = {
 
 
 def scan(path, text, **options):
-    return Finder(FinderOptions(**options)).scan(text, class_of(re.search(r"(\.[^./]*)?$", path)[0]))
+    return rowforms.scan(text, class_of(re.search(r"(\.[^./]*)?$", path)[0]), **options)
 
 
 @pytest.mark.parametrize("path,text", CASES)
@@ -70,7 +71,7 @@ PIECES = ["secret", "key", ' = "', '"', "token: ", "\n", "pass", "word", GH, "gl
 @given(st.lists(st.sampled_from(PIECES), max_size=25), st.sampled_from(sorted(p.CLASSES)))
 def test_the_prefilter_changes_nothing(parts, kind):
     text = "".join(parts)
-    scans = [Finder(FinderOptions(prefilter=on)).scan(text, kind) for on in (True, False)]
+    scans = [list(Finder(FinderOptions(prefilter=on)).matches(text, kind)) for on in (True, False)]
     assert scans[0] == scans[1]
 
 
@@ -162,3 +163,41 @@ SLOW = re.compile(f"{p.QUOTE}{p.NOT_QUOTE}(?i:{p.INDICATORS}){p.NOT_QUOTE}{p.QUO
 def test_linear_forms_equal_the_patterns(text):
     assert list(p.quoted_indicators(text)) == [m.span() for m in SLOW.finditer(text)]
     assert p.has_base64(text) == bool(re.search(p.BASE64, text))
+
+
+def text_files():
+    """Texts of each class: the cases, random pieces, other scripts, excluded and hashed values."""
+    rng = random.Random(11)
+    kinds = sorted(p.CLASSES)
+    extra = ["é", "中", "😀", "Zx9aQ1wE2rT5", "password1", "passphrase = 'x y'", "'" * 3, '"' * 6, "12345678", " ", "QWxhZGRpbjpvcGVuIHNlc2FtZQ9x==", '<b k="', "</a>", "live_" + "x9" * 12]
+    texts = [("default", t) for _, t in CASES] + [(class_of(re.search(r"(\.[^./]*)?$", a)[0]), t) for a, t in CASES]
+    return texts + [(rng.choice(kinds), "".join(rng.choice([*PIECES, *extra]) for _ in range(rng.randrange(1, 30)))) for _ in range(400)]
+
+
+@pytest.mark.parametrize("options", [{}, {"fused": False, "show_source": False}, {"checksum": False, "exclusions": Exclusions(values=("admin", HEX), value_patterns=("glpat", "("))}])
+def test_columns_equal_the_row_forms(spark, options):
+    texts = text_files()
+    frame = spark.createDataFrame([(i % 3, f"/f{i}", k, t) for i, (k, t) in enumerate(texts)], "repo_index int, path string, kind string, text string").repartition(4)
+    got = {}
+    for r in find_secrets(frame, FinderOptions(**options), file_class="kind").collect():
+        got.setdefault(r.location, []).append(r.asDict(recursive=True))
+    order = lambda r: (rowforms.order_in_file(r), str(r))
+    assert sum(map(len, got.values())) > 300
+    for i, (kind, text) in enumerate(texts):
+        want = rowforms.scan(text, kind, **options)
+        mine = [{k: r[k] for k in want[0]} for r in got.get(f"/f{i}", [])] if want else got.get(f"/f{i}", [])
+        assert sorted(mine, key=order) == sorted(want, key=order), (kind, text)
+
+
+def test_operators_give_what_the_scan_gives(spark):
+    texts = text_files()
+    frame = spark.createDataFrame([(i % 3, f"/f{i}", k, t) for i, (k, t) in enumerate(texts)], "repo_index int, path string, kind string, text string")
+    file = ["repo_index", "location"]
+    apart = find_secrets(frame.repartition(3), FinderOptions(fused=False), file_class="kind")
+    by_operators = overlap.subsume(overlap.remove_overlapping(apart, file), file).select(*COLUMNS)
+    assert sorted(map(str, by_operators.collect())) == sorted(map(str, find_secrets(frame, file_class="kind").collect()))
+
+
+def test_extra_columns_go_along(spark):
+    frame = spark.createDataFrame([(0, "a.java", f'String apiKey = "{HEX}";', 7, "x"), (0, "b.java", None, 8, "y")], "repo_index int, path string, text string, piece long, note string")
+    assert [(r.piece, r.note) for r in find_secrets(frame, keep=("piece", "note")).collect()] == [(7, "x")]

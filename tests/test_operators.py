@@ -3,6 +3,7 @@ import hashlib
 import re
 
 import pytest
+import rowforms
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from leakwise.functions import text as tx
 from leakwise.operators import exclusions as ex
 from leakwise.operators import gate as g
 from leakwise.operators import history, matches, overlap, policy, scoring, triage
-from leakwise.operators.finders import Exclusions, trim_quotes
+from leakwise.operators.matching import Exclusions
 from leakwise.operators.matches import PatternRule
 from leakwise.rules.extensions import ExtensionTables, read_table
 from leakwise.schema import EXCEPTION, confidence_name, confidence_number
@@ -55,23 +56,43 @@ def test_window_form_equals_the_row_form(spark):
 @given(SPANS, st.randoms())
 def test_subsumption_leaves_no_overlap_and_ignores_order(spans, rng):
     rows = rows_of(spans)
-    kept = overlap.subsume_rows(rows)
+    kept = rowforms.subsume_rows(rows)
     assert all(not overlap.overlaps(a, b) for i, a in enumerate(kept) for b in kept[i + 1 :])
     mixed = rows[:]
     rng.shuffle(mixed)
-    assert overlap.subsume_rows(mixed) == kept
+    assert rowforms.subsume_rows(mixed) == kept
+
+
+@settings(max_examples=300, deadline=None)
+@given(SPANS, st.lists(st.sampled_from(["", " ", "a", "abcdefgh", "xabcdefghy", "abcdefghi", "abcdefgh  ", "hgfedcba", "zz hgfedcba", "bc"]), min_size=12, max_size=12), st.randoms())
+def test_components_change_nothing(spans, sources, rng):
+    rows = rows_of(spans)
+    for r, s in zip(rows, sources, strict=False):
+        r["source"] = s or None
+        if rng.random() < 0.3:
+            r.update(start_line=rng.randrange(6), raw_end=0), r.update(end_line=r["start_line"] + rng.randrange(2))
+    assert overlap.subsume_rows(rows) == rowforms.subsume_rows(rows)
+
+
+def test_many_findings_of_one_file_are_settled_in_seconds():
+    import time
+
+    rows = [{"raw_start": 60 * i, "raw_end": 60 * i + 40, "confidence": i % 4, "start_line": 0, "end_line": 0, "start_char": 60 * i, "end_char": 60 * i + 40, "provider_id": "p", "headline": "h", "source": f'apiKey = "{hashlib.md5(str(i).encode()).hexdigest()}"'} for i in range(83_888)]
+    began = time.time()
+    assert len(overlap.subsume_rows(overlap.drop_contained(rows))) == len(rows)
+    assert time.time() - began < 60
 
 
 def test_adjacent_lines_overlap():
     a, b = rows_of([(0, 6, 3), (7, 2, 3)])
     a.update(start_line=2, end_line=3, raw_end=6), b.update(start_line=3, end_line=3, raw_start=7)
-    assert overlap.overlaps(a, b) and overlap.subsume_rows([b, a]) == [a]
+    assert overlap.overlaps(a, b) and rowforms.subsume_rows([b, a]) == [a]
 
 
 def test_stored_subsumption_equals_the_row_form(spark):
     rows = rows_of([(0, 5, 3), (4, 5, 2), (12, 3, 1), (13, 1, 4), (30, 0, 0)])
     frame = spark.createDataFrame([("f", 0, *[r[c] for c in overlap._READ]) for r in rows] , "location string, repo_index int, raw_start long, raw_end long, start_line long, end_line long, start_char long, end_char long, confidence int, provider_id string, headline string, source string")
-    assert sorted(r.provider_id for r in overlap.subsume(frame).collect()) == sorted(r["provider_id"] for r in overlap.subsume_rows(rows))
+    assert sorted(r.provider_id for r in overlap.subsume(frame).collect()) == sorted(r["provider_id"] for r in rowforms.subsume_rows(rows))
 
 
 # -- functions --------------------------------------------------------------------------------------------------------------
@@ -102,7 +123,7 @@ def test_trim_and_positions_as_columns(spark, texts):
     got = frame.select(tx.trim_quotes(F.col("t")).alias("q"), tx.line_of(F.col("t"), F.col("at")).alias("l"), tx.character_of(F.col("t"), F.col("at")).alias("c")).collect()
     for t, r in zip(texts, got, strict=True):
         before = t.encode()[: len(t.encode()) // 2]
-        assert r.q == trim_quotes(t)[0]
+        assert r.q == rowforms.trim_quotes(t)[0]
         assert (r.l, r.c) == (before.count(b"\n"), len(before) - (before.rfind(b"\n") + 1))
 
 
