@@ -11,29 +11,40 @@ from leakwise.functions.paths import under_pruned_folder
 from leakwise.rules import extensions as ext
 
 
-def _below(files: DataFrame, index: int, root: str, prune: tuple[str, ...]) -> DataFrame:
+def _below(files: DataFrame, index: int, root: str, prune: tuple[str, ...], *more: str) -> DataFrame:
     path = F.regexp_replace("path", "^file:/+", "/")
     base = root.rstrip("/") + "/"
-    out = files.select(F.lit(index).alias("repo_index"), path.alias("path"), F.col("length").alias("size"), "content")
+    out = files.select(F.lit(index).alias("repo_index"), path.alias("path"), F.col("length").alias("size"), F.col("path").alias("uri"), *more)
     inside = F.when(F.col("path").startswith(base), F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))).otherwise(F.col("path"))
     return out.where(~under_pruned_folder(inside, list(prune))) if prune else out
 
 
-def read_roots(spark: SparkSession, roots: list[str], prune: tuple[str, ...] = (), size_limit: int | None = None) -> DataFrame:
-    """(repo_index, path, size, content) of all files below the roots; a root's index is its place in the list, and a
-    repeated root counts once. Content is read only if it is used, and sizes are filtered before it is."""
+def _of_roots(spark: SparkSession, roots: list[str], prune: tuple[str, ...], *more: str) -> DataFrame:
     frames = []
     for index, root in enumerate(dict.fromkeys(roots)):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        frames.append(_below(files if size_limit is None else files.where(F.col("length") <= size_limit), index, root, prune))
+        frames.append(_below(files, index, root, prune, *more))
     return reduce(DataFrame.unionByName, frames)
 
 
+def list_roots(spark: SparkSession, roots: list[str], prune: tuple[str, ...] = ()) -> DataFrame:
+    """(repo_index, path, size, uri) of all files below the roots; a root's index is its place in the list, and a repeated
+    root counts once. No file is opened."""
+    return _of_roots(spark, roots, prune)
+
+
+def read_roots(spark: SparkSession, roots: list[str], prune: tuple[str, ...] = (), size_limit: int | None = None) -> DataFrame:
+    """The same with the content, through Spark's own reader: for stores that only Spark reaches. Every file within
+    ``size_limit`` is read whole, whatever is done with it."""
+    files = _of_roots(spark, roots, prune, "content").drop("uri")
+    return files if size_limit is None else files.where(F.col("size") <= size_limit)
+
+
 def stream_roots(spark: SparkSession, root: str, index: int = 0, prune: tuple[str, ...] = (), per_trigger: int = 1000) -> DataFrame:
     """The same rows as a stream of files that arrive below a root."""
     shape = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(shape).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
-    return _below(files, index, root, prune)
+    return _below(files, index, root, prune, "content").drop("uri")
 
 
 def with_text(files: DataFrame) -> DataFrame:

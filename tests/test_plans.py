@@ -65,12 +65,16 @@ def test_scan_of_roots(spark, corpus):
     assert [r.provider_id for r in only] == ["ConfidentialFiles"]
 
 
-def test_the_scan_has_no_shuffle(spark, corpus):
-    text = plan.scan_paths(spark, roots(corpus))._jdf.queryExecution().executedPlan().toString()
-    nodes = re.findall(r"(?m)^[\s:+*()\d-]*(\w+)", text)  # the operators, not the words of their tables
-    assert not [n for n in nodes if "Exchange" in n] and "MapInPandas" in nodes
-    shuffled = plan.scan_paths(spark, roots(corpus)).distinct()._jdf.queryExecution().executedPlan().toString()
-    assert [n for n in re.findall(r"(?m)^[\s:+*()\d-]*(\w+)", shuffled) if "Exchange" in n]
+def test_no_content_is_shuffled(spark, corpus):
+    def nodes(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return re.findall(r"(?m)^[\s:+*()\d-]*(\w+)", text)  # the operators from the top, not the words of their tables
+
+    of_table = nodes(plan.scan_files(spark.createDataFrame([(0, "a.java", 1, "x")], "repo_index int, path string, size long, text string")))
+    assert "Exchange" not in " ".join(of_table) and of_table.count("MapInArrow") == 2  # matches, and what settles them
+    of_paths = nodes(plan.scan_paths(spark, roots(corpus)))
+    texts = of_paths[: of_paths.index("Exchange")]  # down to where paths are dealt to the tasks that fetch
+    assert texts.count("MapInArrow") == 3 and "FileScan" not in texts
 
 
 def test_locations_and_tags_of_repositories(spark, corpus):
@@ -164,7 +168,7 @@ def test_streaming_equals_batch_and_replays_add_nothing(spark, corpus, tmp_path)
         q = stream.write_findings(stream.scan_stream(files, "s1"), out, f"{tmp_path}/cp-{run}", interval=None)
         q.awaitTermination(120)
         assert q.exception() is None
-    got = spark.read.parquet(out)
+    got = stream.read_findings(spark, out)
     batch = plan.scan_paths(spark, [f"{corpus}/one"])
     assert sorted(r.finding_id for r in got.collect()) == sorted(r.finding_id for r in batch.collect())
 
