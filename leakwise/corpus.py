@@ -1,11 +1,14 @@
 """A fixed corpus with the findings that it must give: each kind of file and each rule of the finders, with invented values.
 
-The expected rows are written by hand from the rules, so the registered query compares all finders, the gate, removal of
-contained findings and subsumption with plain constants.
+The expected rows are written by hand from the rules. The registered queries make a file of it for each document, so all
+finders, the gate, evidence, highlights, removal of contained findings and subsumption are compared with plain SQL.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from leakwise.rules import patterns as p
 
 GITHUB = "ghp_" + "Ab7" * 12
@@ -82,14 +85,74 @@ FINDINGS = (
 )
 
 
-def findings_sql() -> str:
-    """The expected rows as constants."""
-    texts = {path: text for _, path, text in FILES}
+#: A line that is put in front of files: four characters, five bytes.
+FILLER = "# é\n"
+
+
+#: A document's own tokens, of the length of the fixed ones; no run of ones, so that none is a common credential.
+OWN_HEX = "translate(md5(cast(doc_id AS {text})), '1', 'a')"
+OWN_MIXED = "concat('mQ8rZ', lpad(cast(doc_id % 97 AS {text}), 2, '0'), 'Lw6Yb')"
+
+
+def _own(text: str, kind: str) -> str:
+    """A SQL expression with the document's tokens in place of the fixed ones."""
+    return f"replace(replace({text}, '{HEX}', {OWN_HEX.format(text=kind)}), '{MIXED}', {OWN_MIXED.format(text=kind)})"
+
+
+def _filled(text: str) -> str:
+    quoted = "'" + text.replace("'", "''") + "'"
+    return _own(quoted, "VARCHAR")
+
+
+def document_files(documents: DataFrame) -> DataFrame:
+    """A file for each document, after ``doc_id``: one of ``FILES`` in a folder of its own, with up to four lines in front and
+    its own tokens in place of the fixed ones."""
+    n, lines = len(FILES), F.col("doc_id") % 5
+    pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (F.col("doc_id") % n + 1).cast("int"))
+    path = F.concat(F.lit("/d"), F.col("doc_id").cast("string"), pick([x for _, x, _ in FILES]))
+    rows = documents.select("doc_id", pick([i for i, *_ in FILES]).alias("repo_index"), path.alias("path"), pick([t for *_, t in FILES]).alias("text"))
+    text = F.concat(F.repeat(F.lit(FILLER), lines.cast("int")), F.expr(_own("text", "string")))
+    return rows.withColumn("text", text).withColumns({"content": F.encode("text", "utf-8"), "size": F.octet_length("text").cast("long")}).drop("doc_id")
+
+
+def _highlight(text: str, provider: str, value: str | None, character: int, start: int, end: int) -> tuple[int, int]:
+    """Characters of the highlight: from the byte before the value to its last; markup as a whole. The space after an
+    arrow or a YAML key is part of the matched value and isn't counted as a quote, so there the highlight begins one
+    character earlier."""
+    if value is None:
+        return 0, 0
+    if provider in ("AttributeSecretAssignment", "ElementSecretAssignment"):
+        return character, character + end - start
+    raw = text.encode()
+    spaced = provider in ("ArrowSecretAssignment", "YAMLSecretAssignment")
+    first = raw.index(value.encode(), start) - 1 - spaced
+    line = raw.rfind(b"\n", 0, first) + 1
+    return first - line, first - line + len(value.encode())
+
+
+def findings_sql(confidential: bool = True) -> str:
+    """The expected rows of :func:`document_files`."""
+    texts = {path: (i, text) for i, (_, path, text) in enumerate(FILES)}
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = []
-    for index, path, provider, headline, level, value, line, character, start, end, tag in FINDINGS:
-        hashed = texts[path] if value is None else value
-        numbers = f"{level}, {line}, {character}, {start}, {end}"
-        rows.append(f"({index}, {quoted(path)}, {quoted(provider)}, {quoted(headline)}, {numbers}, {quoted(value or '')}, sha256({quoted(hashed)}), {quoted(tag)})")
-    names = "repo_index, location, provider_id, headline, confidence, start_line, start_char, raw_start, raw_end, value, sha256, tags"
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS f({names})"
+    rows, values, contents = [], [], []
+    for number, (index, path, provider, headline, level, value, line, character, start, end, tag) in enumerate(FINDINGS):
+        file, text = texts[path]
+        if value is None and not confidential:
+            continue
+        shift = 0 if value is None else 1
+        marks = _highlight(text, provider, value, character, start, end)
+        rows.append(f"({number}, {file}, {index}, {quoted(path)}, {quoted(provider)}, {quoted(headline)}, {level}, {line}, {character}, {start}, {end}, {marks[0]}, {marks[1]}, {shift}, {quoted(tag)})")
+        values.append(f"WHEN {number} THEN {_filled(value or '')}")
+        if value is None:
+            contents.append(f"WHEN {number} THEN repeat('{FILLER}', CAST(k AS INTEGER)) || {_filled(text)}")
+    names = "number, file, repo_index, path, provider_id, headline, confidence, line, start_char, first, last, mark_from, mark_to, shift, tags"
+    hashed = f"CASE number {' '.join(contents)} ELSE value END" if contents else "value"
+    return f"""
+WITH f({names}) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, doc_id % 5 AS k, doc_id % {len(FILES)} AS file FROM documents),
+v AS (SELECT *, CASE number {" ".join(values)} END AS value FROM d JOIN f USING (file))
+SELECT repo_index, '/d' || CAST(doc_id AS VARCHAR) || path AS location, provider_id, headline, confidence, CAST(line + shift * k AS BIGINT) AS start_line,
+       CAST(start_char AS BIGINT) AS start_char, CAST(first + 5 * shift * k AS BIGINT) AS raw_start, CAST(last + 5 * shift * k AS BIGINT) AS raw_end,
+       CAST(mark_from AS BIGINT) AS highlight_start_char, CAST(mark_to AS BIGINT) AS highlight_end_char, value, sha256({hashed}) AS sha256, tags
+FROM v
+"""

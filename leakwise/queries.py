@@ -17,9 +17,9 @@ from leakwise.functions import text as tx
 from leakwise.operators import exclusions as ex
 from leakwise.operators import gate as g
 from leakwise.operators import history, overlap, policy, scoring
-from leakwise.operators.finders import Exclusions, find_secrets
+from leakwise.operators.finders import Exclusions, FinderOptions, find_secrets
 from leakwise.operators.matches import PatternRule, pattern_findings
-from leakwise.plans.scan import scan_files, scan_strings
+from leakwise.plans.scan import scan_files, scan_strings, tagged
 from leakwise.rules.extensions import ExtensionTables
 from leakwise.schema import EXCEPTION, confidence_name, confidence_number
 from leakwise.sinks import reports
@@ -642,17 +642,33 @@ def finding_rates(spark, sf_dir):
     return rates(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-# -- the full finders (their dialect and order of steps can't be put in SQL; tests hold their results) ----------------------------
+# -- the full finders: a file of the fixed corpus for each document -------------------------------------------------------------
+
+
+CORPUS_COLUMNS = (
+    "repo_index", "location", "provider_id", "headline", "confidence", "start_line", "start_char", "raw_start", "raw_end", "highlight_start_char", "highlight_end_char",
+)
+
+
+def _corpus_rows(found):
+    return found.select(*CORPUS_COLUMNS, F.coalesce("value", F.lit("")).alias("value"), "sha256", F.array_join("tags", " ").alias("tags"))
 
 
 @query(corpus.findings_sql())
-def finder_corpus(spark, sf_dir):
-    rows = spark.createDataFrame(list(corpus.FILES), "repo_index int, path string, text string")
-    found = scan_files(rows.withColumns({"content": F.encode("text", "utf-8"), "size": F.octet_length("text").cast("long")}))
-    return found.select(
-        "repo_index", "location", "provider_id", "headline", "confidence", "start_line", "start_char", "raw_start", "raw_end",
-        F.coalesce("value", F.lit("")).alias("value"), "sha256", F.array_join("tags", " ").alias("tags"),
-    )
+def finder_rows(spark, sf_dir):
+    """Gate, all finders, evidence, highlights, overlaps, confidential files and tags."""
+    return _corpus_rows(scan_files(corpus.document_files(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")))))
+
+
+@query(corpus.findings_sql(confidential=False))
+def finder_rows_by_operators(spark, sf_dir):
+    """The same with containment and subsumption as operators over the findings."""
+    files = g.gate(corpus.document_files(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")))).where("gate_status = 'scan'")
+    file = ["repo_index", "location"]
+    return _corpus_rows(tagged(overlap.subsume(overlap.remove_overlapping(find_secrets(files, FinderOptions(fused=False)), file), file)))
+
+
+# -- the full finders over real texts (their dialect can't be put in SQL; tests hold their results) ---------------------------------
 
 
 @query()

@@ -201,3 +201,17 @@ def test_operators_give_what_the_scan_gives(spark):
 def test_extra_columns_go_along(spark):
     frame = spark.createDataFrame([(0, "a.java", f'String apiKey = "{HEX}";', 7, "x"), (0, "b.java", None, 8, "y")], "repo_index int, path string, text string, piece long, note string")
     assert [(r.piece, r.note) for r in find_secrets(frame, keep=("piece", "note")).collect()] == [(7, "x")]
+
+
+def test_the_fixed_corpus(spark):
+    """The expected rows as they stand, for the files as they stand."""
+    from pyspark.sql import functions as F
+
+    from leakwise import corpus
+    from leakwise.plans.scan import scan_files
+
+    rows = spark.createDataFrame(list(corpus.FILES), "repo_index int, path string, text string")
+    found = scan_files(rows.withColumns({"content": F.encode("text", "utf-8"), "size": F.octet_length("text").cast("long")}))
+    names = ("repo_index", "location", "provider_id", "headline", "confidence", "value", "start_line", "start_char", "raw_start", "raw_end")
+    got = [(*(r[n] for n in names), " ".join(r.tags)) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(corpus.FINDINGS, key=str)
