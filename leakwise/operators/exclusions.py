@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -132,33 +133,36 @@ def _scopes(finding: Get, exception: Get) -> dict[str, Column]:
     }
 
 
-#: Exceptions are written by people and become part of the plan; a policy with more than this is refused.
-MAX_EXCEPTIONS = 10_000
-#: Up to this many are compiled into one expression; the result doesn't depend on it.
-MAX_LITERALS = 64
+#: Up to this many exceptions are compiled into one expression, and up to this many are held as literals of a plan; the
+#: result doesn't depend on either.
+MAX_LITERALS, MAX_HELD = 64, 10_000
+#: Types that an equal key finds: a hash, a path or its end, the start of a path. Others have to be tried on each row.
+KEYED = ("globalHash", "value", "pathHash", "pathString", "file", "line", "directory")
 
 
-def usable_exceptions(exceptions: DataFrame, now: Column) -> list[Row]:
-    """The active exceptions whose patterns compile, in their order."""
-    held = active_exceptions(exceptions, now).limit(MAX_EXCEPTIONS + 1).collect()
-    if len(held) > MAX_EXCEPTIONS:
-        raise ValueError(f"more than {MAX_EXCEPTIONS} active exceptions")
+def _compile(*patterns: str | None) -> bool:
+    return len(valid_patterns(tuple(p or "" for p in patterns))) == len(patterns)
 
-    def inert(r: Row) -> bool:
-        patterns = [r["regex_match"]] + ([r["path"]] if r["type"] in ("pathRegex", "pathRegexRegex") else [])
-        return len(valid_patterns(tuple(p or "" for p in patterns))) < len(patterns)
 
-    return sorted((r for r in held if not inert(r)), key=lambda r: (r["ord"], r["id"]))
+def usable_exceptions(active: DataFrame) -> list[Row]:
+    """Active exceptions whose patterns compile, in their order."""
+    good = [r for r in active.collect() if _compile(r["regex_match"], *([r["path"]] if r["type"] in ("pathRegex", "pathRegexRegex") else []))]
+    return sorted(good, key=lambda r: (r["ord"], r["id"]))
 
 
-def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column, max_literals: int = MAX_LITERALS) -> DataFrame:
+def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column, max_literals: int = MAX_LITERALS, max_held: int = MAX_HELD) -> DataFrame:
     """``findings`` with suppressed and exception_id: the first active exception, by ``ord``, that covers each row.
 
-    Patterns that don't compile make an exception inert. Each row is judged by itself, in a projection without a join: a
-    few exceptions become one expression; many become one literal array for each type, in their order, of which a row
-    takes the first that fits (those with a hash by a look-up). Both forms give the same result.
+    Patterns that don't compile make an exception inert. Up to ``max_held`` active exceptions are literals, and each row is
+    judged by itself, in a projection without a join: a few become one expression; more become one array for each type, in
+    their order, of which a row takes the first that fits. Beyond that, exceptions are a table: those of ``KEYED`` types meet
+    the rows by equal keys (:func:`keyed_hits`), and only the others, whose patterns have to be tried, are held. All forms give
+    the same result.
     """
-    good = usable_exceptions(exceptions, now)
+    active = active_exceptions(exceptions, now)
+    if len(active.select("id").limit(max_held + 1).collect()) > max_held:
+        return _match_many(findings, active, max_held)
+    good = usable_exceptions(active)
     if len(good) <= max_literals:
         first = F.lit(None).cast("string")
         for r in reversed(good):
@@ -167,12 +171,65 @@ def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column, ma
             if scope is not None:
                 first = F.when(_rule_fits(F.col, literal) & F.coalesce(scope, F.lit(False)), r["id"]).otherwise(first)
         return findings.withColumn("exception_id", first).withColumn("suppressed", F.col("exception_id").isNotNull())
+    return findings.withColumn("exception_id", _first_of(good)["id"]).withColumn("suppressed", F.col("exception_id").isNotNull())
+
+
+def _first_of(rows: list[Row]) -> Column:
+    """The first exception of a list in order that covers a row, as (place, id)."""
     of_type: dict[str, list[tuple[int, Row]]] = {}
-    for place, r in enumerate(good):
+    for place, r in enumerate(rows):
         of_type.setdefault(r["type"], []).append((place, r))
-    found = [_first_of_type(kind, rows) for kind, rows in of_type.items() if kind in _scopes(F.col, F.col)]
-    least = F.array_min(F.array(*found)) if found else F.lit(None).cast(HIT)
-    return findings.withColumn("exception_id", least["id"]).withColumn("suppressed", F.col("exception_id").isNotNull())
+    found = [_first_of_type(kind, held) for kind, held in of_type.items() if kind in _scopes(F.col, F.col)]
+    return F.array_min(F.array(*found)) if found else F.lit(None).cast(HIT)
+
+
+#: What decides about a finding.
+SUBJECT = ("headline", "location", "sha256", "source", "start_line")
+
+
+def _match_many(findings: DataFrame, active: DataFrame, max_held: int) -> DataFrame:
+    tried = usable_exceptions(active.where(~F.col("type").isin(*KEYED)))
+    orders = {r["id"]: r["ord"] for r in tried}
+    firsts = [_first_of(tried[at : at + max_held]) for at in range(0, len(tried), max_held)]  # blocks in order: an earlier one wins
+    held = F.coalesce(*[f["id"] for f in firsts]) if firsts else F.lit(None).cast("string")
+    order = F.try_element_at(F.from_json(F.lit(json.dumps(orders)), "map<string, int>"), held)
+    subject = F.sha2(F.to_json(F.struct(*SUBJECT)), 256)
+    named = findings.withColumns({"_held": F.when(held.isNotNull(), F.struct(order.alias("ord"), held.alias("id"))), "_subject": subject})
+    joined = named.join(keyed_hits(findings.select(*SUBJECT, subject.alias("_subject")), active), "_subject", "left")
+    # least() skips nulls, and the order is that of (ord, id)
+    return joined.withColumn("exception_id", F.least("_held", "_keyed")["id"]).withColumn("suppressed", F.col("exception_id").isNotNull()).drop("_held", "_keyed", "_subject")
+
+
+def keyed_hits(subjects: DataFrame, active: DataFrame) -> DataFrame:
+    """_subject and _keyed, the first exception of a ``KEYED`` type as (ord, id), of the subjects that have one.
+
+    A hash is its own key. A path covers the locations that end in it at a folder, so a location asks for each of its
+    ends; a directory covers those that start with it, so a location asks for its starts of the lengths that exist. What
+    meets is judged in full. Both sides are tables: their sizes decide whether one is broadcast.
+    """
+
+    @F.arrow_udf("boolean")
+    def compiles(patterns: pa.Array) -> pa.Array:
+        return pa.array([_compile(p) for p in patterns.to_pylist()], pa.bool_())
+
+    by_hash, by_start = F.col("type").isin("globalHash", "value", "pathHash"), F.col("type") == "directory"
+    key = F.when(by_hash, F.concat(F.lit("h"), "secret_checksum")).when(by_start, F.concat(F.lit("d"), "path")).otherwise(F.concat(F.lit("p"), "path"))
+    keyed = active.where(F.col("type").isin(*KEYED)).withColumn("_key", key).where("_key is not null")
+    keyed = keyed.where(F.col("regex_match").isNull() | compiles(F.coalesce("regex_match", F.lit(""))))
+    lengths = [r[0] for r in keyed.where(by_start).select(F.length("path")).distinct().collect()]  # as many as paths have lengths
+    location = F.coalesce("location", F.lit(""))
+    parts = F.split(location, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.lit("p/"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/")))
+    ends = F.when(F.size(parts) > 1, ends).otherwise(F.array().cast("array<string>"))
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(location)), lambda n: F.concat(F.lit("d"), F.substring(location, F.lit(1), n)))
+    own = F.array(F.concat(F.lit("h"), F.coalesce("sha256", F.lit(""))), F.concat(F.lit("p"), location))
+    asked = subjects.dropDuplicates(["_subject"]).withColumn("_key", F.explode(F.array_distinct(F.concat(own, ends, starts))))
+    fits = F.lit(False)
+    for kind, scope in _scopes(F.col, F.col).items():
+        if kind in KEYED:
+            fits = F.when(F.col("type") == kind, scope).otherwise(fits)
+    met = asked.join(keyed, "_key").where(_rule_fits(F.col, F.col) & F.coalesce(fits, F.lit(False)))
+    return met.groupBy("_subject").agg(F.min(F.struct("ord", "id")).alias("_keyed"))
 
 
 HIT = "struct<place:int,id:string>"

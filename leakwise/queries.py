@@ -306,6 +306,13 @@ def exception_matches_of_many(spark, sf_dir):
     return ex.match_exceptions(rows, many_exceptions(spark), F.expr(NOW)).select("doc_id", "rule", "raw_start", "suppressed", "exception_id")
 
 
+@query(SQL["exception_matches"])
+def exception_matches_by_keys(spark, sf_dir):
+    """The same list as a table whose hashes, paths and folders meet the findings by equal keys."""
+    rows = findings(spark, sf_dir).withColumns({"finding_id": F.expr(KEY), "source": F.col("value"), "headline": F.col("rule")})
+    return ex.match_exceptions(rows, many_exceptions(spark), F.expr(NOW), max_held=20).select("doc_id", "rule", "raw_start", "suppressed", "exception_id")
+
+
 @query(
     "WITH e AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'revoked' ELSE 'active' END AS status, ts AS expires_at FROM events), m AS (SELECT max(ts) - INTERVAL 12 HOUR AS now FROM events) "
     "SELECT id, CASE WHEN status = 'active' AND expires_at < now THEN 'expired' ELSE status END AS status FROM e, m"

@@ -258,6 +258,24 @@ def test_first_exception_wins_and_reconcile_is_one_way(spark):
     assert {r.finding_id: (r.suppressed, r.exception_id) for r in ex.reconcile(before, only, now).collect()} == {"f1": (True, "e2"), "f2": (True, "old")}
 
 
+def test_exceptions_met_by_keys_equal_the_row_form(spark):
+    rng = __import__("random").Random(4)
+    paths_ = ["/a/b.java", "/b.java", "b.java", "/a", "/a/", "/x/a/b.java", "", None, "/a/c.java", "c.java"]
+    kinds = [*ex.KEYED, "globalString", "globalRegex", "pathRegex", "pathRegexRegex", "project", "odd"]
+    rules = [(f"e{i:02d}", rng.randrange(20), rng.choice(["*", "", None, "h1"]), rng.choice(["active"] * 4 + ["revoked"]), None, rng.choice(kinds), rng.choice([*paths_, "("]), rng.choice([1, 2, None]), rng.choice([2, 3]), rng.choice(["s1", "s2", "", None]), rng.choice(["key", "zz", "", None]), rng.choice([None, "k.y", "(", ""])) for i in range(150)]
+    rows = [(rng.choice(["h1", "h2", None]), rng.choice(paths_), rng.choice(["s1", "s2", "s3", "", None]), rng.choice(["a key", "none", "", None]), rng.choice([0, 1, 2, None]), i) for i in range(200)]
+    frame = spark.createDataFrame([*rows, rows[0]], "headline string, location string, sha256 string, source string, start_line long, n int")
+    got = []
+    for n in (60, 150):
+        table = spark.createDataFrame(rules[:n], EXCEPTION)
+        for held in (10_000, 3):
+            got.append(sorted((r.n, r.exception_id or "", r.suppressed) for r in ex.match_exceptions(frame, table, F.lit(datetime.datetime(2024, 1, 1)), max_held=held).collect()))
+    assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2]
+    assert len(got[0]) == 201 and 20 < sum(x[2] for x in got[0])
+    plan = ex.match_exceptions(frame, table, F.lit(datetime.datetime(2024, 1, 1)), max_held=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*_key#\d+ = _key#\d+", plan) and "Cross" not in plan
+
+
 def test_policy_and_exception_log(spark):
     p = Exclusions(repositories=("/r/",))
     p = policy.update_policy(p, policy.HERE, "/r/a", "v")
