@@ -71,6 +71,25 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int, first: in
     return rows.orderBy(*order).offset(max(0, number - first) * size).limit(size)
 
 
+def seek_page(rows: DataFrame, order: list[Column], after: tuple | None, size: int) -> DataFrame:
+    """The ``size`` rows after a cursor, the values of ``order`` of the last row seen (None: from the start).
+
+    Rows up to the cursor are left out by a filter and the rest is cut to ``size`` per task, so a late page costs no more
+    than an early one, unlike an offset. ``order`` is ascending and tells rows apart; nulls come first.
+    """
+    if after is not None:
+        kinds = rows.select(*[c.alias(f"c{i}") for i, c in enumerate(order)]).schema
+        seen = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(after, kinds, strict=True)])
+        rows = rows.where(F.struct(*[c.alias(f.name) for c, f in zip(order, kinds, strict=True)]) > seen)
+    return rows.orderBy(*order).limit(size)
+
+
+def cursor(page: DataFrame, order: list[Column]) -> tuple | None:
+    """The cursor behind a page: the values of ``order`` of its last row; None if it is empty."""
+    last = page.select(*order).collect()
+    return tuple(last[-1]) if last else None
+
+
 def legacy_page(rows: DataFrame, order: list[Column], number: int, size: int, confidences: list[int] | None = None, tags: list[str] | None = None) -> DataFrame:
     """The offset counts unfiltered rows; from there on rows pass the filter until the page is full."""
     rest = rows.orderBy(*order).offset(number * size)

@@ -18,6 +18,7 @@ from leakwise.operators import exclusions as ex
 from leakwise.operators import gate as g
 from leakwise.operators import history, overlap, policy, scoring
 from leakwise.operators.finders import Exclusions, FinderOptions, find_secrets
+from leakwise.operators.membership import Membership, memberships
 from leakwise.operators.matches import PatternRule, pattern_findings
 from leakwise.plans.scan import scan_files, scan_strings, tagged
 from leakwise.rules.extensions import ExtensionTables
@@ -439,6 +440,16 @@ def issue_page(spark, sf_dir):
     return history.page(rows, _order(), 2, 25).select("doc_id", "rule", "raw_start")
 
 
+@query(SQL["issue_page"])
+def issue_page_by_cursor(spark, sf_dir):
+    """The third page, reached through the cursors of the first two."""
+    rows = history.issue_filter(findings(spark, sf_dir), [1, 4], ["prod"])
+    after = None
+    for _ in range(2):
+        after = history.cursor(history.seek_page(rows, _order(), after, 25), _order())
+    return history.seek_page(rows, _order(), after, 25).select("doc_id", "rule", "raw_start")
+
+
 @query(FINDINGS_SQL + f"SELECT doc_id, rule, raw_start FROM (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS n FROM f) WHERE n > 40 AND confidence IN (1, 2) ORDER BY n LIMIT 20")
 def legacy_issue_page(spark, sf_dir):
     return history.legacy_page(findings(spark, sf_dir), _order(), 2, 20, [1, 2]).select("doc_id", "rule", "raw_start")
@@ -468,6 +479,23 @@ def group_members(spark, sf_dir):
     return history.members(entries, {"nation": ["1", "2", "3"], "segment": ["BUILDING"]}).select("c_custkey")
 
 
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS user, CAST(n_nationkey AS VARCHAR) AS "group" FROM customer JOIN nation ON c_nationkey = n_nationkey
+AND (c_mktsegment IN ('BUILDING', 'MACHINERY') OR (c_custkey % 3 = n_regionkey AND c_custkey % 7 = n_nationkey % 7)) AND c_mktsegment <> 'AUTOMOBILE'"""
+)
+def group_memberships(spark, sf_dir):
+    """Customers as users of the groups of their nation: a tree of both kinds of rules."""
+    text = lambda c: F.col(c).cast("string")
+    customers, nations = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    user = {"nation": F.array(text("c_nationkey")), "kind": F.array("c_mktsegment"), "third": F.array((F.col("c_custkey") % 3).cast("string")), "seventh": F.array((F.col("c_custkey") % 7).cast("string"))}
+    segments = F.array(F.lit("BUILDING"), F.lit("MACHINERY"))
+    group = {"kinds": segments, "all kinds": F.concat(segments, F.array(F.lit("FURNITURE"), F.lit("HOUSEHOLD"))), "region": F.array(text("n_regionkey")), "seventh": F.array((F.col("n_nationkey") % 7).cast("string"))}
+    entries = lambda rows, key, of: rows.select(text(key).alias("dn"), F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v)]).alias("attributes"))
+    both = Membership((("third", "region"), ("seventh", "seventh")))
+    tree = Membership((("nation", "dn"), ("kind", "all kinds")), rules=(Membership((("kind", "kinds"),), all_of=False, rules=(both,)),))
+    return memberships(entries(customers, "c_custkey", user), entries(nations, "n_nationkey", group), tree)
+
+
 # -- scores -----------------------------------------------------------------------------------------------------------------------
 
 COUNTS_SQL = """count(*) AS issues, count(*) FILTER (WHERE confidence = 4) AS critical_count, count(*) FILTER (WHERE confidence = 3) AS high_count, count(*) FILTER (WHERE confidence = 2) AS medium_count,

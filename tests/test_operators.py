@@ -14,6 +14,7 @@ from leakwise.operators import exclusions as ex
 from leakwise.operators import gate as g
 from leakwise.operators import history, matches, overlap, policy, scoring, triage
 from leakwise.operators.matching import Exclusions
+from leakwise.operators.membership import Membership, memberships
 from leakwise.operators.matches import PatternRule
 from leakwise.rules.extensions import ExtensionTables, read_table
 from leakwise.schema import EXCEPTION, confidence_name, confidence_number
@@ -276,6 +277,40 @@ def test_exceptions_met_by_keys_equal_the_row_form(spark):
     assert re.search(r"Join Inner, .*_key#\d+ = _key#\d+", plan) and "Cross" not in plan
 
 
+@pytest.mark.parametrize("size", [1, 4, 100])
+def test_pages_by_cursor_equal_pages_by_offset(spark, size):
+    rng = __import__("random").Random(6)
+    rows = [(rng.choice([None, "a", "b", "B"]), rng.choice([None, 1, 2, 3]), i) for i in range(23)]
+    frame = spark.createDataFrame(rows, "name string, n int, id long").repartition(3)
+    order = [F.lower("name"), F.col("n"), F.col("id")]
+    after, got = None, []
+    for _ in range(-(-23 // size) if size > 1 else 3):
+        page = history.seek_page(frame, order, after, size)
+        got.append([r.id for r in page.collect()])
+        after = history.cursor(page, order)
+    want = [[r.id for r in history.page(frame, order, k, size).collect()] for k in range(len(got))]
+    assert got == want and history.cursor(frame.limit(0), order) is None
+
+
+def test_memberships_equal_the_tree_by_pairs(spark):
+    rng = __import__("random").Random(8)
+    entry = lambda i: (f"n{i}", {k: [rng.choice(["x", "y", "z", "n1", "n2"]) for _ in range(rng.randrange(3))] for k in ("a", "b") if rng.random() < 0.8})
+    users, groups = [entry(i) for i in range(12)], [entry(i) for i in range(6)]
+    inner = Membership((("b", "b"), ("DN", "a")), all_of=False)
+    trees = [Membership((("a", "a"),)), Membership((("a", "dn"), ("b", "b")), all_of=False), Membership((("a", "a"),), rules=(inner,)), Membership(all_of=False), Membership((("dn", "dn"),), all_of=False, rules=(Membership((("a", "b"),), rules=(inner,)),))]
+    shape = "dn string, attributes map<string,array<string>>"
+
+    def holds(t, u, g):
+        of = lambda e, k: {e[0]} if k.lower() == "dn" else set(e[1].get(k, []))
+        return (all if t.all_of else any)([*[bool(of(u, x) & of(g, y)) for x, y in t.constraints], *[holds(r, u, g) for r in t.rules]])
+
+    for tree in trees:
+        got = memberships(spark.createDataFrame(users, shape), spark.createDataFrame(groups, shape), tree).collect()
+        assert sorted(map(tuple, got)) == sorted((u[0], g[0]) for u in users for g in groups if holds(tree, u, g))
+    with pytest.raises(ValueError):
+        memberships(spark.createDataFrame(users, shape), spark.createDataFrame(groups, shape), Membership())
+
+
 def test_policy_and_exception_log(spark):
     p = Exclusions(repositories=("/r/",))
     p = policy.update_policy(p, policy.HERE, "/r/a", "v")
