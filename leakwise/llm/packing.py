@@ -6,7 +6,8 @@
    with equal free space are one interval of sequence numbers, so the plan has a few rows per length however many
    documents there are.
 3. Ranks per task become ranks per length by a running sum over the small (length, task) table, and each piece finds
-   its planned slot by its rank within its length. No document is grouped, sorted or sent to one task by length.
+   its planned slot by its rank within its length. The pieces meet the running sums by a sort-merge join on (length,
+   task), keys of which none is hot; no task gets all pieces of a length.
 """
 
 from __future__ import annotations
