@@ -307,6 +307,17 @@ def exception_matches_of_many(spark, sf_dir):
     return ex.match_exceptions(rows, many_exceptions(spark), F.expr(NOW)).select("doc_id", "rule", "raw_start", "suppressed", "exception_id")
 
 
+RULE_NAMES = ('Aws_Access id', 'my AWS_SECRET', 'GitHub Token', 'an rsa key', 'PASSWORD in a URL', 'jwt', 'Rsa password', 'Slack')
+
+
+@query(f"SELECT doc_id, {list(RULE_NAMES)!r}[doc_id % 8 + 1] AS rule, ['aws.access_key', 'aws.secret_key', 'github.personal_access_token', 'crypto.rsa_private_key', 'generic.password', 'generic.jwt', 'crypto.rsa_private_key', 'generic.high_entropy'][doc_id % 8 + 1] AS secret_type FROM documents".replace('"', "'"))
+def secret_types_by_name(spark, sf_dir):
+    """Each branch; a name of two types has the first one."""
+    name = F.element_at(F.array(*map(F.lit, RULE_NAMES)), (F.col("doc_id") % 8 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", name.alias("rule"))
+    return rows.withColumn("secret_type", tx.secret_type(F.col("rule")))
+
+
 @query(SQL["exception_matches"])
 def exception_matches_by_keys(spark, sf_dir):
     """The same list as a table whose hashes, paths and folders meet the findings by equal keys."""

@@ -15,7 +15,8 @@ from leakwise.schema import FINDING
 
 
 def read_results(spark: SparkSession, path: str, schema: str = FINDING) -> DataFrame:
-    """Findings stored as lines of JSON or as one JSON array, in canonical order; a truncated last line is dropped."""
+    """Findings stored as lines of JSON or as one JSON array, in canonical order; a truncated last line is dropped.
+    Lines are read in parallel; an array is one record, so one task reads it whole."""
     lines = spark.read.text(path)
     first = lines.where("trim(value) <> ''").limit(1).collect()
     if not first:
