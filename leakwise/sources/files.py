@@ -29,8 +29,8 @@ def _of_roots(spark: SparkSession, roots: list[str], prune: tuple[str, ...], *mo
 
 def list_roots(spark: SparkSession, roots: list[str], prune: tuple[str, ...] = ()) -> DataFrame:
     """(repo_index, path, size, uri) of all files below the roots; a root's index is its place in the list, and a repeated
-    root counts once. No file is opened."""
-    return _of_roots(spark, roots, prune)
+    root counts once. No file is opened, so the splits of the scan, of which small files make one each, are put together."""
+    return _of_roots(spark, roots, prune).coalesce(4 * spark.sparkContext.defaultParallelism)
 
 
 def read_roots(spark: SparkSession, roots: list[str], prune: tuple[str, ...] = (), size_limit: int | None = None) -> DataFrame:
