@@ -106,17 +106,18 @@ def _finer(fp: Column, posting: Column, part: Column) -> Column:
 
 def tallies(distinct: DataFrame, list_limit: int = 64) -> DataFrame:
     """``distinct`` (fp long, unique) -> (a, b, lists): pairs a < b that meet, and in how many distinct lists; complete for
-    pairs within 2 bits."""
+    pairs within 2 bits. The joins are told to sort: the planner takes ``explode`` for one row per row, so a table well
+    above the broadcast threshold, 56 postings a fingerprint, would go through the driver's memory."""
     posted = distinct.select("fp", F.explode(F.array(*[_posting(F.col("fp"), n) for n in range(len(FREE))])).alias("posting"))
     sizes = posted.groupBy("posting").agg(F.count("*").alias("size")).where("size > 1")
-    lists = written(posted.join(sizes, "posting").select("fp", "posting", "size"), "postings")
+    lists = written(posted.join(sizes.hint("merge"), "posting").select("fp", "posting", "size"), "postings")
     short = lists.where(F.col("size") <= list_limit).select("fp", "posting", F.lit(-1).alias("part"))
     long = lists.where(F.col("size") > list_limit).select("fp", "posting", F.explode(_parts(F.col("fp"), F.col("posting"))).alias("part"))
     held = long.groupBy("posting", "part").agg(F.count("*").alias("held")).where("held > 1")
     finer = F.when(F.col("held") <= list_limit, F.array("part")).otherwise(_finer(F.col("fp"), F.col("posting"), F.col("part")))
-    split = long.join(held, ["posting", "part"]).select("fp", "posting", F.explode(finer).alias("part"))
+    split = long.join(held.hint("merge"), ["posting", "part"]).select("fp", "posting", F.explode(finer).alias("part"))
     cells = short.unionByName(split)
-    met = cells.withColumnRenamed("fp", "a").join(cells.withColumnRenamed("fp", "b"), ["posting", "part"]).where("a < b")
+    met = cells.withColumnRenamed("fp", "a").join(cells.withColumnRenamed("fp", "b").hint("merge"), ["posting", "part"]).where("a < b")
     return met.groupBy("a", "b").agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _number(F.col("posting"))))).alias("lists"))
 
 

@@ -5,7 +5,10 @@ import re
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from leakwise.llm import simhash_dedup as simhash
+from leakwise.llm.common import written
 from leakwise.llm.components import connected_components
 from leakwise.llm.exact_dedup import MIDDLE, exact_dedup, heavy_candidates, summarise
 from leakwise.llm.simhash_dedup import LEAST, fingerprint, links, simhash_dedup, tallies
@@ -136,6 +139,22 @@ def test_the_count_filter_rejects_pairs_of_one_shared_list(spark):
     assert sorted((r.a, r.b) for r in links(frame).collect()) == [(0, 1 | 1 << 8), (1 | 1 << 8, 1 | 1 << 8 | 1 << 16)]
 
 
+def test_postings_are_never_broadcast(spark, monkeypatch):
+    """By the planner's estimate, that of the fingerprints, they are small enough here; 13 million would be as well."""
+    plans = []
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    near = F.when(F.col("id") % 2 == 1, F.xxhash64(F.col("id") - 1).bitwiseXOR(F.lit(1))).otherwise(F.xxhash64("id"))
+    pairs = tallies(spark.range(400).select(near.alias("fp")), 2)
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert pairs.where(F.col("lists") >= LEAST).count() == 200
+
+
 def test_repeated_rows_and_ids(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(5, text), (5, text), (5, "another text"), (2, text), (None, text), (None, text)]
