@@ -147,3 +147,20 @@ def test_dedup_decides_by_row(spark):
     for stage in (p.dedup_exact, p.dedup_near):
         got = [tuple(r) for r in stage(spark, docs, "").collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_near_dedup_broadcasts_no_postings(spark, folder, monkeypatch):
+    """The texts have 56 postings each, which the planner estimates as one."""
+    import corpus_pipeline as p
+    from leakwise.llm import simhash_dedup as simhash
+
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return p.written(df, label)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    p.dedup_near(spark, docs, folder)
+    assert "SortMergeJoin" in plans["postings"] and "Broadcast" not in plans["postings"]
