@@ -25,16 +25,18 @@ CUT_SCORE = 0.3
 
 def _staying(docs: DataFrame, digest: Column, rows: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and digest stay by ``rows`` (doc_id, digest, stays; one per row of ``docs``); of
-    those that repeat both, the first by all columns."""
+    those that repeat both, the first by all columns. The joins are told to sort, so that no list of rows passes through
+    the driver."""
     rows = written(rows, "staying")
     own, place = "leakwise_digest", "leakwise_place"  # no column of the documents
     pair = [F.col("doc_id").alias("leakwise_id"), F.col("digest").alias("leakwise_of")]
     same = F.col("doc_id").eqNullSafe(F.col("leakwise_id")) & (F.col(own) == F.col("leakwise_of"))
-    gone = rows.where("not stays").select(*pair).distinct()
+    gone = rows.where("not stays").select(*pair).distinct().hint("merge")
     left = docs.withColumn(own, digest).join(gone, same, "left_anti")
     again = rows.where("stays").groupBy(*pair).count().where("count > 1").select("leakwise_id", "leakwise_of")
     if again.isEmpty():
         return left.select(docs.columns)
+    again = again.hint("merge")
     first = Window.partitionBy("doc_id", own).orderBy(*docs.columns)
     one = left.join(again, same, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     return left.join(again, same, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
@@ -59,7 +61,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     rows = written(components(fingerprints(docs, digest=digest)), "near")
     smallest = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    chosen = rows.where(smallest).groupBy("root").agg(F.min("digest").alias("least"))
+    chosen = rows.where(smallest).groupBy("root").agg(F.min("digest").alias("least")).hint("merge")
     stays = smallest & (F.col("digest") == F.col("least"))
     return _staying(docs, digest, rows.join(chosen, "root").select("doc_id", "digest", stays.alias("stays")))
 

@@ -6,7 +6,8 @@
 3. The candidates are counted exactly (the candidate list has at most ``counters`` rows, so it is broadcast); those
    with at least n / counters rows are verified winners.
 4. Rows of a winner take keep_id and group_size from the broadcast winners, with no shuffle; the others use an
-   ordinary partial aggregate and join on the digest, where no key has more than n / counters rows.
+   ordinary partial aggregate and join on the digest, where no key has more than n / counters rows. That join is told to
+   sort: both sides grow with the input, and the driver would hold what is broadcast.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def exact_dedup(docs: DataFrame, counters: int = 1024, id_col: str = "doc_id", t
     winners = written(counted.where(F.col("group_size") * counters >= total), "winners")
     hot = rows.join(F.broadcast(winners), "digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    groups = rest.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = rest.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).hint("merge")
     return hot.unionByName(rest.join(groups, "digest")).select(
         "doc_id",
         "keep_id",

@@ -142,12 +142,13 @@ def simhash_dedup(docs: DataFrame, list_limit: int = 64, id_col: str = "doc_id",
 
 
 def components(rows: DataFrame, list_limit: int = 64) -> DataFrame:
-    """``rows`` (doc_id, fp, ...) with component_id and root, which tells components apart whatever their ids."""
+    """``rows`` (doc_id, fp, ...) with component_id and root, which tells components apart whatever their ids. The joins
+    are told to sort: labels grow with the rows, and the driver would hold what is broadcast."""
     rows = written(rows, "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = connected_components(links(classes.select("fp"), list_limit=list_limit))
-    labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+    labelled = classes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(labelled.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+    return rows.join(labelled.join(smallest.hint("merge"), "root").select("fp", "root", "component_id").hint("merge"), "fp")

@@ -164,3 +164,32 @@ def test_near_dedup_broadcasts_no_postings(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     p.dedup_near(spark, docs, folder)
     assert "SortMergeJoin" in plans["postings"] and "Broadcast" not in plans["postings"]
+
+
+def test_dedup_passes_no_rows_through_the_driver(spark, folder, monkeypatch):
+    """All tables are below the broadcast threshold here; just below it, relations in the driver's heap are several times
+    as large. Only lists of bounded length (exact dedup's heavy digests) may be broadcast."""
+    import corpus_pipeline as p
+    from leakwise.llm import common, components
+    from leakwise.llm import simhash_dedup as simhash
+
+    plans = defaultdict(list)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df, label):
+        plans[label].append(plan(df))
+        return common.written(df, label)
+
+    for module in (p, components, simhash):
+        monkeypatch.setattr(module, "written", seen)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    repeated = docs.unionByName(docs.where("doc_id < 3"))
+    for table in (docs, repeated):
+        plans["result"].append(plan(p.dedup_near(spark, table, folder)))
+    assert len(plans["components"]) >= 4 and {"links", "near", "staying"} <= set(plans)
+    assert not [k for k, v in plans.items() if any("Broadcast" in x for x in v)]
+    plans.clear()
+    result = plan(p.dedup_exact(spark, repeated, folder))
+    assert "SortMergeJoin" in plans["staying"][0] and "Broadcast" not in result
